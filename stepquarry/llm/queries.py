@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kd_sharding, secrets, simhash_dedup
+from . import bpe, decontaminate, kd_sharding, secrets, simhash_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer file lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.components(table(spark, sf_dir, "documents"))
 
@@ -27,7 +38,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_kd_sharding, op5_simhash_dedup, op8_secrets, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_kd_sharding, op3_bpe, op5_simhash_dedup, op8_secrets, op10_decontaminate)}
 
 #: SQL where it can express the operator; the others are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {}
