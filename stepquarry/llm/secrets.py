@@ -22,6 +22,8 @@ KINDS = [
 ]
 BASE = ("assign", "access", "hex")
 LEAST_ASSIGNED = 6
+#: Spans of more rows than this aren't broadcast for redaction.
+BROADCAST_ROWS = 1_000_000
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...]) -> DataFrame:
@@ -30,7 +32,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols:
     A match runs as far as its pattern does and consumes what it covers, also where it then doesn't count: an assignment whose value is short."""
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col in docs.columns else F.lit("")
     repo = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols if c in docs.columns])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), owner.alias("owner"), repo.alias("repo"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), owner.alias("owner"), repo.alias("repo"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"))
     for kind, pattern, group in KINDS:
         rows = rows.withColumn(f"m_{kind}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
         if group:
@@ -44,7 +46,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols:
         rows = rows.withColumn(f"g_{kind}", F.when(F.size(f"m_{kind}") > 0, F.slice(gaps, F.lit(1), F.size(f"m_{kind}"))))
         made = F.transform(F.arrays_zip(f"g_{kind}", f"m_{kind}", f"v_{kind}"), _match(k, kind))
         parts.append(F.coalesce(F.when(F.size(f"m_{kind}") > 0, made), F.array()))
-    return store(rows.select("row", "doc_id", "owner", "repo", F.concat(*parts).alias("found")), "secrets")
+    return store(rows.select("row", "doc_id", "text_hash", "owner", "repo", F.concat(*parts).alias("found")), "secrets")
 
 
 def _match(number: int, kind: str) -> Callable[[Column, Column], Column]:
@@ -70,9 +72,9 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 def spans(found: DataFrame) -> DataFrame:
     """Spans that count: (row, doc_id, owner, repo, kind number, start, end, value); code points, end exclusive."""
-    one = found.select("row", "doc_id", "owner", "repo", F.explode("found").alias("f")).select("row", "doc_id", "owner", "repo", "f.*")
+    one = found.select("row", "doc_id", "text_hash", "owner", "repo", F.explode("found").alias("f")).select("row", "doc_id", "text_hash", "owner", "repo", "f.*")
     placed = one.withColumn("end", F.expr("sum(gap + len) over (partition by row, kind order by pos)"))
-    return placed.where("counts").select("row", "doc_id", "owner", "repo", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "value")
+    return placed.where("counts").select("row", "doc_id", "text_hash", "owner", "repo", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "value")
 
 
 def judged(found: DataFrame, live_owners: int, example_owners: int) -> DataFrame:
@@ -106,11 +108,24 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.select("row", "doc_id").join(per_row, "row", "left").select("doc_id", *[zero(f"n_{x}") for x in BASE], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"), zero("most_owners"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with secrets of the base kinds replaced by a mark; null text stays null, all else stays as it is.
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), mark: str = "[SECRET]") -> DataFrame:
+    """docs with a mark in place of each judged span (overlapping ones become one mark). All rows and other columns stay; null text stays null.
 
-    An assignment that follows within a short one is replaced too, though a scan doesn't count it."""
-    out = F.col(text_col)
-    for kind, pattern, _ in KINDS[: len(BASE)]:
-        out = F.regexp_replace(out, f"{pattern[:-2]}{{{LEAST_ASSIGNED},}})" if kind == "assign" else pattern, F.lit(mark))
-    return docs.withColumn(text_col, out)
+    Rows of equal id and text are treated alike. Where docs has n_chars, it follows the text."""
+    found = scan(docs, id_col, text_col, owner_col, repo_cols)
+    cuts = judged(found, 1, 3).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    cuts = store(cuts.withColumnsRenamed({"doc_id": "cut_id", "text_hash": "cut_hash"}), "cuts")
+    side = F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts
+    match = F.col(id_col).cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64(text_col) == F.col("cut_hash"))
+    text = F.col(text_col)
+
+    def cut(state: Column, span: Column) -> Column:
+        piece = F.concat(F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mark))
+        pieces = F.when(span["start"] >= state["at"], F.concat(state["pieces"], F.array(piece))).otherwise(state["pieces"])
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), pieces.alias("pieces"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("pieces"))
+    done = F.aggregate("cuts", begin, cut, lambda s: F.concat(F.array_join(s["pieces"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    joined = docs.join(side, match, "left")
+    out = joined.withColumn(text_col, F.when(F.col("cuts").isNull(), text).otherwise(done)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out
