@@ -26,9 +26,11 @@ from .common import over_batches
 
 #: Symbols that the transducer takes in beyond the lookahead before it encodes again.
 STRETCH = 256
-#: Results kept by white-space separated chunk, per worker, and the longest chunk that is kept.
-CACHED = 200_000
+#: Results kept by white-space separated chunk, per worker and generation, and the longest chunk that is kept.
+CACHED = 300_000
 CACHED_CHARS = 64
+#: Fewer symbols than this are merged without a heap.
+FEW = 32
 #: The pre-tokenizer's pattern, on lower-cased text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -67,8 +69,8 @@ class Merges:
     def merge(self, symbols: list[str]) -> list[str]:
         """All merges in order of rank, leftmost first, over symbols that are held at once."""
         n = len(symbols)
-        if n < 2:
-            return symbols
+        if n < FEW:
+            return self._merge_few(symbols)
         ranks, after, before, live = self.ranks, [*range(1, n), -1], [*range(-1, n - 1)], list(symbols)
         heap = [(r, i, live[i], live[i + 1]) for i in range(n - 1) if (r := ranks.get((live[i], live[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -87,6 +89,20 @@ class Merges:
                 heapq.heappush(heap, (r, h, live[h], live[i]))
         return [x for x in live if x is not None]
 
+    def _merge_few(self, symbols: list[str]) -> list[str]:
+        """As merge, without a heap."""
+        get, none, held = self.ranks.get, len(self.ranks), list(symbols)
+        ranks = [get(p, none) for p in zip(held, held[1:])]
+        while ranks and (r := min(ranks)) < none:
+            i = ranks.index(r)
+            held[i] += held.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((held[i - 1], held[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((held[i], held[i + 1]), none)
+        return held
+
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word, each as soon as it is stable. Holds STRETCH + lookahead symbols and the longest token at most."""
         held: list[str] = []
@@ -143,10 +159,10 @@ class Tokenizer:
         self.cache = _Cache(self)
 
     def _symbols(self, word: str) -> Iterator[str]:
-        data = word.encode()
-        for b in data[:-1]:
-            yield self.symbols[b]
-        yield self.symbols[data[-1]] + self.merges.end
+        """A word's bytes as characters, lazily; the last one carries the mark of a word's end. ASCII words stand for themselves."""
+        data = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
+        yield from data[:-1]
+        yield data[-1] + self.merges.end
 
     def chunk_ids(self, chunk: str) -> Iterator[int]:
         """Ids of a chunk without white space."""
@@ -157,7 +173,8 @@ class Tokenizer:
             elif part:
                 lower = part.lower() if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
                 for word in self.words.finditer(lower):
-                    for token in self.merges.stream(self._symbols(word[0])):
+                    symbols = self._symbols(word[0])
+                    for token in self.merges.stream(symbols) if len(word[0]) > STRETCH else self.merges.merge([*symbols]):
                         yield vocab[token]
 
     def decoded(self, ids: Iterable[int]) -> str:
@@ -172,14 +189,18 @@ class Tokenizer:
 
 
 class _Cache(dict):
+    """Results by chunk, in two generations: when the young one is full it becomes the old one, whose entries come back when asked for."""
+
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.old = tokenizer, {}
 
     def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = list(self.tokenizer.chunk_ids(chunk))
-        out = b"".join(i.to_bytes(4, "little") for i in ids), self.tokenizer.decoded(ids).encode()
+        if (out := self.old.get(chunk)) is None:
+            ids = list(self.tokenizer.chunk_ids(chunk))
+            out = b"".join([i.to_bytes(4, "little") for i in ids]), self.tokenizer.decoded(ids).encode()
         if len(chunk) <= CACHED_CHARS:
             if len(self) >= CACHED:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = out
         return out
