@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hmm, kd_sharding, perplexity, secrets, simhash_dedup
+from . import bpe, decontaminate, hmm, kd_sharding, perplexity, secrets, simhash_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judged(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_kd_sharding, op3_bpe, op5_simhash_dedup, op6_perplexity, op8_secrets, op9_hmm, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_kd_sharding, op3_bpe, op5_simhash_dedup, op6_perplexity, op7_suffix_array, op8_secrets, op9_hmm, op10_decontaminate)}
 
 #: SQL where it can express the operator; the others are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {}
