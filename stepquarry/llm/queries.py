@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hmm, kd_sharding, perplexity, secrets, simhash_dedup, suffix_dedup
+from . import bpe, decontaminate, hmm, kd_sharding, perplexity, secrets, simhash_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_kd_sharding, op3_bpe, op5_simhash_dedup, op6_perplexity, op7_suffix_array, op8_secrets, op9_hmm, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op3_bpe, op5_simhash_dedup, op6_perplexity, op7_suffix_array, op8_secrets, op9_hmm, op10_decontaminate)}
 
 #: SQL where it can express the operator; the others are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {}
