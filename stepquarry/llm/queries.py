@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hmm, kd_sharding, perplexity, secrets, simhash_dedup, suffix_dedup, toxicity
+from . import bpe, chat, decontaminate, hmm, kd_sharding, perplexity, secrets, simhash_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_turns(table(spark, sf_dir, "conversations"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.components(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op3_bpe, op5_simhash_dedup, op6_perplexity, op7_suffix_array, op8_secrets, op9_hmm, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op3_bpe, op4_chat, op5_simhash_dedup, op6_perplexity, op7_suffix_array, op8_secrets, op9_hmm, op10_decontaminate)}
 
 #: SQL where it can express the operator; the others are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {}
