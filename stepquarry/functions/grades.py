@@ -18,7 +18,8 @@ def number(c: Column) -> Column:
 
 
 def clamp_grade(c: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(5), F.bround(number(c)).cast("int")))
+    x = number(c)  # greatest and least pass over nulls, so those are kept out
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.bround(x))).cast("int"))
 
 
 def scalar_score(grade: Column) -> Column:
@@ -72,7 +73,7 @@ def grade_from_payload(json: Column, keys: Sequence[str] = ("axiom_grade", "pred
 
 
 def alignment(a: Column, b: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1 - F.abs(a - b) / 5.0)
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(a - b) / 5.0))
 
 
 def verdict_from_score(score: Column) -> Column:
@@ -121,7 +122,7 @@ def delta_bucket(delta: Column) -> Column:
 
 
 def clamp_reward(c: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), number(c)))
+    return F.when(number(c).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), number(c))))
 
 
 def numeric_q(c: Column, default: float = -100.0) -> Column:
