@@ -57,7 +57,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Linear:
     """Ridge logistic regression over telling slots, by accelerated, diagonally scaled gradient steps."""
     n = len(rows)
-    sizes = np.array([len(r) for r in rows])
+    sizes = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate(rows) if n else np.empty(0, np.int64)
     slots, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), sizes)
