@@ -1,9 +1,11 @@
 """SimHash near-duplicates: a binary trie self-join over 64-bit fingerprints.
 
-The trie of all distinct fingerprints is cut into subtrees of bounded size. A fingerprint goes to its own subtree and, as a
-visitor, to each later subtree whose prefix is within the error budget of it; a task then walks node pairs of the visitors'
-trie and the subtree together, adds up differing bits, and drops a pair when they exceed the budget. Equal texts share one
-fingerprint and are aggregated before any shuffle of fingerprints, so a large group of copies is one trie entry."""
+The 64 bits are cut into one block more than the error budget, so two fingerprints within the budget agree on a block. There is one
+trie for each block, of fingerprints rotated to begin with it, where the first levels have no budget: a fingerprint goes into as many
+subtrees as there are blocks, at any input size. Only a subtree of one prefix that is too large is cut deeper; there a fingerprint
+goes to its own part and, as a visitor, to each later part that is within the budget of it. A task walks node pairs of a trie
+together, adds up differing bits, and drops a pair when they exceed the budget. Equal texts share one fingerprint and are
+aggregated before any shuffle of fingerprints, so a large group of copies is one trie entry."""
 
 from __future__ import annotations
 
@@ -16,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, over_batches, partitions_for, store, texts_of, unique_name
+from .common import ascii_lower, mix64, over_batches, partitions_for, store, texts_of, unique_name
 from .components import connected_components
 
 SEED = 42
-LEAST_LEAF = 1 << 14
+#: A subtree of one prefix is cut if it has more fingerprints than this, or than their number by MOST_LEAVES.
+LEAST_LEAF = 1 << 13
 MOST_LEAVES = 1 << 14
+#: How many fingerprints of small subtrees go into a bucket on average.
+BUCKET = 1 << 11
 #: Node pairs with no more element pairs than this are compared at once.
 SMALL_PRODUCT = 16
 
@@ -75,16 +80,14 @@ def with_fingerprints(df: DataFrame, text: str, name: str, words: int = 3) -> Da
     return over_batches(df, add, schema)
 
 
-def cut_trie(prints: DataFrame, leaf_size: int, first_bits: int = 12, step_bits: int = 6) -> list[tuple[int, int]]:
-    """The trie's leaves as (prefix, depth): subtrees of at most leaf_size fingerprints, found from counts by prefix.
+def cut_trie(prints: DataFrame, heavy: list[tuple[int, int]], leaf_size: int, step_bits: int = 6) -> list[tuple[int, int]]:
+    """Cuts the trie's subtrees `heavy`, (prefix, depth) of one depth, into leaves (prefix, depth) of at most leaf_size fingerprints.
 
-    The driver sees counts of prefixes only: 2**first_bits of them, then 2**step_bits for each subtree that is still too large."""
-    leaves, heavy, depth = [], [(0, 0)], first_bits
+    The driver sees counts of prefixes only: at most 2**step_bits for each subtree that is still too large."""
+    leaves, depth = [], heavy[0][1] + step_bits
     while heavy:
-        shifted = F.shiftrightunsigned("fp", 64 - depth)
-        counted = prints.select(shifted.alias("p"))
-        if heavy != [(0, 0)]:
-            counted = counted.where(F.shiftright("p", depth - heavy[0][1]).isin([p for p, _ in heavy]))
+        counted = prints.select(F.shiftrightunsigned("fp", 64 - depth).alias("p"))
+        counted = counted.where(F.shiftright("p", depth - heavy[0][1]).isin([p for p, _ in heavy]))
         counts = {r["p"]: r["n"] for r in counted.groupBy("p").agg(F.count("*").alias("n")).collect()}
         levels = [counts]
         for _ in range(depth - heavy[0][1]):
@@ -106,6 +109,17 @@ def cut_trie(prints: DataFrame, leaf_size: int, first_bits: int = 12, step_bits:
     return sorted(leaves, key=lambda x: x[0] << (64 - x[1]))
 
 
+def blocks(budget: int) -> list[tuple[int, int]]:
+    """(first bit, width) of budget + 1 blocks of the 64 bits, widths equal or one apart, most significant first."""
+    edges = [64 * k // (budget + 1) for k in range(budget + 2)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def rotated(prints: np.ndarray, by: int) -> np.ndarray:
+    """64-bit words rotated to the left."""
+    return (prints << np.uint64(by)) | (prints >> np.uint64(64 - by)) if by % 64 else prints
+
+
 class _Top:
     """The trie above the leaves."""
 
@@ -123,8 +137,8 @@ class _Top:
                 at = self.kids[at][bit]
             self.leaf[at] = k
 
-    def routes(self, prints: np.ndarray, budget: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, rows, differing bits) for every leaf within the budget of some rows."""
+    def routes(self, prints: np.ndarray, budget: int, free: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, rows, differing bits) for every leaf within the budget of some rows, without a budget in the first `free` bits."""
         stack = [(0, 0, np.arange(len(prints)), np.zeros(len(prints), np.int8))]
         while stack:
             node, depth, rows, errors = stack.pop()
@@ -135,12 +149,14 @@ class _Top:
             for bit in (0, 1):
                 if (kid := self.kids[node][bit]) >= 0:
                     e = errors + (bits != bit)
-                    if (keep := e <= budget).any():
+                    if (keep := e <= (budget if depth >= free else 0)).any():
                         stack.append((kid, depth + 1, rows[keep], e[keep]))
 
 
-def node_pairs_join(left: np.ndarray, right: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) with left[i] and right[j] within the budget. Both sorted and distinct: a range with a common prefix is a trie node."""
+def node_pairs_join(left: np.ndarray, right: np.ndarray, budget: int, free: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) with left[i] and right[j] within the budget, all of those that agree on their first `free` bits at least.
+
+    Both are sorted and distinct: a range with a common prefix is a trie node."""
     none = np.empty(0, np.int64)
     if not len(left) or not len(right):
         return none, none
@@ -171,7 +187,7 @@ def node_pairs_join(left: np.ndarray, right: np.ndarray, budget: int) -> tuple[n
         for x, (al, ah) in enumerate(sides[0]):
             for y, (bl, bh) in enumerate(sides[1]):
                 e = err + np.int8(x != y)
-                live = (al < ah) & (bl < bh) & (e <= budget)
+                live = (al < ah) & (bl < bh) & (e <= (budget if depth >= free else 0))
                 parts.append((al[live], ah[live], bl[live], bh[live], e[live]))
         a_lo, a_hi, b_lo, b_hi, err = (np.concatenate(x) for x in zip(*parts, strict=True))
     return np.concatenate(out_i), np.concatenate(out_j)
@@ -204,6 +220,22 @@ def _roots(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray) -> np.ndarra
     return label
 
 
+def heavy_parts(prints: DataFrame, budget: int, leaf_size: int) -> list[list[tuple[int, int]]]:
+    """For each block, the leaves (prefix, depth) of its trie's subtrees with more than leaf_size fingerprints of one block value.
+
+    The counts have at most the blocks' values as groups, whatever the input, and are combined before the shuffle; the driver sees only
+    the groups over leaf_size, and there are at most MOST_LEAVES of them for each block."""
+    parts = blocks(budget)
+    turned = [F.shiftleft("fp", at).bitwiseOR(F.shiftrightunsigned("fp", 64 - at)) if at else F.col("fp") for at, _ in parts]
+    values = F.array(*[F.shiftrightunsigned(x, 64 - width) for x, (_, width) in zip(turned, parts, strict=True)])
+    heavy = prints.select(F.posexplode(values).alias("block", "p")).groupBy("block", "p").agg(F.count("*").alias("n")).where(F.col("n") > leaf_size).collect()
+    out = []
+    for k, (_, width) in enumerate(parts):
+        found = [(r["p"], width) for r in heavy if r["block"] == k]
+        out.append(cut_trie(prints.select(turned[k].alias("fp")), found, leaf_size) if found else [])
+    return out
+
+
 def links(prints: DataFrame, budget: int = 2) -> DataFrame:
     """prints(fp long, distinct) -> edges (a, b) that connect exactly what pairs within the budget connect.
 
@@ -211,40 +243,56 @@ def links(prints: DataFrame, budget: int = 2) -> DataFrame:
     count = prints.count()
     if not count:
         return prints.selectExpr("fp as a", "fp as b")
-    leaves = cut_trie(prints, max(LEAST_LEAF, -(-count // MOST_LEAVES)))
-    shared = prints.sparkSession.sparkContext.broadcast(leaves)  # at most some MOST_LEAVES pairs of numbers at any input
+    leaf_size = max(LEAST_LEAF, -(-count // MOST_LEAVES))
+    parts, buckets = blocks(budget), -(-count // BUCKET)
+    leaves = heavy_parts(prints, budget, leaf_size)
+    shared = prints.sparkSession.sparkContext.broadcast(leaves)  # at most some MOST_LEAVES pairs of numbers for each block, at any input
+
+    def named(rows: np.ndarray, block: int, leaf: np.ndarray, visits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(leaf * len(parts) + block), pa.array(visits), pa.array(rows.view(np.int64))], names=["leaf", "visitor", "fp"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = _Top(shared.value)
+        tops = [_Top(x) for x in shared.value]
+        heavy = [np.unique(np.array([p >> (depth - width) for p, depth in x], np.uint64)) for x, (_, width) in zip(shared.value, parts, strict=True)]
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            own = np.full(len(fps), -1)
-            found = list(top.routes(fps, budget))
-            for leaf, rows, errors in found:
-                own[rows[errors == 0]] = leaf
-            for leaf, rows, errors in found:
-                visits = own[rows] < leaf
-                take = visits | (own[rows] == leaf)
-                if take.any():
-                    rows, visits = rows[take], visits[take]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf)), pa.array(visits), pa.array(fps[rows].view(np.int64))], names=["leaf", "visitor", "fp"])
+            plain = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for block, (at, width) in enumerate(parts):
+                fps = rotated(plain, at)
+                prefix = fps >> np.uint64(64 - width)
+                large = np.isin(prefix, heavy[block])
+                small = ~large
+                yield named(fps[small], block, (mix64(prefix[small]) % np.uint64(buckets)).astype(np.int64), np.zeros(small.sum(), bool))
+                yield from visits(fps[large], block, tops[block])
+
+    def visits(fps: np.ndarray, block: int, top: _Top) -> Iterator[pa.RecordBatch]:
+        """Fingerprints of large subtrees, each to its own part and to later ones within the budget."""
+        own = np.full(len(fps), -1)
+        found = list(top.routes(fps, budget, parts[block][1])) if len(fps) else []
+        for leaf, rows, errors in found:
+            own[rows[errors == 0]] = leaf
+        for leaf, rows, _ in found:
+            visit = own[rows] < leaf
+            take = visit | (own[rows] == leaf)
+            if take.any():
+                yield named(fps[rows[take]], block, np.full(take.sum(), buckets + leaf), visit[take])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for visitor, home, fps in _runs(batches):
+        for leaf, visitor, home, fps in _runs(batches):
+            at, width = parts[leaf % len(parts)]
             if not visitor:
                 label = np.arange(len(home))
                 for k in range(0, len(home), LEAST_LEAF):
-                    i, j = node_pairs_join(home[k : k + LEAST_LEAF], home, budget)
+                    i, j = node_pairs_join(home[k : k + LEAST_LEAF], home, budget, width)
                     _roots(len(home), i + k, j, label)
-                yield from _edges(home, home[label])
+                yield from _edges(rotated(home, 64 - at), rotated(home[label], 64 - at))
             else:
                 fps = np.sort(fps)
-                i, j = node_pairs_join(fps, home, budget)
+                i, j = node_pairs_join(fps, home, budget, width)
                 found = np.unique(np.stack([fps[i], home[label[j]]], 1), axis=0) if len(i) else np.empty((0, 2), np.uint64)
-                yield from _edges(found[:, 0], found[:, 1])
+                yield from _edges(rotated(found[:, 0], 64 - at), rotated(found[:, 1], 64 - at))
 
     routed = prints.select("fp").mapInArrow(route, "leaf long, visitor boolean, fp long")
-    n = max(partitions_for(prints.sparkSession), min(len(leaves), 4096))
+    n = max(partitions_for(prints.sparkSession), min(len(parts) * buckets // 8, 1 << 15))
     return routed.repartition(n, "leaf").sortWithinPartitions("leaf", "visitor").mapInArrow(join, "a long, b long")
 
 
@@ -253,8 +301,8 @@ def _edges(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(z[differ]).view(np.int64)) for z in (x, y)], names=["a", "b"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
-    """(False, home, home) once for each leaf when its own fingerprints are complete, then (True, home, visitors) for each batch of visitors."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """(leaf, False, home, home) once for each leaf when its own fingerprints are complete, then (leaf, True, home, visitors) for each batch of visitors."""
     leaf, parts, home = None, [], None
     for batch in batches:
         ids, visits, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -263,18 +311,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray,
         for lo, hi in zip([0, *edges], [*edges, len(ids)], strict=True):
             if ids[lo] != leaf:
                 if parts:
-                    yield False, (h := np.sort(np.concatenate(parts))), h
+                    yield int(leaf), False, (h := np.sort(np.concatenate(parts))), h
                 leaf, parts, home = ids[lo], [], None
             if visits[lo]:
                 if home is None:
                     home = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
                     parts = []
-                    yield False, home, home
-                yield True, home, fps[lo:hi]
+                    yield int(leaf), False, home, home
+                yield int(leaf), True, home, fps[lo:hi]
             else:
                 parts.append(fps[lo:hi])
     if parts:
-        yield False, (h := np.sort(np.concatenate(parts))), h
+        yield int(leaf), False, (h := np.sort(np.concatenate(parts))), h
 
 
 def near_duplicates(rows: DataFrame, key: str, fp: str, budget: int = 2) -> DataFrame:

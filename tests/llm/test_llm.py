@@ -105,6 +105,27 @@ def test_trie_join_equals_brute_force():
     assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*[x.tolist() for x in np.nonzero(near)]))
 
 
+def test_links_connect_what_brute_force_connects(spark, monkeypatch):
+    """Small leaves, so that a block value that many fingerprints share is cut deeper and visited."""
+    monkeypatch.setattr(simhash_dedup, "LEAST_LEAF", 40)
+    monkeypatch.setattr(simhash_dedup, "BUCKET", 16)
+    rng = np.random.default_rng(2)
+    bit = lambda n: np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    centres = rng.integers(0, 1 << 63, 60, np.uint64)
+    one_block = np.uint64(0x123456789ABCDEF0) ^ rng.integers(0, 1 << 12, 300, np.uint64)
+    a = np.unique(np.concatenate([centres, *[centres ^ bit(60) ^ bit(60) for _ in range(3)], one_block, one_block ^ bit(300)]))
+    prints = spark.createDataFrame([(int(x),) for x in a.view(np.int64)], "fp long")
+    assert any(simhash_dedup.heavy_parts(prints, 2, 40))
+
+    def label(i, j):
+        return simhash_dedup._roots(len(a), i, j, np.arange(len(a))).tolist()
+
+    at = {int(x): k for k, x in enumerate(a.view(np.int64))}
+    edges = [(at[r.a], at[r.b]) for r in simhash_dedup.links(prints).collect()]
+    want = label(*np.nonzero(np.bitwise_count(a[:, None] ^ a[None, :]) <= 2))
+    assert label(*(np.array(x) for x in zip(*edges))) == want and len(set(want)) < len(a)
+
+
 def test_suffix_array(docs, rows, none, monkeypatch):
     seen = collections.Counter(data(x[1])[i : i + 200] for x in rows for i in range(len(data(x[1])) - 199))
     want = []
