@@ -303,3 +303,12 @@ def test_toxicity(spark, none):
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     assert 0 < corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() <= 200
+
+
+def test_bands_reach_every_row_by_broadcast_and_by_salts(spark, monkeypatch):
+    facts = spark.createDataFrame([(k, "abc"[k % 3]) for k in range(200)], "row long, lang string")
+    bands = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "lang string, low double, high double")
+    want = [(k, {"a": 1.0, "b": 3.0}.get("abc"[k % 3])) for k in range(200)]
+    for most in (10, 0):
+        monkeypatch.setattr(perplexity, "BROADCAST_ROWS", most)
+        assert sorted((r.row, r.low) for r in perplexity.with_bands(facts, bands).collect()) == want
