@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from stepquarry.llm import bpe, chat, decontaminate, hmm, kd_sharding, perplexity, secrets, simhash_dedup, suffix_dedup, toxicity
+from stepquarry.llm import bpe, chat, decontaminate, hmm, kd_sharding, near_copies, perplexity, secrets, simhash_dedup, suffix_dedup, toxicity
 from stepquarry.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, fp string, h int"
@@ -312,3 +312,41 @@ def test_bands_reach_every_row_by_broadcast_and_by_salts(spark, monkeypatch):
     for most in (10, 0):
         monkeypatch.setattr(perplexity, "BROADCAST_ROWS", most)
         assert sorted((r.row, r.low) for r in perplexity.with_bands(facts, bands).collect()) == want
+
+
+def test_near_copies_equal_brute_force(spark, none, monkeypatch):
+    """The pipeline's stage: five words, similarity 0.8; copies further apart than two bits of a fingerprint, and a cluster over HOT."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(near_copies, "HOT", 4)
+    rnd = random.Random(11)
+    texts = []
+    for k in range(25):
+        base = prose(rnd, rnd.choice([8, 40, 120, 300])).split()
+        texts.append(base)
+        for _ in range(12 if k == 0 else 3):
+            copy = list(base)
+            for _ in range(rnd.randint(0, 1 + len(base) // 50)):
+                copy[rnd.randrange(len(copy))] = "edited" + str(rnd.randrange(9))
+            texts.append(copy[: len(copy) - rnd.choice([0, 0, 5, len(copy) // 8])])
+    shared = prose(rnd, 30).split()
+    texts += [shared + prose(rnd, 25).split() for _ in range(8)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    rnd.shuffle(rows)
+    rows += [(5000, rows[0][1].upper()), (5001, "few words"), (5002, "Few  words"), (5003, None), (5004, " "), (None, rows[1][1])]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = [shingles(x[1]) for x in rows]
+    group = list(range(len(rows)))
+    far = 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            group = [group[i] if g == group[j] else g for g in group]
+            far += (simhash_dedup.fingerprint(data(rows[i][1])) ^ simhash_dedup.fingerprint(data(rows[j][1]))).bit_count() > 2
+    want = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None)) for g in group}
+    docs = spark.createDataFrame([(*x, None, None, None, "", "", 1) for x in rows], SCHEMA)
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert far and sorted(r.doc_id for r in got) == sorted(want.values())
+    assert near_copies.keep_first(docs).columns == docs.columns and corpus_pipeline.near_dedup(spark, none, "").count() == 0
