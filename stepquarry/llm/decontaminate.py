@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
 A window of an item's size can only reach the similarity t if it holds at least the share t of the item's shingles, so windows are
-made where a document and an item share that many (a lossless filter), at the alignments of the shared shingles. Windows and items
-are fingerprinted; with radius r, r + 1 disjoint blocks of bits are indexed, and fingerprints within the radius agree on a block
+made where a document and an item share that many (a lossless filter): at the alignments of the shared shingles, and at every shared
+shingle from which a window holds enough of them, in whatever order. Windows and items are fingerprinted; with radius r, r + 1 disjoint blocks of bits are indexed, and fingerprints within the radius agree on a block
 at least. Pairs within the radius are verified by multiset Jaccard over shingles. Built-in functions only."""
 
 from __future__ import annotations
@@ -62,6 +62,17 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def starts_of(threshold: float) -> Column:
+    """Starts of the windows with as many hits as the similarity takes, from n_words, n_hashes, of and the sorted positions `hits`.
+
+    A window that begins at its first hit, or ends with the text, has the hits of any window before it: no other start can be better."""
+    hits, last = F.col("hits"), F.col("of") - F.col("n_words")
+    least = F.greatest(F.lit(1), F.ceil(2 * threshold / (1 + threshold) * F.col("n_hashes") - 1e-9).cast("int"))
+    full = F.transform(hits, lambda p, i: F.when(F.get(hits, i + least - 1) < p + F.col("n_hashes"), F.greatest(F.lit(0), F.least(p, last))))
+    at_end = F.when(F.get(hits, F.size(hits) - least) >= last, F.greatest(F.lit(0), last))
+    return F.array_compact(F.concat(full, F.array(at_end)))
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """One row for each document and item that match: doc_id, item_id, similarity (of the best window), word_start (its first), n_words, hamming, text_hash.
 
@@ -75,14 +86,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     hits = None
     for size in sizes:
         own = rows.select("doc_id", "text_hash", F.size("words").alias("of"), F.posexplode(shingles_of("words", size)).alias("pos", "h"))
-        found = own.join(_small(grams.where(F.col("size") == size), n_grams), "h").select("doc_id", "text_hash", "item_id", "n_words", "n_hashes", "h", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("of") - F.col("n_words"))).alias("start"))
+        found = own.join(_small(grams.where(F.col("size") == size), n_grams), "h").select("doc_id", "text_hash", "item_id", "n_words", "n_hashes", "of", "pos", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("of") - F.col("n_words"))).alias("start"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = rows.select("doc_id", "text_hash", *[F.lit(0).cast("long").alias(c) for c in ("item_id", "n_words", "n_hashes", "h", "start")]).where("false")
+        hits = rows.select("doc_id", "text_hash", *[F.lit(0).cast(kind).alias(c) for c, kind in (("item_id", "long"), ("n_words", "int"), ("n_hashes", "int"), ("of", "int"), ("pos", "int"), ("start", "int"))]).where("false")
     # at least the share `threshold` of the item's shingles must be in the document at all
-    shared = hits.groupBy("doc_id", "text_hash", "item_id", "n_words", "n_hashes", "start", "h").agg(F.count("*").alias("n"))
-    starts = shared.groupBy("doc_id", "text_hash", "item_id", "n_words", "n_hashes", "start").agg(F.sum("n").alias("n"))
-    enough = starts.groupBy("doc_id", "text_hash", "item_id", "n_words").agg(F.sum("n").alias("n"), F.first("n_hashes").alias("n_hashes"), F.collect_set("start").alias("starts")).where(F.col("n") >= threshold * F.col("n_hashes"))
+    enough = hits.groupBy("doc_id", "text_hash", "item_id", "n_words", "n_hashes", "of").agg(F.count("*").alias("n"), F.collect_set("start").alias("aligned"), F.sort_array(F.collect_set("pos")).alias("hits")).where(F.col("n") >= threshold * F.col("n_hashes"))
+    enough = enough.withColumn("starts", F.array_union("aligned", starts_of(threshold)))
     windows = enough.select("doc_id", "text_hash", "n_words", F.explode("starts").alias("start")).distinct()
     wanted = store(windows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("n_words", "start")).alias("windows")), "windows")
     made = _window_rows(rows, wanted).withColumn("fp", simhash_of(F.col("hashes")))

@@ -350,3 +350,26 @@ def test_near_copies_equal_brute_force(spark, none, monkeypatch):
     got = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert far and sorted(r.doc_id for r in got) == sorted(want.values())
     assert near_copies.keep_first(docs).columns == docs.columns and corpus_pipeline.near_dedup(spark, none, "").count() == 0
+
+
+def test_decontamination_finds_reordered_items(spark):
+    """Parts of an item in another order: the best window begins at none of the shared shingles' alignments."""
+    rnd = random.Random(21)
+    words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    a, b, c = words(30), words(29), words(59)
+    bench = spark.createDataFrame([(1, " ".join(a + b)), (2, " ".join(c))], "item_id long, text string")
+    texts = [words(100) + b + a + words(100), b + a + words(9), words(9) + b + a, b + a, words(70) + b + words(40) + a + words(70), words(50) + c + words(50), a + b[:9] + words(30)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+
+    def best(doc, item):
+        grams = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        scores = []
+        for s in range(max(1, len(doc) - len(item) + 1)):
+            x, y = grams(doc[s : s + len(item)]), grams(item)
+            scores.append((x & y).total() / (x | y).total())
+        return max(scores), -scores.index(max(scores))
+
+    want = {(i, k): round(v[0], 9) for i, x in enumerate(texts) for k, item in ((1, a + b), (2, c)) if (v := best(x, item))[0] >= 0.8}
+    got = decontaminate.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want and len(want) == 5
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == {4, 6}
