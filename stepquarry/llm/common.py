@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,40 +17,61 @@ from pyspark.sql import types as T
 #: ASCII white space, the separators of words in every operator here: [\x20\x09-\x0D].
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 NONSPACE_CLASS = r"[^\x20\x09-\x0D]"
+SCRATCH = "spark.stepquarry.scratch"
+#: Keys with more than one in so many of all rows are joined by broadcast.
+HEAVY = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Only where it is unset, as in tests, a local one is made."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one is made for a local
+    master, as in tests; on a cluster that is an error, as executors have no common local folder."""
+    conf = spark.sparkContext.getConf()
+    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.conf.get(SCRATCH, None)
     if not path:
+        if not re.fullmatch(r"local(\[[^-]*\])?", conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="stepquarry-")
-        spark.conf.set("spark.stepquarry.scratch", path)
+        spark.conf.set(SCRATCH, path)
     return path
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there and lost executors cost nothing that was stored.
 
-    The folder goes when the driver ends. Columns of the void type are stored as strings."""
+    The folder goes when `forget` is called, or when the driver ends. Columns of the void type are stored as strings."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.stepquarry.scratch", None) or shared_dir(spark)
-    path = f"{base.rstrip('/')}/stepquarry-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/stepquarry-{name}-{uuid.uuid4().hex}"
     df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
     df.write.parquet(path)
-    _forget_later(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_delete, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stepquarry_path = path
+    return out
 
 
-def _forget_later(spark: SparkSession, path: str) -> None:
-    def forget() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session is gone, and with it whoever could delete
-            pass
+def forget(*stored: DataFrame) -> None:
+    """Deletes tables that `store` wrote and that nothing will read again."""
+    for df in stored:
+        _delete(df.sparkSession, df._stepquarry_path)
 
-    atexit.register(forget)
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session is gone, and with it whoever could delete
+        pass
+
+
+def join_evenly(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows, stored, inner-joined with table, which has each key once and in n how many of the rows have it.
+
+    Keys with more than one in HEAVY of the rows, HEAVY keys at most, are broadcast, so their rows stay where they are; only the
+    other rows are shuffled, and no task gets a large share of them."""
+    often = F.col(n) * HEAVY > rows.count()
+    heavy = table.where(often)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(table.where(~often), keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(light)
 
 
 def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:

@@ -5,9 +5,12 @@ two equal strings have the same anchor at the same place. Suffixes at anchors ar
 common-prefix array is scanned with a stack into its interval tree, and an interval whose members' left extensions differ is a maximal
 repeat with all its occurrences; the longest left extension that a member shares with another tells which bytes are repeated.
 
-Only what can matter gets that far: anchors whose KEY-gram occurs once are dropped; where the whole context of an anchor (all bytes that a
-string through it can have) occurs again, as inside copies, the context is repeated and one copy stands for all; contexts that occur once
-in groups of more than FEW are settled by counting hashes of their strings, so that no group is one task."""
+Only what can matter gets that far: anchors whose KEY-gram occurs once are dropped, and where the whole context of an anchor (all bytes
+that a string through it can have) occurs again, as inside copies, the context is repeated and one copy stands for all. A group of more
+than FEW different contexts is dealt out before it is scanned: a string that covers a group's common region has at least half of its
+further bytes on one side, so each context goes to the group of those that also agree on that many bytes to the right, and to the like
+group on the left. The same steps are taken in these groups, with contexts cut to what a string there can still cover, until they are
+small or their region is a whole string. So every group is scanned in the same way, whatever its size, and none is one task."""
 
 from __future__ import annotations
 
@@ -17,15 +20,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, over_batches, partitions_for, store, texts_of
+from .common import forget, join_evenly, mix64, over_batches, partitions_for, store, texts_of
 
 LENGTH = 200
 KEY = 50
 LEFT = LENGTH - KEY  # bytes before an anchor, and starts in a window less one
-FEW = 5000
+#: Different contexts of a group that is scanned in one task: some four megabytes.
+FEW = 10_000
+#: Places that a filter of bounded size can tell apart; more are found by a join instead.
+SIFTED = 1 << 26
 PIECE, MARGIN = 1 << 17, 512
 _RANDOM = np.random.default_rng(7)
 BYTES = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,17 +127,17 @@ def occurrence(pos: np.ndarray, k1: int, k2: int) -> np.ndarray:
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """Stored (h, g, k1, k2, pos, before, after) of docs(k1, k2, text): anchors whose KEY-gram occurs more than once."""
+    """Stored (key, window, k1, k2, pos, before, after) of docs(k1, k2, text): anchors whose KEY-gram occurs more than once, and few others."""
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = [anchors(x)[1] for x in texts_of(batch) if len(x) >= LENGTH]
         if not parts:
             return None
         h, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    often = store(over_batches(docs.select("text"), keys, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "keys")
-    sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of(often, "h"))
+    often = store(over_batches(docs.select("text"), keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "keys")
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of(often, "key"))
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found, k1, k2, texts = _emit(batch, lambda pos, key, whole, a, b: sieve.value.passes(key))
@@ -141,29 +147,43 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
         pos, key, whole = (np.concatenate([x[j] for x in found]) for j in (1, 2, 3))
         size = np.repeat([len(texts[x[0]]) for x in found], n)
         columns = [key.view(np.int64), whole.view(np.int64), np.repeat(np.array([k1[x[0]] for x in found], np.int64), n), np.repeat(np.array([k2[x[0]] for x in found], np.int64), n), pos, np.minimum(pos, LEFT), np.minimum(size - pos, LENGTH)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "g", "k1", "k2", "pos", "before", "after"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "window", "k1", "k2", "pos", "before", "after"])
 
-    return store(over_batches(docs, places, "h long, g long, k1 long, k2 long, pos long, before long, after long").join(often, "h", "left_semi"), "anchors")
+    # what the sieve lets through by chance has a group of its own, and is dropped with those
+    return store(over_batches(docs, places, "key long, window long, k1 long, k2 long, pos long, before long, after long"), "anchors")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(k1, k2, pos, ...) and the bytes around each place: left, right."""
-    keyed = store(wanted, "wanted")
+    """wanted(k1, k2, pos, ...), stored, and the bytes around each place: left, right."""
+    schema = "k1 long, k2 long, pos long, left binary, right binary"
+
+    def cuts(found: list[tuple[int, int, bytes, list[int]]]) -> pa.RecordBatch | None:
+        rows = [(k1, k2, p, text[max(0, p - LEFT) : p], text[p : p + LENGTH]) for k1, k2, text, places in found for p in places]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["k1", "k2", "pos", "left", "right"]) if rows else None
+
+    if wanted.count() > SIFTED:
+        places = wanted.groupBy("k1", "k2").agg(F.collect_set("pos").alias("places"))
+
+        def own(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            return cuts([*zip(*(batch.column(k).to_pylist() for k in (0, 1)), texts_of(batch), batch.column(3).to_pylist(), strict=True)])
+
+        made = over_batches(docs.dropDuplicates(["k1", "k2"]).join(places, ["k1", "k2"]).select("k1", "k2", "text", "places"), own, schema)
+        return made.join(wanted, ["k1", "k2", "pos"])
 
     def number(batch: pa.RecordBatch) -> pa.RecordBatch:
         k1, k2, pos = (batch.column(k).to_numpy() for k in range(3))
         salt = k1.view(np.uint64) ^ (k2.view(np.uint64) * np.uint64(31))
         return pa.RecordBatch.from_arrays([pa.array(mix64(pos.view(np.uint64) + mix64(salt)).view(np.int64))], names=["key"])
 
-    sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of(store(over_batches(keyed.select("k1", "k2", "pos"), number, "key long"), "places"), "key"))
+    numbered = store(over_batches(wanted.select("k1", "k2", "pos"), number, "key long"), "places")
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of(numbered, "key"))
+    forget(numbered)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found, k1, k2, texts = _emit(batch, lambda pos, key, whole, a, b: sieve.value.passes(occurrence(pos, a, b)))
-        rows = [(k1[i], k2[i], p, texts[i][max(0, p - LEFT) : p], texts[i][p : p + LENGTH]) for i, pos, _, _ in found for p in pos.tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["k1", "k2", "pos", "left", "right"]) if rows else None
+        return cuts([(k1[i], k2[i], texts[i], pos.tolist()) for i, pos, _, _ in found])
 
-    cuts = over_batches(docs, cut, "k1 long, k2 long, pos long, left binary, right binary")
-    return cuts.join(keyed, ["k1", "k2", "pos"]).dropDuplicates(["k1", "k2", "pos"])
+    return over_batches(docs, cut, schema).join(wanted, ["k1", "k2", "pos"]).dropDuplicates(["k1", "k2", "pos"])
 
 
 def _matrix(rows: list[bytes], width: int) -> np.ndarray:
@@ -222,8 +242,8 @@ def _covered(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int, in
     return out
 
 
-def _by_suffix_array(groups: DataFrame) -> DataFrame:
-    """groups(h, k1, k2, pos, n, left, right), no group of more than FEW rows -> spans (k1, k2, start, stop)."""
+def _scanned(groups: DataFrame) -> DataFrame:
+    """groups(key, k1, k2, pos, left, right), no group of more than FEW rows -> spans (k1, k2, start, stop)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -240,7 +260,7 @@ def _by_suffix_array(groups: DataFrame) -> DataFrame:
         if out := _spans_of(rows):
             yield _span_batch(out)
 
-    spread = groups.select("h", "k1", "k2", "pos", "left", "right").repartition(partitions_for(groups.sparkSession), "h").sortWithinPartitions("h")
+    spread = groups.select("key", "k1", "k2", "pos", "left", "right").repartition(partitions_for(groups.sparkSession), "key").sortWithinPartitions("key")
     return spread.mapInArrow(scan, "k1 long, k2 long, start long, stop long")
 
 
@@ -254,34 +274,68 @@ def _span_batch(spans: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*spans, strict=True)], names=["k1", "k2", "start", "stop"])
 
 
-def _by_counting(groups: DataFrame) -> DataFrame:
-    """The same spans for groups of any size: every string through an anchor is hashed, and hashes at two places at least are repeats."""
+def _span(before: str | Column, after: str | Column) -> list[Column]:
+    before, after = (F.col(x) if isinstance(x, str) else x for x in (before, after))
+    return [F.col("k1"), F.col("k2"), (F.col("pos") - before).alias("start"), (F.col("pos") + after).alias("stop")]
 
-    def strings(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows = []
-        for k1, k2, pos, left, right in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-            whole = left + right
-            for s in range(len(whole) - LENGTH + 1):
-                rows.append((xxhash.xxh3_128_digest(whole[s : s + LENGTH]), k1, k2, pos - len(left) + s))
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["s", "k1", "k2", "start"]) if rows else None
 
-    made = store(over_batches(groups.select("k1", "k2", "pos", "left", "right"), strings, "s binary, k1 long, k2 long, start long"), "strings")
-    place = F.struct("k1", "k2", "start")
-    often = made.groupBy("s").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("s")
-    return made.join(often, "s", "left_semi").select("k1", "k2", "start", (F.col("start") + LENGTH).alias("stop"))
+def _groups_of(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows(key, window, k1, k2, pos), stored -> stored (key, window, n, k1, k2, pos of one copy) of each different context, and stored
+    (key, members) of the groups in which a context that occurs once has company."""
+    whole = rows.groupBy("key", "window").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
+    whole = store(whole.select("key", "window", "n", "at.*"), name)
+    sizes = whole.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("members")).where("least = 1 and members > 1")
+    return whole, store(sizes.select("key", "members"), "groups")
+
+
+def _copied(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """Spans of contexts that occur more than once. A context with a large share of all rows isn't gathered: those few are broadcast."""
+    return join_evenly(rows, whole.where("n > 1").select("key", "window", "n"), ["key", "window"], "n").select(*_span("before", "after"))
+
+
+def _dealt(rows: DataFrame, further: int) -> DataFrame:
+    """rows(k1, k2, pos, lo, hi, left, right): a region from lo bytes before a place to hi after it, of LENGTH - further bytes, and what
+    strings over it can cover -> the same, and key and window, for the regions longer by half of what is missing, to the right and left."""
+    half = -(-further // 2)
+    rest = further - half
+
+    def halves(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        out = []
+        for k1, k2, pos, lo, hi, left, right in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+            for i, j in ((lo, hi + half), (lo + half, hi)):
+                before, after = left[max(0, len(left) - i - rest) :], right[: j + rest]
+                if len(left) >= i and len(right) >= j and len(before) + len(after) >= LENGTH:
+                    region = left[len(left) - i :] + right[:j]
+                    key = xxhash.xxh3_64_intdigest(region, i) - (1 << 63)
+                    window = xxhash.xxh3_64_intdigest(before + after, len(before) << 20 | len(after)) - (1 << 63)
+                    out.append((key, window, k1, k2, pos, i, j, len(before), len(after), before, after))
+        kinds = [*[pa.int64()] * 9, pa.binary(), pa.binary()]
+        names = ["key", "window", "k1", "k2", "pos", "lo", "hi", "before", "after", "left", "right"]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names) if out else None
+
+    schema = "key long, window long, k1 long, k2 long, pos long, lo long, hi long, before long, after long, left binary, right binary"
+    return over_batches(rows.select("k1", "k2", "pos", "lo", "hi", "left", "right"), halves, schema)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans (k1, k2, start, stop), with overlaps and repeats, of all bytes in docs(k1, k2, text) that a repeated string covers."""
     found = repeated_anchors(docs)
-    whole = found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
-    whole = store(whole.select("h", "g", "n", "at.*"), "contexts")
-    inside = found.where(F.col("before") + F.col("after") >= LENGTH).join(whole.where("n > 1").select("h", "g"), ["h", "g"], "left_semi")
-    inside = inside.select("k1", "k2", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"))
-    sizes = whole.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("members")).where("least = 1 and members > 1").select("h", "members")
-    edges = contexts(docs, whole.join(sizes, "h").select("k1", "k2", "pos", "h", "members"))
-    edges = store(edges, "edges")
-    return inside.unionByName(_by_suffix_array(edges.where(F.col("members") <= FEW))).unionByName(_by_counting(edges.where(F.col("members") > FEW)))
+    whole, groups = _groups_of(found, "contexts")
+    spans = _copied(found, whole)
+    edges = join_evenly(whole, groups, ["key"], "members").select("k1", "k2", "pos", "key", "members")
+    edges = store(contexts(docs, store(edges, "wanted")).withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(KEY).cast("long")}), "edges")
+    further = LENGTH - KEY
+    while True:
+        spans = spans.unionByName(_scanned(edges.where(F.col("members") <= FEW)))
+        large = edges.where(F.col("members") > FEW)
+        if not further or large.isEmpty():
+            return spans
+        rows = store(_dealt(large, further).dropDuplicates(["key", "window", "k1", "k2", "pos"]), "dealt")  # a region has several halvings
+        further //= 2
+        whole, groups = _groups_of(rows, "contexts")
+        spans = spans.unionByName(_copied(rows, whole))
+        one = rows.join(whole.drop("n"), ["key", "window", "k1", "k2", "pos"], "left_semi")
+        edges = store(join_evenly(one, groups, ["key"], "members").select("k1", "k2", "pos", "key", "members", "left", "right", "lo", "hi"), "edges")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from stepquarry.llm import bpe, chat, decontaminate, hmm, kd_sharding, near_copies, perplexity, secrets, simhash_dedup, suffix_dedup, toxicity
+from stepquarry.llm import bpe, chat, common, decontaminate, hmm, kd_sharding, near_copies, perplexity, secrets, simhash_dedup, suffix_dedup, toxicity
 from stepquarry.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, fp string, h int"
@@ -126,7 +126,8 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch):
     assert label(*(np.array(x) for x in zip(*edges))) == want and len(set(want)) < len(a)
 
 
-def test_suffix_array(docs, rows, none, monkeypatch):
+def repeated_bytes(rows):
+    """By brute force: id, n_bytes, n_removed, n_spans, kept_sha256 of each of rows (id, text, ...)."""
     seen = collections.Counter(data(x[1])[i : i + 200] for x in rows for i in range(len(data(x[1])) - 199))
     want = []
     for x in rows:
@@ -137,13 +138,46 @@ def test_suffix_array(docs, rows, none, monkeypatch):
                 gone[i : i + 200] = 1
         kept = bytes(b for b, g in zip(t, gone) if not g)
         want.append((str(x[0]), len(t), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    got = lambda: sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs).collect())
-    assert got() == sorted(want)
-    monkeypatch.setattr(suffix_dedup, "FEW", 2)  # nearly all by counting
-    assert got() == sorted(want)
+    return sorted(want)
+
+
+def without_repeats(docs):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs).collect())
+
+
+def test_suffix_array(docs, rows, none, monkeypatch):
+    want = repeated_bytes(rows)
+    assert without_repeats(docs) == want
+    monkeypatch.setattr(suffix_dedup, "FEW", 2)  # nearly all groups are dealt out
+    monkeypatch.setattr(suffix_dedup, "SIFTED", 0)  # and contexts found by a join
+    assert without_repeats(docs) == want
     assert suffix_dedup.without_repeats(none).count() == 0
 
 
+def test_large_groups_are_dealt_to_the_last_byte(spark, monkeypatch):
+    """Passages of 50 to 260 bytes in 30 texts each, cut at either end, between text of their own: groups stay large at every step."""
+    monkeypatch.setattr(suffix_dedup, "FEW", 3)
+    rnd = random.Random(17)
+    rows = []
+    for size in (60, 190, 200, 203, 260, 420):
+        passage = prose(rnd, 200)[:size]
+        for _ in range(30):
+            a, b = rnd.choice([0, 0, 0, rnd.randrange(size // 3)]), rnd.choice([0, 0, 0, rnd.randrange(size // 3)])
+            rows.append((len(rows), prose(rnd, 40)[:120] + passage[a : size - b] + prose(rnd, 40)[:120]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = repeated_bytes(rows)
+    assert without_repeats(docs) == want and 60 < sum(x[2] > 0 for x in want) < 180
+
+
+def test_rows_of_common_keys_are_joined_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 5)
+    rows = common.store(spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(200)], "key long, v long"), "rows")
+    table = common.store(rows.groupBy("key").count().where("key <> 3"), "table")
+    got = sorted((r.key, r.v) for r in common.join_evenly(rows, table, ["key"], "count").collect())
+    assert got == sorted((r.key, r.v) for r in rows.collect() if r.key != 3)
+    common.forget(rows)
+
+
 def test_intervals():
     assert sorted(suffix_dedup.intervals([1, 3, 3, 1])) == [(1, 0, 4), (3, 1, 3)]  # the root, of depth 0, is no repeat
 
