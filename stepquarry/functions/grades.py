@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Repair effort by grade, verdicts from best to worst.
-REPAIR_EFFORT = {5: "none", 4: "trivial", 3: "minor", 2: "moderate", 1: "major", 0: "rewrite"}
+#: What a grade means, the effort of a repair by grade, verdicts from best to worst, the keys that hold a grade in collected
+#: and in training records, and the patterns of a grade in free text: keyed, loosely named, as a score of 100.
+DESCRIPTIONS = {
+    5: "Production-ready; no refinement effort is needed.",
+    4: "Functionally correct; only minor code-quality tweaking is needed.",
+    3: "Functionally correct; major refactoring is needed to improve code quality.",
+    2: "Functionally defective; minor tweaking can repair functionality.",
+    1: "Functionally defective; major refactoring is needed to repair functionality.",
+    0: "Fundamentally flawed or mismatched; rewriting is more efficient than repairing.",
+}
+REPAIR_EFFORT = {5: "none", 4: "minor_quality", 3: "major_quality", 2: "minor_functional", 1: "major_functional", 0: "rewrite"}
 VERDICTS = ("accept", "minor_issue", "major_issue")
+COLLECTED_KEYS = ("axiom_grade", "predicted_axiom_grade", "axiogram_grade", "grade")
+TRAINING_KEYS = ("axiom_grade", "grade")
+KEYED_GRADE = r'"(?:axiom_grade|grade)"\s*:\s*([0-5](?:\.\d+)?)'
+LOOSE_GRADE = r"(?i)\b(?:axiom_grade|grade)\b[^0-9]{0,20}([0-5](?:\.\d+)?)"
+KEYED_SCORE = r'"score"\s*:\s*([0-9]+(?:\.\d+)?)'
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value being computed, and written into the plan, once however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
 
 
 def number(c: Column) -> Column:
-    x = c.try_cast("double")
-    return F.when(~F.isnan(x), x)
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
 def clamp_grade(c: Column) -> Column:
@@ -60,16 +78,22 @@ def functionally_correct(grade: Column) -> Column:
     return clamp_grade(grade) >= 3
 
 
-def grade_from_payload(json: Column, keys: Sequence[str] = ("axiom_grade", "predicted_axiom_grade", "axiogram_grade", "grade")) -> Column:
-    """First readable key, else `score`: up to 5 a grade, up to 100 scaled. Booleans count as 1 and 0."""
+def json_number(json: Column, path: str) -> Column:
+    """The number at a path, also in a string; booleans count as 1 and 0."""
+    return let(F.get_json_object(json, path), lambda raw: F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(number(raw)))
+
+
+def json_typed_number(json: Column, path: str) -> Column:
+    """As json_number, but null where the value is a string."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), path, "variant"))
+    return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"), json_number(json, path))
 
-    def read(key: str) -> Column:
-        raw = F.get_json_object(json, f"$.{key}")
-        return F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(number(raw))
 
-    score = read("score")
-    scaled = F.when(score.between(0, 5), clamp_grade(score)).when((score > 5) & (score <= 100), clamp_grade(score / 20.0))
-    return F.coalesce(*[clamp_grade(read(k)) for k in keys], scaled)
+def grade_from_payload(json: Column, keys: Sequence[str] = COLLECTED_KEYS) -> Column:
+    """First readable key, else `score`: up to 5 a grade, up to 100 scaled."""
+    scaled = lambda x: F.when(x.between(0, 5), clamp_grade(x)).when((x > 5) & (x <= 100), clamp_grade(x / 20.0))
+    own = lambda j: F.coalesce(*[let(json_number(j, f"$.{k}"), clamp_grade) for k in keys], let(json_number(j, "$.score"), scaled))
+    return let(json, own)
 
 
 def alignment(a: Column, b: Column) -> Column:
@@ -93,28 +117,48 @@ def repair_effort(grade: Column) -> Column:
     return F.coalesce(*[F.when(g == k, v) for k, v in REPAIR_EFFORT.items()])
 
 
-def target_from_details(grade: Column, score: Column) -> Column:
-    x = number(score)
-    return F.coalesce(clamp_grade(grade), F.when(x > 10, grade_from_scalar(score, F.lit(100))).otherwise(grade_from_scalar(score, F.lit(10))))
+def target_from_details(details: Column) -> Column:
+    """A numeric target grade in JSON details, else the target score: of 100 if it is a number over 10, of 10 otherwise, also as a string."""
+    def own(d: Column) -> Column:
+        large = F.coalesce(json_typed_number(d, "$.target_score") > 10, F.lit(False))
+        return F.coalesce(let(json_typed_number(d, "$.target_axiom_grade"), clamp_grade), let(json_number(d, "$.target_score") / F.when(large, 100.0).otherwise(10.0) * 5.0, clamp_grade))
+
+    return let(details, own)
 
 
-def reconcile_target(mapped: Column, pass_rate: Column) -> Column:
-    """A mapped grade put right by the share of tests passed."""
+def reconcile_target(mapped: Column, pass_rate: Column, executable: Column) -> Column:
+    """A mapped grade put right by the share of tests passed, if there are tests that can run; without one, the share decides."""
     unmapped = F.when(pass_rate >= 0.999, 4).when(pass_rate > 0, 2).otherwise(1)
-    return F.when(mapped.isNull(), unmapped).when((pass_rate >= 0.999) & (mapped < 3), 3).when((pass_rate <= 0) & (mapped >= 3), 2).otherwise(mapped)
+    tested = F.coalesce(executable, F.lit(False))
+    return F.when(mapped.isNull(), unmapped).when(tested & (pass_rate >= 0.999) & (mapped < 3), 3).when(tested & (pass_rate <= 0) & (mapped >= 3), 2).otherwise(mapped)
 
 
 def dimension_targets(scores: Column, pass_rate: Column, executable: Column, correctness: str = "Correctness Verification") -> Column:
     """A map of reference scores; correctness is blended with the tests where there are any."""
-    return F.transform_values(scores, lambda k, v: F.when((k == correctness) & executable, F.bround(0.6 * v + 4.0 * pass_rate, 2)).otherwise(v))
+    return F.transform_values(scores, lambda k, v: F.when((k == correctness) & executable, F.bround(0.6 * v + 0.4 * (10.0 * pass_rate), 2)).otherwise(v))
+
+
+def last_match(text: Column, pattern: str) -> Column:
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), -1))
 
 
 def lenient_grade(text: Column) -> Column:
-    """The last grade written in free text, strictly keyed, else loosely, else the last score over 100."""
-    last = lambda pattern: F.element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), -1)
-    found = lambda pattern: F.when(F.regexp_like(text, F.lit(pattern)), last(pattern))
-    strict, loose, score = r'"(?:axiom_grade|grade)"\s*:\s*([0-5])', r"(?i)grade\D{0,12}([0-5])", r'"score"\s*:\s*(\d+(?:\.\d+)?)'
-    return F.coalesce(clamp_grade(found(strict)), clamp_grade(found(loose)), grade_from_scalar(found(score), F.lit(100)))
+    """The last grade written in free text, keyed, else loosely named, else the last score of 100."""
+    found = lambda t: F.coalesce(let(last_match(t, KEYED_GRADE), clamp_grade), let(last_match(t, LOOSE_GRADE), clamp_grade), let(number(last_match(t, KEYED_SCORE)) / 20.0, clamp_grade))
+    return let(text, found)
+
+
+def parsed_score(ok: Column, payload: Column, keys: Sequence[str] = TRAINING_KEYS) -> Column:
+    """The score of a parsed review: its grade's, else its own; null if it wasn't parsed."""
+    return F.when(ok, F.coalesce(grade_from_payload(payload, keys) * 20.0, json_number(payload, "$.score")))
+
+
+def parsed_grade(ok: Column, payload: Column, keys: Sequence[str] = TRAINING_KEYS) -> Column:
+    return F.when(ok, grade_from_payload(payload, keys))
+
+
+def score_delta(parsed: Column, reference: Column) -> Column:
+    return F.bround(number(parsed) - number(reference), 6)
 
 
 def delta_bucket(delta: Column) -> Column:

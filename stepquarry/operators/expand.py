@@ -1,37 +1,37 @@
-"""Row expanders: pairs, corrections, pseudo-trees, metric rows."""
+"""Row expanders: pairs, and the trees that linear rollouts stand for."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dedupe import top_k
-
 
 def pair_rows(df: DataFrame, pair: str, pos: str, neg: str) -> DataFrame:
     sides = F.array(F.struct(F.lit("pos").alias("pair_role"), F.col(pos).alias("response")), F.struct(F.lit("neg").alias("pair_role"), F.col(neg).alias("response")))
     return df.select(F.col(pair).alias("pair_id"), F.inline(sides)).where("response is not null")
 
 
-def corrections(df: DataFrame, where: Column, group: str, order: list, most: int, repeat: int, tag: str) -> DataFrame:
-    """Up to `most` corrections of each group, each repeated under tags of its own; the cap counts corrections."""
-    kept = top_k(df.where(where), [group], order, most)
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1)))).withColumn("new_tag", F.concat(F.col(tag).cast("string"), F.lit("#correction"), F.col("copy").cast("string")))
-
-
 def flat_tree(df: DataFrame, record: str, order: str, candidate: str) -> DataFrame:
-    """Candidates as children c0, c1, ... of one root."""
+    """Candidates as children c0, c1, ... of one root, each with an equal prior."""
     packed = df.groupBy(record).agg(F.sort_array(F.collect_list(F.struct(order, candidate))).alias("cs"))
-    return packed.select(record, F.posexplode("cs").alias("i", "c")).select(record, F.concat(F.lit("c"), F.col("i").cast("string")).alias("tag"), F.col(f"c.{candidate}").alias(candidate))
+    flat = packed.select(record, F.size("cs").alias("n"), F.posexplode("cs").alias("i", "c"))
+    return flat.select(record, F.concat(F.lit("c"), F.col("i").cast("string")).alias("tag"), F.col(f"c.{candidate}").alias(candidate), F.bround(1.0 / F.greatest(F.col("n"), F.lit(1)), 6).alias("prior"))
+
+
+def chain_nodes(segments: Column, index: Column, candidates: Column) -> Column:
+    """The chain of a candidate's segments: c0, c0.0, c0.0.0, ...; the first has the candidate's share as prior, the last is terminal."""
+    root = F.concat(F.lit("c"), index.cast("string"))
 
+    def node(text: Column, i: Column) -> Column:
+        prior = F.when(i == 0, F.bround(1.0 / F.greatest(candidates, F.lit(1)), 6)).otherwise(1.0)
+        return F.struct(F.concat(root, F.repeat(F.lit(".0"), i)).alias("tag"), text.alias("text"), prior.alias("prior"), (i == F.size(segments) - 1).alias("terminal"))
 
-def chain_tree(df: DataFrame, record: str, order: str, step: str) -> DataFrame:
-    """Steps as a chain: 0, 0.0, 0.0.0, ..."""
-    packed = df.groupBy(record).agg(F.sort_array(F.collect_list(F.struct(order, step))).alias("cs"))
-    flat = packed.select(record, F.posexplode("cs").alias("i", "c"))
-    return flat.select(record, F.array_join(F.array_repeat(F.lit("0"), F.col("i") + 1), ".").alias("tag"), F.col(f"c.{step}").alias(step))
+    return F.transform(segments, node)
 
 
-def metric_rows(results: DataFrame) -> DataFrame:
-    """Nested evaluation results -> a row for each record and dimension."""
-    return results.select("record_index", "source", F.explode("dimensions").alias("d")).select("record_index", "source", "d.*")
+def chain_tree(df: DataFrame, record: str, candidate: str, order: str, segment: str) -> DataFrame:
+    """Segments of numbered candidates as chains; a row for each node."""
+    packed = df.groupBy(record, candidate).agg(F.sort_array(F.collect_list(F.struct(order, segment))).alias("s"))
+    many = packed.groupBy(record).agg(F.sort_array(F.collect_list(F.struct(F.col(candidate).alias("i"), F.transform("s", lambda x: x[segment]).alias("s")))).alias("cs"))
+    nodes = F.flatten(F.transform("cs", lambda c, i: chain_nodes(c["s"], i, F.size("cs"))))
+    return many.select(record, F.inline(nodes))

@@ -1,4 +1,4 @@
-"""Evaluation metrics. Aggregates are null over no rows; divisions are guarded."""
+"""Summaries of predictions, lengths and value sequences. Aggregates are null over no rows; divisions are guarded."""
 
 from __future__ import annotations
 
@@ -21,58 +21,25 @@ def summary(predicted: Column, reference: Column) -> list[Column]:
     return [
         F.count("*").alias("n"),
         F.count_if(valid).alias("n_valid"),
-        F.bround(F.count_if(valid) / F.count("*"), 6).alias("valid_rate"),
-        F.bround(F.avg(error), 6).alias("mae"),
-        F.median(error).cast("double").alias("median_error"),
-        F.bround(F.avg(F.when(valid, ((predicted >= 3) == (reference >= 3)).cast("double"))), 6).alias("boundary_accuracy"),
-        F.bround(pearson(predicted, reference), 6).alias("pearson"),
+        (F.bround(F.count_if(valid) / F.greatest(F.count("*"), F.lit(1)), 4) + 0.0).alias("valid_rate"),
+        (F.bround(F.avg(error), 4) + 0.0).alias("mae"),
+        (F.bround(F.median(error).cast("double"), 4) + 0.0).alias("median_error"),
+        (F.bround(F.avg(F.when(valid, ((predicted >= 3) == (reference >= 3)).cast("double"))), 4) + 0.0).alias("boundary_accuracy"),
+        (F.bround(pearson(predicted, reference), 4) + 0.0).alias("pearson"),
     ]
 
 
-def families(strict: Column, lenient: Column, reference: Column, low: Column, high: Column) -> list[Column]:
-    """Exact-label and interval metrics of strict and lenient readings; a family's denominator is its own valid rows."""
-    out = []
-    for name, p in (("strict", strict), ("lenient", lenient)):
-        ok = p.isNotNull()
-        rate = lambda hit, among: F.bround(F.avg(F.when(among, hit.cast("double"))), 6)
-        out += [
-            F.count_if(ok & reference.isNotNull()).alias(f"{name}_n"),
-            F.bround(F.avg(F.abs(p - reference)), 6).alias(f"{name}_mae"),
-            rate(p == reference, ok & reference.isNotNull()).alias(f"{name}_exact"),
-            rate(F.abs(p - reference) <= 1, ok & reference.isNotNull()).alias(f"{name}_within_1"),
-            rate(p >= 3, ok & (reference <= 2)).alias(f"{name}_low_fp"),
-            rate(p <= 2, ok & (reference >= 3)).alias(f"{name}_high_fn"),
-            rate(p.between(low, high), ok & low.isNotNull()).alias(f"{name}_in_interval"),
-        ]
-    return out
-
-
-def pairwise_accuracy(df: DataFrame, pair: str, role: str, grade: str, order: str) -> DataFrame:
-    """Share of comparable pairs whose positive is graded strictly higher; a role's last row counts."""
-    last = lambda r: F.max(F.when(F.col(role) == r, F.struct(order, grade)))[grade]
-    sides = df.groupBy(pair).agg(last("pos").alias("pos"), last("neg").alias("neg")).where("pos is not null and neg is not null")
-    return sides.agg(F.count("*").alias("pairs"), F.bround(F.avg((F.col("pos") > F.col("neg")).cast("double")), 6).alias("accuracy"))
-
-
-def length_quantiles(df: DataFrame, value: str) -> DataFrame:
-    """Minimum, whole median, quantiles by index floor(p (n - 1)) and maximum, from a histogram: no task holds all values."""
+def length_quantiles(df: DataFrame, value: str, rounded: bool = False) -> DataFrame:
+    """Minimum, whole median, quantiles at index floor(p (n - 1)) (rounded: at the nearest index) and maximum, from a histogram: no task
+    holds all values."""
     hist = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
     packed = hist.agg(F.sum("c").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "c"))).alias("h"))
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("v"))
     value_at = lambda k: F.aggregate("h", start, lambda s, x: F.struct((s["seen"] + x["c"]).alias("seen"), F.coalesce(s["v"], F.when(s["seen"] + x["c"] > k, x["v"].cast("long"))).alias("v")), lambda s: s["v"])
     n = F.col("n")
+    at = lambda p: F.least(n - 1, F.bround(F.lit(p) * (n - 1)).cast("long")) if rounded else F.floor(F.lit(p) * (n - 1))
     median = F.floor((value_at(F.floor((n - 1) / 2)) + value_at(F.floor(n / 2))) / 2).cast("long")
-    return packed.select(F.col("least").cast("long").alias("least"), median.alias("median"), *[value_at(F.floor(F.lit(p) * (n - 1))).alias(f"p{round(100 * p)}") for p in (0.9, 0.95, 0.99)], F.col("most").cast("long").alias("most"))
-
-
-def fused_grade(grades: Column, correctness: Column) -> Column:
-    """Boundary first: the correctness grade twice with grades on its side, their median, clipped to the side; without it the median of all."""
-    side = F.filter(grades, lambda g: (g >= 3) == (correctness >= 3))
-    pool = F.array_sort(F.concat(F.array(correctness, correctness), side))
-    middle = lambda xs: (F.element_at(xs, F.floor((F.size(xs) + 1) / 2).cast("int")) + F.element_at(xs, F.floor(F.size(xs) / 2 + 1).cast("int"))) / 2.0
-    fused = F.bround(middle(pool)).cast("int")
-    clipped = F.when(correctness >= 3, F.greatest(F.lit(3), fused)).otherwise(F.least(F.lit(2), fused))
-    return F.when(correctness.isNotNull(), clipped).when(F.size(grades) > 0, F.bround(middle(F.array_sort(grades))).cast("int"))
+    return packed.select(F.col("least").cast("long").alias("least"), median.alias("median"), *[value_at(at(p)).alias(f"p{round(100 * p)}") for p in (0.9, 0.95, 0.99)], F.col("most").cast("long").alias("most"))
 
 
 def sequence_stats(values: Column) -> dict[str, Column]:

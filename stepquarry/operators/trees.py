@@ -1,49 +1,170 @@
-"""Trees as dotted tags: lineage joins, ancestor statistics, search selection. No recursion, no self-join on prefixes."""
+"""Search trees as one row a record, their nodes an array in the order they were made: lineages, paths, statistics, selection.
+
+A record's tree is small (it is one JSON object at the source), so all of this is higher-order functions over the array: nodes that come as
+rows are packed by one shuffle, and nothing is joined afterwards. A node is a struct with at least `tag`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts
 
+#: Answers that stand for a failure, and the value that stands for none.
+FAILURES = (
+    "Fail to generate parsable text for next step.",
+    "Fail to sove the problem within limited steps.",
+    "Too many consecutive steps have code errors.",
+)
+IGNORED = -100.0
+
+
+def packed(nodes: DataFrame, keys: list[str], order: list[str], *columns: str) -> DataFrame:
+    """A row for each record: keys, and `react`, its nodes (columns) in the given order."""
+    entry = F.struct(*order, F.struct(*columns).alias("_node"))
+    return nodes.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["_node"]).alias("react"))
+
+
+def ancestors(react: Column, tag: Column) -> Column:
+    """The nodes on the way to a tag, root first, itself last; prefixes without a node are passed over."""
+    found = F.filter(react, lambda n: texts.descends(tag, n["tag"]))
+    return F.transform(F.sort_array(F.transform(found, lambda n: F.struct(F.length(n["tag"]).alias("l"), n.alias("n")))), lambda e: e["n"])
+
+
+def children(react: Column, tag: Column) -> Column:
+    return F.filter(react, lambda n: texts.parent_tag(n["tag"]) == tag)
+
+
+def is_terminal(node: Column) -> Column:
+    """Nodes with a final answer; one that stands for a failure counts too."""
+    return F.coalesce(node["final_answer"], F.lit("")) != ""
 
-def exploded(nodes: DataFrame, tag: str = "tag") -> DataFrame:
-    """A row for each node and prefix of its tag."""
-    return nodes.withColumn("anc", F.explode(texts.lineage(F.col(tag))))
 
+def valid_final(answer: Column) -> Column:
+    return (F.coalesce(answer, F.lit("")) != "") & ~answer.isin(*FAILURES)
 
-def ancestor_stats(nodes: DataFrame, record: str, tag: str, value: str) -> DataFrame:
-    """For each node that exists: best value, visits and mean over itself and its descendants, combined before the shuffle."""
-    found = exploded(nodes, tag).groupBy(record, "anc").agg(F.max(value).alias("best_q"), F.count("*").alias("visits"), F.sum(value).alias("value_sum"))
-    there = nodes.select(record, F.col(tag).alias("anc")).distinct()
-    return found.join(there, [record, "anc"], "left_semi").withColumn("mean_q", F.col("value_sum") / F.col("visits"))
 
+def valued_terminals(react: Column) -> Column:
+    """(tag, q) of terminal nodes that have a value and no error: what best_descendant looks among."""
+    good = lambda n: is_terminal(n) & (F.coalesce(texts.terminal_error(n["reward_details"]), F.lit("")) == "") & n["q_value"].isNotNull() & (n["q_value"] != IGNORED)
+    return F.transform(F.filter(react, good), lambda n: F.struct(n["tag"].alias("tag"), n["q_value"].alias("q")))
 
-def paths(nodes: DataFrame, record: str, tag: str, text: str, value: str) -> DataFrame:
-    """One row for each node: its existing lineage as ordered arrays (segments, values, tags)."""
-    wanted = exploded(nodes.select(record, F.col(tag).alias("terminal")), "terminal")
-    held = wanted.join(nodes.select(record, F.col(tag).alias("anc"), F.col(text).alias("_text"), F.col(value).alias("_value")), [record, "anc"])
-    packed = held.groupBy(record, "terminal").agg(F.sort_array(F.collect_list(F.struct(texts.depth(F.col("anc")).alias("d"), "anc", "_text", "_value"))).alias("p"))
-    return packed.select(record, "terminal", F.col("p._text").alias("response"), F.col("p._value").alias("q_value"), F.col("p.anc").alias("q_node_tags"))
 
+def best_descendant(terminals: Column, tag: Column, fallback: Column) -> Column:
+    """The best value of a valued terminal at or below a tag; fallback if there is none."""
+    return F.coalesce(F.array_max(F.transform(F.filter(terminals, lambda t: texts.descends(t["tag"], tag)), lambda t: t["q"])), fallback)
 
-def puct(q: Column, prior: Column, visits: Column, parent_visits: Column, c: float = 1.25) -> Column:
+
+def backup(react: Column, reward: str) -> Column:
+    """(tag, visits, q) of every node: how many rewards (of nodes at or below it that have one) it got, and their mean, 0 without any."""
+
+    def of(n: Column) -> Column:
+        own = F.transform(F.filter(react, lambda m: m[reward].isNotNull() & texts.descends(m["tag"], n["tag"])), lambda m: m[reward])
+        mean = F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.size(own)).otherwise(0.0)
+        return F.struct(n["tag"].alias("tag"), F.size(own).cast("bigint").alias("visits"), mean.alias("q"))
+
+    return F.transform(react, of)
+
+
+def puct(q: Column, prior: Column, visits: Column, parent_visits: Column, c: float = 1.5) -> Column:
     return q + c * prior * F.sqrt(parent_visits) / (1 + visits)
 
 
-def select_best(children: DataFrame, record: str, score: str, tag: str) -> DataFrame:
-    """The child with the best score under each parent; ties go to the first tag."""
-    w = Window.partitionBy(record, "parent").orderBy(F.desc(score), tag)
-    return children.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def selected(react: Column, c: float = 1.5) -> Column:
+    """(parent, tag, score) of the child that PUCT picks under each node: of nodes (tag, visits, q, prior, terminal), terminal ones aside.
+
+    Of equal scores the child made first is taken."""
+
+    def pick(n: Column) -> Column:
+        kids = F.filter(children(react, n["tag"]), lambda k: ~k["terminal"])
+        scored = F.transform(kids, lambda k, i: F.struct(F.bround(puct(k["q"], k["prior"], k["visits"], n["visits"], c), 9).alias("score"), (-i).alias("i"), k["tag"].alias("tag")))
+        best = F.array_max(scored)
+        return F.when(best.isNotNull(), F.struct(n["tag"].alias("parent"), best["tag"].alias("tag"), best["score"].alias("score")))
+
+    return F.array_compact(F.transform(react, pick))
+
 
+def visible_depth(react: Column, tag: Column) -> Column:
+    return F.size(F.filter(ancestors(react, tag), lambda n: F.coalesce(n["text"], F.lit("")) != ""))
 
-def cumulative_text(paths_: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return paths_.withColumn("so_far", F.array_join(F.collect_list(text).over(w), "\n"))
+
+def frontier(react: Column, most_depth: int, limit: int = 0) -> Column:
+    """Tags of open leaves, deepest first, then by q, visits and value; ties in the order they were made. limit 0 gives all.
+
+    Open: neither terminal nor with children, not deeper than most_depth, with a dimension."""
+
+    def open_(n: Column) -> Column:
+        leaf = ~F.exists(react, lambda m: F.coalesce(texts.parent_tag(m["tag"]), F.lit("")) == n["tag"])
+        return leaf & ~n["terminal"] & (F.coalesce(n["target_dimension"], F.lit("")) != "") & (visible_depth(react, n["tag"]) <= most_depth)
+
+    ranked = F.transform(
+        F.filter(react, open_),
+        lambda n: F.struct(visible_depth(react, n["tag"]).alias("d"), n["q_value"].alias("q"), n["visit_count"].alias("v"), F.coalesce(n["value"], F.lit(IGNORED)).alias("x"), (-F.array_position(F.transform(react, lambda m: m["tag"]), n["tag"])).alias("i"), n["tag"].alias("tag")),
+    )
+    tags = F.transform(F.sort_array(ranked, asc=False), lambda e: e["tag"])
+    return F.slice(tags, 1, limit) if limit > 0 else tags
+
+
+def may_expand(react: Column, tag: Column, most_depth: int, explore_depth: int, leaf_target: int = 0, node_budget: int = 0, linear: Column | None = None) -> Column:
+    """Whether a node may get children: not terminal, not too deep, and neither enough valid leaves nor nodes yet (0: no such bound).
+
+    A linear rollout only ends at most_depth."""
+    depth = visible_depth(react, tag)
+    node = F.get(F.filter(react, lambda n: n["tag"] == tag), 0)
+    leaves = F.size(F.filter(react, lambda n: n["terminal"] & valid_final(n["final_answer"])))
+    shown = F.size(F.filter(react, lambda n: F.coalesce(n["text"], F.lit("")) != ""))
+    stop = (depth > explore_depth) | (depth >= most_depth)
+    if leaf_target > 0:
+        stop = stop | (leaves >= leaf_target)
+    if node_budget > 0:
+        stop = stop | (shown >= node_budget)
+    rolled = F.coalesce(linear, F.lit(False)) if linear is not None else F.lit(False)
+    return ~node["terminal"] & F.when(rolled, depth <= most_depth).otherwise(~stop)
+
+
+def so_far(react: Column, tag: Column) -> Column:
+    """The stripped texts on the way to a node, a line each."""
+    return F.array_join(F.transform(F.filter(ancestors(react, tag), lambda n: F.coalesce(n["text"], F.lit("")) != ""), lambda n: texts.strip(n["text"])), "\n")
 
 
 def state_map(nodes: DataFrame, record: str, tag: str, *columns: str) -> DataFrame:
-    """A map from tag to node for each record, in the tags' natural order."""
-    entry = F.struct(texts.natural_key(F.col(tag)).alias("k"), F.col(tag).alias("key"), F.struct(*columns).alias("value"))
+    """A map from tag to node for each record, level by level, in the tags' natural order."""
+    entry = F.struct(texts.depth(F.col(tag)).alias("d"), texts.natural_key(F.col(tag)).alias("k"), F.col(tag).alias("key"), F.struct(*columns).alias("value"))
     return nodes.groupBy(record).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.struct(x["key"], x["value"]))).alias("react"))
+
+
+def cumulative_text(rows: DataFrame, keys: list[str], order: list[str], text: str, out: str = "so_far") -> DataFrame:
+    """A path given as rows: each row with the texts up to it, a line each."""
+    names = [c for c in rows.columns if c not in keys]
+    whole = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in names if c not in order]))).alias("_path"))
+    upto = F.transform("_path", lambda x, i: x.withField(out, F.array_join(F.transform(F.slice("_path", F.lit(1), i + 1), lambda y: y[text]), "\n")))
+    return whole.select(*keys, F.inline(upto))
+
+
+# rounds of a search -------------------------------------------------------------------------------------------------------------------
+def first_texts(outputs: Column) -> Column:
+    """Generated texts without repeats, compared stripped, in order."""
+    stripped = F.transform(outputs, texts.strip)
+    return F.filter(outputs, lambda x, i: F.array_position(stripped, texts.strip(x)) == i + 1)
+
+
+def beam_round(candidates: DataFrame, keys: list[str], order: list[str], width: Column, most_depth: int) -> DataFrame:
+    """One step of a beam search over candidates(value, terminal, final_answer, depth): the best `width` of each tree, with `fate`.
+
+    fate: `final` (a valid answer), `dropped` (another end, or too deep) or `current`, and `next_width`, less by one for each that isn't current.
+    Of equal values the first made comes first."""
+    names = [c for c in candidates.columns if c not in keys]
+    entry = F.struct((-F.col("value")).alias("_v"), *order, F.struct(*names).alias("_c"))
+    got = candidates.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["_c"]).alias("_all"), F.first(width).alias("_width"))
+    fate = lambda c: F.when(c["terminal"] & valid_final(c["final_answer"]), "final").when(c["terminal"] | (c["depth"] > most_depth), "dropped").otherwise("current")
+    top = got.withColumn("_top", F.transform(F.slice("_all", F.lit(1), F.greatest(F.col("_width"), F.lit(0))), lambda c: c.withField("fate", fate(c))))
+    left = F.col("_width") - F.size(F.filter("_top", lambda c: c["fate"] != "current"))
+    return top.withColumn("next_width", left).select(*keys, "next_width", F.inline("_top"))
+
+
+def solutions(finals: DataFrame, keys: list[str], order: list[str], value: str = "value") -> DataFrame:
+    """Final answers of each tree, best first (`rank` from 1), ties in the order they were found."""
+    names = [c for c in finals.columns if c not in keys]
+    entry = F.struct((-F.col(value)).alias("_v"), *order, F.struct(*names).alias("_c"))
+    got = finals.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    return got.select(*keys, F.inline(F.transform("_all", lambda e, i: e["_c"].withField("rank", (i + 1).cast("bigint")))))

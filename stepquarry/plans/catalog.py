@@ -2,427 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions import grades as G
-from ..functions import texts as X
-from ..functions import udfs
-from ..operators import dedupe, expand, labels, metrics, reward, sampling, trees
-from . import tables as T
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-C = F.col
-SEED = 20260424
-
-
-def query(sql: str = "", name: str = "") -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE[name or f.__name__] = sql
-        return f
-
-    return add
-
-
-def column(name: str, table: Callable, keys: list[str], make: Callable[[], dict[str, Column]], ctes: str, select: str, source: str) -> None:
-    """A query that projects a table, with its SQL."""
-    query(f"WITH {ctes} SELECT {', '.join(keys)}, {select} FROM {source}", name)(lambda s, d: table(s, d).select(*keys, *[c.alias(k) for k, c in make().items()]))
-
-
-def documents(s: SparkSession, d: str) -> DataFrame:
-    return T.read(s, d, "documents")
-
-
-def r6(c: Column) -> Column:
-    return F.bround(c, 6) + 0.0
-
-
-# grades -------------------------------------------------------------------------------------------------------------------------------
-CLAMP = "greatest(0, least(5, CAST(round_even({}, 0) AS INT)))"
-column("grade_clamp", T.samples, ["doc_id"], lambda: {"grade": G.clamp_grade(C("score") / 2), "from_text": G.clamp_grade((C("score") - 2.5).cast("string"))}, T.SAMPLES, f"{CLAMP.format('score / 2')} AS grade, {CLAMP.format('score - 2.5')} AS from_text", "samples")
-column("grade_scalar", T.graded, ["doc_id"], lambda: {"scalar": G.scalar_score(C("grade"))}, T.SAMPLES, "grade * 20.0::DOUBLE AS scalar", "graded")
-column("grade_value_target", T.graded, ["doc_id"], lambda: {"target": r6(G.value_target(C("grade")))}, T.SAMPLES, "round_even(round_even(grade / 2.5::DOUBLE - 1, 4), 6) + 0.0 AS target", "graded")
-column("grade_from_scalar", T.samples, ["doc_id"], lambda: {"grade": G.grade_from_scalar(C("n_chars") % 101, C("doc_id") % 3 * 50)}, T.SAMPLES, f"CASE WHEN doc_id % 3 * 50 > 0 THEN {CLAMP.format('(n_chars % 101)::DOUBLE / (doc_id % 3 * 50)::DOUBLE * 5')} END AS grade", "samples")
-FROM_CORRECTNESS = "CASE WHEN correctness = 'Correct' THEN CASE WHEN score <= 6 THEN 3 WHEN score <= 8 THEN 4 ELSE 5 END WHEN score <= 1 THEN 0 WHEN score <= 3 THEN 1 ELSE 2 END"
-column("grade_from_correctness", T.samples, ["doc_id"], lambda: {"grade": G.grade_from_correctness(C("correctness"), C("score"))}, T.SAMPLES, f"{FROM_CORRECTNESS} AS grade", "samples")
-column("grade_interval_binary", T.samples, ["doc_id"], lambda: dict(zip(("low", "high"), G.interval_from_binary(C("quality")), strict=True)), T.SAMPLES, "CASE WHEN quality = 1 THEN 3 ELSE 0 END AS low, CASE WHEN quality = 1 THEN 5 ELSE 2 END AS high", "samples")
-column("grade_verdict", T.graded, ["doc_id"], lambda: {"verdict": G.verdict(C("grade"))}, T.SAMPLES, "CASE WHEN grade >= 4 THEN 'accept' WHEN grade = 3 THEN 'minor_issue' ELSE 'major_issue' END AS verdict", "graded")
-column("grade_boundary", T.graded, ["doc_id"], lambda: {"correct": G.functionally_correct(C("grade"))}, T.SAMPLES, "grade >= 3 AS correct", "graded")
-column("repair_effort", T.graded, ["doc_id"], lambda: {"effort": G.repair_effort(C("grade"))}, T.SAMPLES, "['rewrite', 'major', 'moderate', 'minor', 'trivial', 'none'][grade + 1] AS effort", "graded")
-
-def payload() -> Column:
-    return F.when(C("pos") % 4 == 0, F.concat(F.lit('{"grade": '), C("grade"), F.lit("}"))).when(C("pos") % 4 == 1, F.concat(F.lit('{"score": '), C("pos") % 130, F.lit("}"))).when(C("pos") % 4 == 2, F.lit('{"axiom_grade": true}')).otherwise(F.lit('{"x": 1}'))
-
-
-column("grade_from_payload", T.reviews, ["pos"], lambda: {"grade": G.grade_from_payload(payload())}, T.REVIEWS, f"CASE WHEN pos % 4 = 0 THEN grade WHEN pos % 4 = 1 THEN CASE WHEN pos % 130 <= 5 THEN CAST(pos % 130 AS INT) WHEN pos % 130 <= 100 THEN {CLAMP.format('(pos % 130) / 20.0::DOUBLE')} END WHEN pos % 4 = 2 THEN 1 END AS grade", "reviews")
-column("grade_alignment", T.reviews, ["pos"], lambda: {"alignment": r6(G.alignment(C("grade"), C("target")))}, T.REVIEWS, "CASE WHEN target IS NOT NULL THEN round_even(greatest(0.0, 1 - abs(grade - target) / 5.0::DOUBLE), 6) + 0.0 END AS alignment", "reviews")
-column("verdict_from_score", T.samples, ["doc_id"], lambda: {"verdict": G.verdict_from_score(C("n_chars") % 101), "agreement": G.verdict_agreement(G.verdict_from_score(C("n_chars") % 101), G.verdict_from_score(C("score")))}, T.SAMPLES + ", v AS (SELECT *, CASE WHEN n_chars % 101 >= CASE WHEN n_chars % 101 <= 5 THEN 4 ELSE 80 END THEN 0 WHEN n_chars % 101 >= CASE WHEN n_chars % 101 <= 5 THEN 3 ELSE 60 END THEN 1 ELSE 2 END AS a, CASE WHEN score >= CASE WHEN score <= 5 THEN 4 ELSE 80 END THEN 0 WHEN score >= CASE WHEN score <= 5 THEN 3 ELSE 60 END THEN 1 ELSE 2 END AS b FROM samples)", "['accept', 'minor_issue', 'major_issue'][a + 1] AS verdict, 1 - abs(a - b) / 2.0::DOUBLE AS agreement", "v")
-column("target_grade_reconcile", T.graded, ["doc_id"], lambda: {"target": G.reconcile_target(F.when(C("doc_id") % 7 != 0, C("grade")), (C("doc_id") % 3) / 2.0)}, T.SAMPLES, "CASE WHEN doc_id % 7 = 0 THEN CASE doc_id % 3 WHEN 2 THEN 4 WHEN 1 THEN 2 ELSE 1 END WHEN doc_id % 3 = 2 AND grade < 3 THEN 3 WHEN doc_id % 3 = 0 AND grade >= 3 THEN 2 ELSE grade END AS target", "graded")
-column("target_grade_from_details", T.reviews, ["pos"], lambda: {"grade": G.target_from_details(F.when(C("pos") % 2 == 0, C("grade")), C("pos") % 90)}, T.REVIEWS, f"CASE WHEN pos % 2 = 0 THEN grade WHEN pos % 90 > 10 THEN {CLAMP.format('(pos % 90)::DOUBLE / 100 * 5')} ELSE {CLAMP.format('(pos % 90)::DOUBLE / 10 * 5')} END AS grade", "reviews")
-
-
-@query(f"WITH {T.SAMPLES} SELECT doc_id, CASE WHEN toxic = 1 THEN round_even(0.6::DOUBLE * score + 4.0 * 0.5::DOUBLE, 2) + 0.0 ELSE score END AS correctness, score AS clarity FROM samples")
-def dimension_targets(s: SparkSession, d: str) -> DataFrame:
-    scores = F.create_map(F.lit("Correctness Verification"), C("score"), F.lit("Clarity"), C("score"))
-    out = T.samples(s, d).withColumn("t", G.dimension_targets(scores, F.lit(0.5), C("toxic") == 1))
-    return out.select("doc_id", (C("t")["Correctness Verification"] + 0.0).alias("correctness"), C("t")["Clarity"].alias("clarity"))
-
-
-@query(f"WITH {T.REVIEWS} SELECT CASE WHEN target IS NULL THEN 'unknown' WHEN grade - target <= -2 THEN 'under_2plus' WHEN grade - target = -1 THEN 'under_1' WHEN grade = target THEN 'exact' WHEN grade - target = 1 THEN 'over_1' ELSE 'over_2plus' END AS bucket, count(*) AS n FROM reviews GROUP BY 1")
-def delta_bucket_hist(s: SparkSession, d: str) -> DataFrame:
-    return T.reviews(s, d).groupBy(G.delta_bucket(C("grade") - C("target")).alias("bucket")).agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {T.REVIEWS} SELECT pos, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, q * 3)) AS reward, CASE WHEN error IS NULL THEN q ELSE -100.0::DOUBLE END AS numeric FROM reviews")
-def reward_clamp(s: SparkSession, d: str) -> DataFrame:
-    return T.reviews(s, d).select("pos", G.clamp_reward(C("q") * 3).alias("reward"), G.numeric_q(F.when(C("error").isNull(), C("q").cast("string")).otherwise("x")).alias("numeric"))
-
-
-# text ---------------------------------------------------------------------------------------------------------------------------------
-def tagged() -> Column:
-    return F.concat(F.lit('<review>{"grade": 1}</review> <review>\n{"axiom_grade": '), C("grade"), F.lit(', "note": "'), C("dimension"), F.lit('"}\n</review>'))
-
-
-TAGGED = """'<review>{"grade": 1}</review> <review>' || chr(10) || '{"axiom_grade": ' || grade || ', "note": "' || dimension || '"}' || chr(10) || '</review>'"""
-column("payload_slice_parse", T.reviews, ["pos"], lambda: {"grade": F.get_json_object(X.json_slice(X.last_review(tagged())), "$.axiom_grade").cast("int")}, T.REVIEWS, "grade", "reviews")
-column("lenient_grade_last_match", T.reviews, ["pos"], lambda: {"grade": G.lenient_grade(tagged())}, T.REVIEWS, "grade", "reviews")
-column("similarity_normalize", documents, ["doc_id"], lambda: {"key": X.similarity_key(C("text"))}, "x AS (SELECT 1)", r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'premature review', ' ', 'g'), '</?[a-z_]+>', ' ', 'g'), '[^a-z0-9_]+', ' ', 'g'), ' +', ' ', 'g')) AS key", "documents")
-
-
-ONE = "x AS (SELECT 1)"
-column("truncate_with_marker", documents, ["doc_id"], lambda: dict(zip(("cut", "was_cut"), X.truncate(C("text"), 300), strict=True)), ONE, "CASE WHEN length(text) > 300 THEN rtrim(left(text, 300)) || chr(10) || '...[truncated]' ELSE text END AS cut, length(text) > 300 AS was_cut", "documents")
-column("elide_middle", documents, ["doc_id"], lambda: {"cut": X.elide_middle(C("text"), 101)}, ONE, "CASE WHEN length(text) > 101 THEN left(text, 50) || '...' || right(text, 51) ELSE text END AS cut", "documents")
-MARKS = " OR ".join(f"contains(b, '{m}')" for m in X.CODE_MARKERS)
-PROSE = " OR ".join(f"starts_with(lower(b), '{p}')" for p in X.PROSE_PREFIXES)
-column("looks_like_code", documents, ["doc_id"], lambda: {"code": X.looks_like_code(C("text"))}, r"b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM documents)", f"length(b) >= 12 AND ({MARKS}) AND NOT ({PROSE}) AS code", "b")
-EVIDENCE = " OR ".join(f"contains(lower(text), '{m}')" for m in X.EVIDENCE_MARKERS)
-column("concrete_evidence", documents, ["doc_id"], lambda: {"concrete": X.concrete_evidence(C("text"))}, ONE, f"({EVIDENCE}) AS concrete", "documents")
-column("public_tests_format", documents, ["doc_id"], lambda: {"tests": X.format_tests(F.split("text", "\n"))}, "t AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)", "CASE WHEN len(t) > 5 THEN array_to_string(t[1:5], chr(10)) || chr(10) || '... ' || (len(t) - 5) || ' more omitted' ELSE array_to_string(t, chr(10)) END AS tests", "t")
-column("code_fence", documents, ["doc_id"], lambda: {"code": X.code_block(F.concat(F.lit("see\n```python\n"), F.left(C("text"), F.lit(50)), F.lit("\n```\nend")))}, ONE, r"regexp_replace(left(text, 50), '^\s+|\s+$', '', 'g') AS code", "documents")
-column("instruction_projection", T.samples, ["doc_id"], lambda: {"instruction": X.instruction(C("source"), C("text"), C("subset"), True, 200)}, T.SAMPLES, "'Review the candidate solution.' || chr(10) || chr(10) || 'Problem:' || chr(10) || source || chr(10) || chr(10) || 'Code:' || chr(10) || CASE WHEN length(text) > 200 THEN rtrim(left(text, 200)) || chr(10) || '...[truncated]' ELSE text END || chr(10) || chr(10) || 'Tests:' || chr(10) || subset AS instruction", "samples")
-column("task_text", documents, ["doc_id"], lambda: {"task": X.task_text(C("lang"), F.lit("  "), C("source"))}, ONE, "lang || chr(10) || chr(10) || source AS task", "documents")
-column("stop_truncation", documents, ["doc_id"], lambda: {"cut": X.truncate_on_stop(C("text"), [". ", "the "])}, "p AS (SELECT doc_id, text, nullif(instr(text, '. '), 0) AS a, nullif(instr(text, 'the '), 0) AS b FROM documents)", "CASE WHEN a IS NULL AND b IS NULL THEN text WHEN b IS NULL OR a < b THEN left(text, a + 1) ELSE left(text, b + 3) END AS cut", "p")
-column("file_name_part", documents, ["doc_id"], lambda: {"part": X.file_part(F.concat(F.lit("/"), C("source"), F.lit(" "), C("lang"), F.lit(".x?")))}, ONE, "source || '_' || lang || '_x' AS part", "documents")
-column("fingerprint", documents, ["doc_id"], lambda: {"print": X.fingerprint(C("text"), 16)}, ONE, "left(sha256(text), 16) AS print", "documents")
-column("canonical_review", T.graded, ["doc_id"], lambda: {"review": X.review_text(C("grade"), G.verdict(C("grade")), G.repair_effort(C("grade")))}, T.SAMPLES, """'<review>' || chr(10) || '{"axiom_grade":' || grade || ',"score":' || grade * 20 || ',"verdict":"' || CASE WHEN grade >= 4 THEN 'accept' WHEN grade = 3 THEN 'minor_issue' ELSE 'major_issue' END || '","repair_effort":"' || ['rewrite', 'major', 'moderate', 'minor', 'trivial', 'none'][grade + 1] || '"}' || chr(10) || '</review>' AS review""", "graded")
-column("segment_normalize", T.turns, ["rec", "pos"], lambda: {"segment": X.normalize_segment(F.concat(F.lit(" <step>"), C("text"), F.lit("</step> ")))}, T.TURNS, r"'<step>' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || '</step>' AS segment", "turns")
-column("pair_role", documents, ["doc_id"], lambda: {"role": X.pair_role(F.when(C("doc_id") % 3 == 0, " Chosen").when(C("doc_id") % 3 == 1, "neg").otherwise("x"))}, ONE, "CASE doc_id % 3 WHEN 0 THEN 'pos' WHEN 1 THEN 'neg' END AS role", "documents")
-
-
-@query()
-def final_review_recovery(s: SparkSession, d: str) -> DataFrame:
-    broken = F.when(C("pos") % 3 == 0, F.concat(tagged(), F.lit("}"))).when(C("pos") % 3 == 1, F.concat(F.lit('{"axiom_grade": '), C("grade"), F.lit(', "evidence": ["torn'))).otherwise(tagged())
-    out = T.reviews(s, d).withColumn("r", udfs.recover_review(broken))
-    return out.select("pos", C("r.ok").alias("ok"), F.get_json_object("r.payload", "$.axiom_grade").cast("int").alias("grade"), C("r.method").alias("method"))
-
-
-@query()
-def near_duplicate_steps(s: SparkSession, d: str) -> DataFrame:
-    """Adjacent turns whose normalized texts are near duplicates."""
-    one = T.turns(s, d).withColumn("key", X.similarity_key(C("text")))
-    pairs = one.withColumn("before", F.expr("lag(key) over (partition by rec order by pos)"))
-    return pairs.select("rec", "pos", (udfs.similarity_ratio("before", "key") >= udfs.NEAR).alias("near"))
-
-
-@query()
-def modulo_claims(s: SparkSession, d: str) -> DataFrame:
-    text = F.concat(C("pos").cast("string"), F.lit(" % "), (C("pos") % 7 - 3).cast("string"), F.lit(" = "), (C("pos") % 3).cast("string"))
-    return T.reviews(s, d).select("pos", F.inline(X.modulo_claims(text)))
-
-
-@query()
-def unused_identifier(s: SparkSession, d: str) -> DataFrame:
-    code = F.concat(F.lit("def f(a, b):\n    c = a\n    return "), F.when(C("pos") % 2 == 0, "c").otherwise("b"))
-    return T.reviews(s, d).select("pos", udfs.unused_identifier(code, F.lit("c")).alias("unused"))
-
-
-# tags and trees -----------------------------------------------------------------------------------------------------------------------
-column("tag_lineage", T.nodes, ["rec", "tag"], lambda: {"lineage": F.array_join(X.lineage(C("tag")), "|")}, T.NODES, "string_agg(anc, '|' ORDER BY len(anc)) AS lineage", "lineages GROUP BY rec, tag")
-column("tag_depth_parent", T.nodes, ["rec", "tag"], lambda: {"depth": X.depth(C("tag")), "parent": X.parent_tag(C("tag"))}, T.NODES, "CAST(len(string_split(tag, '.')) AS INT) AS depth, CASE WHEN contains(tag, '.') THEN left(tag, len(tag) - 2) END AS parent", "nodes")
-
-
-@query(f"WITH {T.NODES} SELECT rec, string_agg(tag, ',' ORDER BY list_transform(string_split(tag, '.'), lambda x: x::INT)) AS tags FROM nodes GROUP BY rec")
-def tag_natural_sort(s: SparkSession, d: str) -> DataFrame:
-    packed = T.nodes(s, d).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct(X.natural_key(C("tag")).alias("k"), "tag"))).alias("p"))
-    return packed.select("rec", F.array_join("p.tag", ",").alias("tags"))
-
-
-STAGE = "CASE WHEN size <= 1 THEN 'early' WHEN i = size - 1 THEN 'final_step' WHEN i / (size - 1)::DOUBLE < 0.34 THEN 'early' WHEN i / (size - 1)::DOUBLE < 0.67 THEN 'middle' ELSE 'late' END"
-SEGMENTS = ", segments AS (SELECT rec, pos, text, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY rec) AS size FROM turns)"
-
-
-def segments(s: SparkSession, d: str) -> DataFrame:
-    return T.turns(s, d).select("rec", "pos", "text", F.expr("row_number() over (partition by rec order by pos) - 1 as i"), F.expr("count(*) over (partition by rec) as size"))
-
-
-@query(f"WITH {T.TURNS}{SEGMENTS} SELECT rec, pos, {STAGE} AS stage FROM segments")
-def stage_bucket(s: SparkSession, d: str) -> DataFrame:
-    return segments(s, d).select("rec", "pos", X.stage(C("i"), C("size"), F.lit(False)).alias("stage"))
-
-
-@query(f"WITH {T.NODES} SELECT rec, anc, max(q) AS best_q, count(*) AS visits, round_even(sum(q) / count(*), 6) + 0.0 AS mean_q FROM lineages GROUP BY rec, anc", "mcts_backup")
-@query(f"WITH {T.NODES} SELECT rec, anc, max(q) AS best_q, count(*) AS visits, round_even(sum(q) / count(*), 6) + 0.0 AS mean_q FROM lineages GROUP BY rec, anc", "best_descendant_q")
-def _ancestors(s: SparkSession, d: str) -> DataFrame:
-    return trees.ancestor_stats(T.nodes(s, d), "rec", "tag", "q").select("rec", "anc", "best_q", "visits", r6(C("mean_q")).alias("mean_q"))
-
-
-@query(f"WITH {T.NODES} SELECT l.rec, l.tag AS terminal, string_agg(n.dimension, '>' ORDER BY len(l.anc)) AS path, round_even(sum(n.q), 6) + 0.0 AS total FROM lineages l JOIN nodes n ON n.rec = l.rec AND n.tag = l.anc GROUP BY 1, 2")
-def path_assembly(s: SparkSession, d: str) -> DataFrame:
-    p = trees.paths(T.nodes(s, d), "rec", "tag", "dimension", "q")
-    return p.select("rec", "terminal", F.array_join("response", ">").alias("path"), r6(F.aggregate("q_value", F.lit(0.0), lambda a, x: a + x)).alias("total"))
-
-
-@query(f"WITH {T.NODES} SELECT rec, tag, depth, rank FROM (SELECT rec, tag, CAST(len(string_split(tag, '.')) AS INT) AS depth, row_number() OVER (PARTITION BY rec ORDER BY len(string_split(tag, '.')) DESC, q DESC, tag) AS rank FROM nodes) WHERE rank <= 2")
-def frontier_topk(s: SparkSession, d: str) -> DataFrame:
-    n = T.nodes(s, d).withColumn("depth", X.depth(C("tag")))
-    return dedupe.top_k(n, ["rec"], [F.desc("depth"), F.desc("q"), "tag"], 2, rank="rank").select("rec", "tag", "depth", "rank")
-
-
-@query(f"WITH {T.NODES}, st AS (SELECT rec, anc, count(*) AS visits FROM lineages GROUP BY 1, 2), ch AS (SELECT n.rec, n.tag, left(n.tag, len(n.tag) - 2) AS parent, n.q + 1.25 * 0.5 * sqrt(p.visits::DOUBLE) / (1 + c.visits) AS score FROM nodes n JOIN st c ON c.rec = n.rec AND c.anc = n.tag JOIN st p ON p.rec = n.rec AND p.anc = left(n.tag, len(n.tag) - 2) WHERE contains(n.tag, '.')) SELECT rec, parent, tag FROM (SELECT *, row_number() OVER (PARTITION BY rec, parent ORDER BY round_even(score, 9) DESC, tag) AS r FROM ch) WHERE r = 1")
-def puct_select(s: SparkSession, d: str) -> DataFrame:
-    n = T.nodes(s, d)
-    st = trees.ancestor_stats(n, "rec", "tag", "q").select("rec", "anc", "visits")
-    kids = n.where(C("tag").contains(".")).withColumn("parent", X.parent_tag(C("tag"))).join(st.withColumnRenamed("anc", "tag"), ["rec", "tag"])
-    kids = kids.join(st.select("rec", C("anc").alias("parent"), C("visits").alias("parent_visits")), ["rec", "parent"])
-    scored = kids.withColumn("score", F.bround(trees.puct(C("q"), F.lit(0.5), C("visits"), C("parent_visits")), 9))
-    return trees.select_best(scored, "rec", "score", "tag").select("rec", "parent", "tag")
-
-
-@query(f"WITH {T.NODES} SELECT rec, count(*) AS nodes, count(*) FILTER (status = 'F') AS reviews, min(q) AS q_min, max(q) AS q_max, CAST(max(len(string_split(tag, '.'))) AS INT) AS depth FROM nodes GROUP BY rec")
-def tree_stats(s: SparkSession, d: str) -> DataFrame:
-    return T.nodes(s, d).groupBy("rec").agg(F.count("*").alias("nodes"), F.count_if(C("status") == "F").alias("reviews"), F.min("q").alias("q_min"), F.max("q").alias("q_max"), F.max(X.depth(C("tag"))).alias("depth"))
-
-
-@query(f"WITH {T.TURNS} SELECT rec, pos, string_agg(role, chr(10)) OVER (PARTITION BY rec ORDER BY pos ROWS UNBOUNDED PRECEDING) AS so_far FROM turns")
-def cumulative_path_text(s: SparkSession, d: str) -> DataFrame:
-    return trees.cumulative_text(T.turns(s, d), ["rec"], "pos", "role").select("rec", "pos", "so_far")
-
-
-# dedupe, samples ----------------------------------------------------------------------------------------------------------------------
-@query(f"WITH {T.REVIEWS} SELECT rec, dimension, grade, min(pos) AS pos FROM reviews GROUP BY 1, 2, 3")
-def dedupe_first_wins(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.first_wins(T.reviews(s, d), ["rec", "dimension", "grade"], ["pos"]).select("rec", "dimension", "grade", "pos")
-
-
-@query(f"WITH {T.REVIEWS} SELECT rec, dimension, grade, pos, q FROM (SELECT *, row_number() OVER (PARTITION BY rec, grade ORDER BY q DESC, pos) AS r FROM reviews) WHERE r = 1")
-def dedupe_semantic_best_first(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.first_wins(T.reviews(s, d), ["rec", "grade"], [F.desc("q"), "pos"]).select("rec", "dimension", "grade", "pos", "q")
-
-
-@query(f"WITH {T.REVIEWS} SELECT rec, dimension, pos, rank FROM (SELECT *, row_number() OVER (PARTITION BY rec, dimension ORDER BY pos) AS rank FROM reviews) WHERE rank <= 2")
-def cap_per_dimension(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.top_k(T.reviews(s, d), ["rec", "dimension"], ["pos"], 2, rank="rank").select("rec", "dimension", "pos", "rank")
-
-
-@query(f"WITH {T.REVIEWS} SELECT rec, dimension, pos, q FROM (SELECT *, row_number() OVER (PARTITION BY rec, dimension ORDER BY q DESC, pos) AS r FROM reviews) WHERE r = 1")
-def best_per_dimension(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.first_wins(T.reviews(s, d), ["rec", "dimension"], [F.desc("q"), "pos"]).select("rec", "dimension", "pos", "q")
-
-
-@query(f"WITH {T.REVIEWS} SELECT rec, pos, rank FROM (SELECT rec, pos, row_number() OVER (PARTITION BY rec ORDER BY round_even(q - CASE WHEN error IS NULL THEN 0 ELSE 0.5 END, 6) DESC, grade DESC, pos) AS rank FROM reviews)")
-def candidate_rank_penalized(s: SparkSession, d: str) -> DataFrame:
-    score = F.bround(C("q") - F.when(C("error").isNull(), 0.0).otherwise(0.5), 6)
-    return T.reviews(s, d).withColumn("score", score).withColumn("rank", F.expr("cast(row_number() over (partition by rec order by score desc, grade desc, pos) as bigint)")).select("rec", "pos", "rank")
-
-
-MD5 = "md5('{}:' || {})"
-
-
-@query(f"WITH {T.SAMPLES} SELECT doc_id, grade, rank FROM (SELECT doc_id, grade, row_number() OVER (PARTITION BY grade ORDER BY {MD5.format(SEED, 'doc_id')}, doc_id) AS rank FROM graded WHERE n_chars <= 12000 AND grade BETWEEN 1 AND 5 AND trim(text) <> '') WHERE rank <= 8")
-def seed_balanced_take(s: SparkSession, d: str) -> DataFrame:
-    good = T.graded(s, d).where((C("n_chars") <= 12000) & C("grade").between(1, 5) & (F.trim("text") != ""))
-    return dedupe.top_k(good, ["grade"], sampling.seeded(SEED, "doc_id"), 8, rank="rank").select("doc_id", "grade", "rank")
-
-
-@query(f"WITH {T.SAMPLES}, a AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {MD5.format(7, 'doc_id')}, doc_id) AS r FROM graded), b AS (SELECT *, row_number() OVER (PARTITION BY grade ORDER BY {MD5.format(7, 'doc_id')}, doc_id) AS r2 FROM a WHERE r <= 20) SELECT doc_id, grade, row_number() OVER (ORDER BY grade, {MD5.format(7, 'doc_id')}, doc_id) - 1 AS new_index FROM b WHERE r2 <= 10")
-def seed_two_phase(s: SparkSession, d: str) -> DataFrame:
-    return sampling.two_phase(T.graded(s, d), "quality", "grade", 10, 2.0, 7, "doc_id").select("doc_id", "grade", "new_index")
-
-
-@query(f"WITH p AS (SELECT doc_id, doc_id // 2 AS pair_id FROM documents), k AS (SELECT DISTINCT pair_id, {MD5.format(3, 'pair_id')} AS h FROM p ORDER BY h, pair_id LIMIT 25) SELECT doc_id, pair_id FROM p JOIN k USING (pair_id)")
-def pair_preserving_sample(s: SparkSession, d: str) -> DataFrame:
-    return sampling.pair_preserving(documents(s, d).select("doc_id", F.floor(C("doc_id") / 2).alias("pair_id")), "pair_id", 25, 3).select("doc_id", "pair_id")
-
-
-@query(f"WITH {T.REVIEWS} SELECT pos FROM reviews ORDER BY {MD5.format(11, 'pos')}, pos LIMIT 100")
-def replay_sample(s: SparkSession, d: str) -> DataFrame:
-    return sampling.take(T.reviews(s, d).select("pos"), 100, 11, "pos")
-
-
-@query(f"WITH {T.SAMPLES} SELECT doc_id, quality, turn FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {MD5.format(7, 'doc_id')}, doc_id) AS turn FROM samples) ORDER BY turn, quality LIMIT 50")
-def round_robin_interleave(s: SparkSession, d: str) -> DataFrame:
-    return sampling.round_robin(T.samples(s, d), "quality", 50, 7, "doc_id").select("doc_id", "quality", "turn")
-
-
-@query(f"WITH {T.SAMPLES}, r AS (SELECT doc_id, subset, row_number() OVER (PARTITION BY subset ORDER BY {MD5.format(7, 'doc_id')}, doc_id) AS nth FROM samples), k AS (SELECT * FROM r WHERE nth <= 5), z AS (SELECT subset, count(*) AS size, row_number() OVER (ORDER BY subset) - 1 AS g FROM k GROUP BY 1) SELECT j, k.subset, k.doc_id FROM range(60) t(j) JOIN z ON z.g = j % (SELECT count(*) FROM z) JOIN k ON k.subset = z.subset AND k.nth = j % z.size + 1")
-def repeat_oversample(s: SparkSession, d: str) -> DataFrame:
-    return sampling.repeat_to(T.samples(s, d), "subset", 60, 7, "doc_id", 5).select("j", "subset", "doc_id")
-
-
-@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def heldout_anti_join(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.without_used(documents(s, d).select("doc_id"), T.read(s, d, "labels"), ["doc_id"])
-
-
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS id FROM (SELECT DISTINCT o_orderkey FROM orders) WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
-def resume_pending(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.pending(T.read(s, d, "orders").select(C("o_orderkey").alias("id")), T.read(s, d, "lineitem").select(C("l_orderkey").alias("id")), "id")
-
-
-# labels -------------------------------------------------------------------------------------------------------------------------------
-MOM = ", part AS (SELECT dimension, count(q) AS n, avg(q) AS mean, stddev_pop(q) AS sd FROM {0} WHERE q IS NOT NULL GROUP BY 1), whole AS (SELECT count(q) AS all_n, avg(q) AS all_mean, stddev_pop(q) AS all_sd FROM {0} WHERE q IS NOT NULL)"
-
-
-@query(f"WITH {T.NODES}{MOM.format('nodes')} SELECT rec, tag, round_even(CASE WHEN n >= 2 AND sd > 1e-6 AND all_sd > 1e-6 THEN all_mean + (q - mean) / sd * all_sd ELSE q END, 6) + 0.0 AS z FROM nodes JOIN part USING (dimension) CROSS JOIN whole")
-def stage_standardize(s: SparkSession, d: str) -> DataFrame:
-    return labels.standardized(T.nodes(s, d), "q", "dimension", "z").select("rec", "tag", r6(C("z")).alias("z"))
-
-
-@query(f"WITH {T.NODES}, b AS (SELECT rec, anc AS tag, max(q) AS best FROM lineages GROUP BY 1, 2) SELECT rec, tag, CASE WHEN status = 'F' THEN q ELSE round_even(greatest(-1.0, least(1.0, 0.4::DOUBLE * q + 0.3::DOUBLE * best + 0.3::DOUBLE * q)), 4) + 0.0 END AS label FROM nodes JOIN b USING (rec, tag)")
-def stage_blend(s: SparkSession, d: str) -> DataFrame:
-    n = T.nodes(s, d)
-    best = trees.ancestor_stats(n, "rec", "tag", "q").select("rec", C("anc").alias("tag"), "best_q")
-    return n.join(best, ["rec", "tag"]).select("rec", "tag", (labels.blended(C("q"), C("best_q"), C("q"), C("status") == "F") + 0.0).alias("label"))
-
-
-@query(f"WITH {T.REVIEWS}, ok AS (SELECT dimension, q FROM reviews WHERE error IS NULL) SELECT dimension, n, round_even(mean, 6) + 0.0 AS mean, round_even(sd, 6) + 0.0 AS sd, CASE WHEN is_all = 1 AND n < 30 THEN 'not_enough_anchor_values' WHEN is_all = 0 AND (n < 30 OR sd <= 1e-6) THEN 'not_enough_dimension_values' END AS disabled FROM (SELECT dimension, grouping(dimension) AS is_all, count(*) AS n, avg(q) AS mean, stddev_pop(q) AS sd FROM ok GROUP BY GROUPING SETS ((dimension), ()))")
-def q_calibrator(s: SparkSession, d: str) -> DataFrame:
-    out = labels.calibrator(T.reviews(s, d).where("error is null"), "q", "dimension", 30)
-    return out.select("dimension", "n", r6(C("mean")).alias("mean"), r6(C("sd")).alias("sd"), "disabled")
-
-
-@query(f"WITH {T.REVIEWS}{MOM.format('reviews')} SELECT pos, round_even(CASE WHEN n >= 30 AND sd > 1e-6 AND all_n >= 30 AND all_sd > 1e-6 THEN greatest(-1.0, least(1.0, 0.5::DOUBLE * q + 0.5::DOUBLE * (all_mean + (q - mean) / sd * all_sd))) ELSE q END, 6) + 0.0 AS calibrated FROM reviews JOIN part USING (dimension) CROSS JOIN whole")
-def q_calibrate_apply(s: SparkSession, d: str) -> DataFrame:
-    return labels.calibrated(T.reviews(s, d), "q", "dimension", 30, 0.5, "calibrated").select("pos", r6(C("calibrated")).alias("calibrated"))
-
-
-CONSENSUS = f"WITH {T.REVIEWS}, mid AS (SELECT rec, dimension, median(grade) AS median, count(grade) AS n, arg_min(target, pos) FILTER (target IS NOT NULL) AS target FROM reviews GROUP BY 1, 2), off AS (SELECT rec, dimension, median(abs(grade - mid.median)) AS mad FROM reviews JOIN mid USING (rec, dimension) GROUP BY 1, 2), cons AS (SELECT rec, dimension, median, mad, n, mid.target AS t, greatest(0.0, 1 - mad / 2.5::DOUBLE) AS confidence, greatest(0.0, 1 - mad / 2.5::DOUBLE) * greatest(0.0, 1 - abs(median - mid.target) / 5.0::DOUBLE) AS effective FROM mid JOIN off USING (rec, dimension) WHERE n >= 3 AND mid.target IS NOT NULL) "
-
-
-def _consensus(s: SparkSession, d: str) -> DataFrame:
-    return labels.consensus(T.reviews(s, d), ["rec", "dimension"], "grade", "target", "pos")
-
-
-@query(CONSENSUS + "SELECT rec, dimension, median, mad, n, round_even(confidence, 6) + 0.0 AS confidence, round_even(effective, 6) + 0.0 AS effective FROM cons")
-def score_consensus(s: SparkSession, d: str) -> DataFrame:
-    return _consensus(s, d).select("rec", "dimension", "median", "mad", "n", r6(C("confidence")).alias("confidence"), r6(C("effective")).alias("effective"))
-
-
-@query(CONSENSUS + "SELECT pos, round_even(greatest(0.0, 1 - 0.5::DOUBLE + 2 * 0.5::DOUBLE * effective), 6) + 0.0 AS weight FROM reviews JOIN cons USING (rec, dimension)")
-def consensus_weight(s: SparkSession, d: str) -> DataFrame:
-    return T.reviews(s, d).join(_consensus(s, d).select("rec", "dimension", "effective"), ["rec", "dimension"]).select("pos", r6(labels.consensus_weight(C("effective"), 0.5)).alias("weight"))
-
-
-@query(CONSENSUS + "SELECT pos, round_even(greatest(-1.0, least(1.0, 0.7::DOUBLE * q + 0.3::DOUBLE * (2 * effective - 1))), 6) + 0.0 AS adjusted FROM reviews JOIN cons USING (rec, dimension)")
-def consensus_q_adjust(s: SparkSession, d: str) -> DataFrame:
-    return T.reviews(s, d).join(_consensus(s, d).select("rec", "dimension", "effective"), ["rec", "dimension"]).select("pos", r6(labels.consensus_q(C("q"), C("effective"), 0.3)).alias("adjusted"))
-
-
-@query(f"WITH {T.REVIEWS} SELECT coalesce(q >= 0.5 AND error IS NULL AND grade = target AND pos % 13 <> 0, false) AS policy, count(*) AS n FROM reviews GROUP BY 1")
-def policy_flags_refresh(s: SparkSession, d: str) -> DataFrame:
-    flag = labels.policy_row(F.lit(True), C("q"), C("grade"), C("target"), C("error"), C("pos") % 13 == 0)
-    return T.reviews(s, d).groupBy(flag.alias("policy")).agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {T.TURNS} SELECT rec, max(pos) AS pos, arg_max(text, pos) AS text FROM turns WHERE role = 'assistant' GROUP BY rec")
-def collapse_final_segment(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.first_wins(T.turns(s, d).where("role = 'assistant'"), ["rec"], [F.desc("pos")]).select("rec", "pos", "text")
-
-
-# metrics ------------------------------------------------------------------------------------------------------------------------------
-PEARSON = "CASE WHEN count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) >= 2 THEN round_even(corr(a, b), 6) + 0.0 END"
-
-
-@query(f"WITH {T.REVIEWS}, r AS (SELECT dimension, CASE WHEN error IS NULL AND target IS NOT NULL THEN grade END AS p, target AS t FROM reviews WHERE target IS NOT NULL) SELECT dimension, count(*) AS n, count(p) AS n_valid, round_even(count(p)::DOUBLE / count(*), 6) + 0.0 AS valid_rate, round_even(avg(abs(p - t)), 6) + 0.0 AS mae, CAST(median(abs(p - t)) AS DOUBLE) AS median_error, round_even(avg(((p >= 3) = (t >= 3))::INT), 6) + 0.0 AS boundary_accuracy, round_even(corr(p, t) FILTER (p IS NOT NULL), 6) + 0.0 AS pearson FROM r GROUP BY 1")
-def eval_summary(s: SparkSession, d: str) -> DataFrame:
-    r = T.reviews(s, d).where("target is not null").withColumn("p", F.when(C("error").isNull(), C("grade")))
-    return r.groupBy("dimension").agg(*metrics.summary(C("p"), C("target")))
-
-
-def _family_sql(name: str, p: str) -> str:
-    rate = lambda hit, among: f"round_even(avg(CASE WHEN {among} THEN ({hit})::INT END), 6) + 0.0"
-    return ", ".join([f"count(*) FILTER ({p} IS NOT NULL AND t IS NOT NULL) AS {name}_n", f"round_even(avg(abs({p} - t)), 6) + 0.0 AS {name}_mae", f"{rate(f'{p} = t', f'{p} IS NOT NULL AND t IS NOT NULL')} AS {name}_exact", f"{rate(f'abs({p} - t) <= 1', f'{p} IS NOT NULL AND t IS NOT NULL')} AS {name}_within_1", f"{rate(f'{p} >= 3', f'{p} IS NOT NULL AND t <= 2')} AS {name}_low_fp", f"{rate(f'{p} <= 2', f'{p} IS NOT NULL AND t >= 3')} AS {name}_high_fn", f"{rate(f'{p} BETWEEN lo AND hi', f'{p} IS NOT NULL AND lo IS NOT NULL')} AS {name}_in_interval"])
-
-
-@query(f"WITH {T.REVIEWS}, r AS (SELECT dimension, CASE WHEN error IS NULL THEN grade END AS p, grade AS l, target AS t, CASE WHEN pos % 2 = 0 THEN 3 END AS lo, CASE WHEN pos % 2 = 0 THEN 5 END AS hi FROM reviews) SELECT dimension, {_family_sql('strict', 'p')}, {_family_sql('lenient', 'l')} FROM r GROUP BY 1")
-def eval_metric_families(s: SparkSession, d: str) -> DataFrame:
-    r = T.reviews(s, d)
-    bound = lambda k: F.when(C("pos") % 2 == 0, k)
-    return r.groupBy("dimension").agg(*metrics.families(F.when(C("error").isNull(), C("grade")), C("grade"), C("target"), bound(3), bound(5)))
-
-
-@query("WITH p AS (SELECT doc_id // 2 AS pair_id, max(n_chars % 6) FILTER (doc_id % 2 = 0) AS a, max(n_chars % 6) FILTER (doc_id % 2 = 1) AS b FROM documents GROUP BY 1) SELECT count(*) AS pairs, round_even(avg((a > b)::INT), 6) + 0.0 AS accuracy FROM p WHERE a IS NOT NULL AND b IS NOT NULL")
-def pairwise_accuracy(s: SparkSession, d: str) -> DataFrame:
-    rows = documents(s, d).select(F.floor(C("doc_id") / 2).alias("pair_id"), F.when(C("doc_id") % 2 == 0, "pos").otherwise("neg").alias("role"), (C("n_chars") % 6).alias("grade"), "doc_id")
-    return metrics.pairwise_accuracy(rows, "pair_id", "role", "grade", "doc_id")
-
-
-@query("WITH n AS (SELECT CAST(len(string_split(text, ' ')) AS BIGINT) AS n FROM documents), l AS (SELECT list_sort(list(n)) AS h, count(*) AS c FROM n) SELECT h[1] AS least, (h[(c - 1) // 2 + 1] + h[c // 2 + 1]) // 2 AS median, h[CAST(floor(0.9::DOUBLE * (c - 1)) AS BIGINT) + 1] AS p90, h[CAST(floor(0.95::DOUBLE * (c - 1)) AS BIGINT) + 1] AS p95, h[CAST(floor(0.99::DOUBLE * (c - 1)) AS BIGINT) + 1] AS p99, h[c] AS most FROM l")
-def token_length_quantiles(s: SparkSession, d: str) -> DataFrame:
-    return metrics.length_quantiles(documents(s, d).select(F.size(F.split("text", " ")).alias("n")), "n")
-
-
-@query("SELECT doc_id, CAST(len(string_split(text, ' ')) AS INT) AS n_tokens FROM documents WHERE len(string_split(text, ' ')) <= 200")
-def token_budget_filter(s: SparkSession, d: str) -> DataFrame:
-    return documents(s, d).select("doc_id", F.size(F.split("text", " ")).alias("n_tokens")).where("n_tokens <= 200")
-
-
-FUSE = "CASE WHEN c >= 3 THEN greatest(3, CAST(round_even(median, 0) AS INT)) ELSE least(2, CAST(round_even(median, 0) AS INT)) END"
-
-
-@query(f"WITH {T.REVIEWS}, g AS (SELECT rec, arg_min(grade, pos) AS c FROM reviews GROUP BY 1), pool AS (SELECT rec, c, grade FROM reviews JOIN g USING (rec) WHERE (grade >= 3) = (c >= 3) UNION ALL SELECT rec, c, c FROM g UNION ALL SELECT rec, c, c FROM g), m AS (SELECT rec, c, median(grade) AS median FROM pool GROUP BY 1, 2) SELECT rec, {FUSE} AS fused FROM m")
-def boundary_first_fusion(s: SparkSession, d: str) -> DataFrame:
-    packed = T.reviews(s, d).groupBy("rec").agg(F.collect_list("grade").alias("gs"), F.min(F.struct("pos", "grade"))["grade"].alias("c"))
-    return packed.select("rec", metrics.fused_grade(C("gs"), C("c")).alias("fused"))
-
-
-@query(f"WITH {T.NODES} SELECT rec, arg_max(q, ln) AS last, round_even(avg(q), 6) + 0.0 AS mean, min(q) AS min, round_even(0.7::DOUBLE * avg(q) + 0.3::DOUBLE * min(q), 6) + 0.0 AS mix, max(q) AS max FROM nodes GROUP BY rec")
-def value_sequence_stats(s: SparkSession, d: str) -> DataFrame:
-    packed = T.nodes(s, d).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("ln", "q"))).alias("p"))
-    return packed.select("rec", *[(r6(c) if k in ("mean", "mix") else c).alias(k) for k, c in metrics.sequence_stats(C("p.q")).items()])
-
-
-@query(f"WITH {T.SAMPLES} SELECT quality, subset, count(*) AS n FROM samples GROUP BY GROUPING SETS ((quality), (subset), ())")
-def hist_group_levels(s: SparkSession, d: str) -> DataFrame:
-    return T.samples(s, d).groupingSets([["quality"], ["subset"], []], "quality", "subset").agg(F.count("*").alias("n"))
-
-
-# expanders, reward --------------------------------------------------------------------------------------------------------------------
-@query(f"WITH {T.REVIEWS}, k AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY pos) AS r FROM reviews WHERE error IS NOT NULL) SELECT rec, pos, CAST(c AS INT) AS copy, pos || '#correction' || c AS new_tag FROM k CROSS JOIN range(3) t(c) WHERE r <= 2")
-def correction_expand(s: SparkSession, d: str) -> DataFrame:
-    return expand.corrections(T.reviews(s, d), C("error").isNotNull(), "rec", ["pos"], 2, 3, "pos").select("rec", "pos", "copy", "new_tag")
-
-
-@query("SELECT doc_id AS pair_id, 'pos' AS pair_role, source AS response FROM documents UNION ALL SELECT doc_id, 'neg', lang FROM documents WHERE doc_id % 3 <> 0")
-def pair_explode(s: SparkSession, d: str) -> DataFrame:
-    return expand.pair_rows(documents(s, d).withColumn("neg", F.when(C("doc_id") % 3 != 0, C("lang"))), "doc_id", "source", "neg")
-
-
-@query(f"WITH {T.TURNS} SELECT rec, 'c' || (row_number() OVER (PARTITION BY rec ORDER BY pos) - 1) AS tag, text FROM turns")
-def pseudo_tree_flat(s: SparkSession, d: str) -> DataFrame:
-    return expand.flat_tree(T.turns(s, d), "rec", "pos", "text")
-
-
-@query(f"WITH {T.TURNS} SELECT rec, '0' || repeat('.0', CAST(row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS INT)) AS tag, text FROM turns")
-def pseudo_tree_chain(s: SparkSession, d: str) -> DataFrame:
-    return expand.chain_tree(T.turns(s, d), "rec", "pos", "text")
-
-
-@query(f"WITH {T.REVIEWS}, r AS (SELECT *, pos % 3 AS tr, pos % 2 AS fa, abs(grade - target) AS dist FROM reviews), c AS (SELECT *, least(1.0::DOUBLE, CASE WHEN fa > 0 AND tr > 0 THEN 0.70::DOUBLE ELSE 1 END, CASE WHEN fa > 0 AND tr = 0 THEN 0.55::DOUBLE ELSE 1 END, CASE WHEN target IS NOT NULL AND (grade >= 3) <> (target >= 3) THEN 0.35::DOUBLE ELSE 1 END, CASE WHEN dist >= 2 THEN greatest(0.10::DOUBLE, 0.45::DOUBLE - 0.15::DOUBLE * (dist - 2)) ELSE 1 END) AS cap, CASE WHEN target IS NOT NULL THEN greatest(0.0::DOUBLE, 1 - dist / 5.0::DOUBLE) END AS al, CASE WHEN tr + fa = 0 THEN 0.0::DOUBLE WHEN fa > 0 THEN tr / (tr + fa)::DOUBLE ELSE 1.0::DOUBLE END AS ev FROM r) SELECT pos, CASE WHEN al IS NULL THEN -1.0::DOUBLE ELSE round_even(2 * least(0.7::DOUBLE * al + 0.3::DOUBLE * ev, cap) - 1, 4) + 0.0 END AS reward FROM c")
-def reward_caps(s: SparkSession, d: str) -> DataFrame:
-    r = T.reviews(s, d).withColumn("tr", C("pos") % 3).withColumn("fa", C("pos") % 2)
-    distance = F.abs(C("grade") - C("target"))
-    bounds = reward.caps(C("fa"), C("tr"), distance, (C("grade") >= 3) != (C("target") >= 3))
-    parts = [(0.7, G.alignment(C("grade"), C("target"))), (0.3, reward.evidence_alignment(C("tr"), C("fa"), C("tr") + C("fa")))]
-    return r.select("pos", (reward.reward(parts, bounds) + 0.0).alias("reward"))
-
-
-@query("SELECT c_mktsegment, o_orderpriority, count(*) AS n, round_even(sum(o_totalprice), 2) + 0.0 AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
-def orders_by_segment(s: SparkSession, d: str) -> DataFrame:
-    joined = T.read(s, d, "orders").join(T.read(s, d, "customer"), C("o_custkey") == C("c_custkey"))
-    return joined.groupBy("c_mktsegment", "o_orderpriority").agg(F.count("*").alias("n"), (F.bround(F.sum("o_totalprice"), 2) + 0.0).alias("total"))
+from . import eval_queries, grade_queries, sample_queries, source_queries, text_queries, tree_queries  # noqa: F401  they register themselves
+from .registry import ORACLE, QUERIES  # noqa: F401
