@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,25 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import fresh_path
+
 #: ASCII white space, the separators of words in every operator here: [\x20\x09-\x0D].
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 NONSPACE_CLASS = r"[^\x20\x09-\x0D]"
-SCRATCH = "spark.stepquarry.scratch"
 #: Keys with more than one in so many of all rows are joined by broadcast.
 HEAVY = 10_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one is made for a local
-    master, as in tests; on a cluster that is an error, as executors have no common local folder."""
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.conf.get(SCRATCH, None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^-]*\])?", conf.get("spark.master", "")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="stepquarry-")
-        spark.conf.set(SCRATCH, path)
-    return path
+#: Sides of joins are broadcast only if they have no more rows than this; beyond, they are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -40,7 +27,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
     The folder goes when `forget` is called, or when the driver ends. Columns of the void type are stored as strings."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stepquarry-{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
@@ -63,6 +50,11 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, to be broadcast if it has few enough rows (counted unless given)."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def join_evenly(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
     """rows, stored, inner-joined with table, which has each key once and in n how many of the rows have it.
 
