@@ -3,13 +3,16 @@
 Encoding emits a token once nothing that follows can change it. How far that is depends on the merge list alone and is computed from it:
 a merge (x, y) can be undone from the right only by an earlier merge of a suffix of y with what follows, which in turn only by an
 earlier one still, so the longest such chain bounds the lookahead (cf. Berglund and van der Merwe 2023). The buffer holds the lookahead
-and one stretch of input, whatever the text's length. Decoding is a state machine over bytes that holds back incomplete characters."""
+and one stretch of input, whatever the word's length. Decoding is a state machine over the tokens' bytes that holds back incomplete
+characters. Both go on piece by piece through a text and feed running hashes, so beside the text itself, which is a row's value, a task
+holds a piece of some PIECE characters (more only where a text has no white space for so long) and the bounded caches of chunks."""
 
 from __future__ import annotations
 
 import codecs
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import sys
@@ -26,6 +29,8 @@ from .common import over_batches
 
 #: Symbols that the transducer takes in beyond the lookahead before it encodes again.
 STRETCH = 256
+#: Characters of a text that are taken in at once, and from how many on a chunk's tokens are hashed as they come.
+PIECE, LONG = 1 << 16, 1 << 12
 #: Results kept by white-space separated chunk, per worker and generation, and the longest chunk that is kept.
 CACHED = 300_000
 CACHED_CHARS = 64
@@ -123,15 +128,23 @@ class Merges:
 
 
 class Decoder:
-    """Ids to text, a token at a time. `feed` returns what is certain, `close` the rest; bytes that are no UTF-8 become U+FFFD."""
+    """Ids to text, a token at a time: `feed` returns what is certain, `close` the rest; bytes that are no UTF-8 become U+FFFD.
 
-    def __init__(self, names: dict[int, str], special: set[int], end: str = "</w>"):
-        self.names, self.special, self.end = names, special, end
+    Joined, as a tokenizer file without a decoder has it, tokens' names follow each other with a space between. Else names stand for
+    bytes, and a space follows a word's end."""
+
+    def __init__(self, names: dict[int, str], special: set[int], end: str = "</w>", joined: bool = False):
+        self.names, self.special, self.end, self.joined = names, special, end, joined
         self.bytes_of = {c: b for b, c in enumerate(byte_symbols())}
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
+        self.begun = False
 
     def feed(self, token: int) -> str:
         name = self.names[token]
+        if self.joined:
+            out = f" {name}" if self.begun else name
+            self.begun = True
+            return out
         if token in self.special:
             return self.state.decode(b"", True) + name
         word_ends = name.endswith(self.end)
@@ -140,6 +153,7 @@ class Decoder:
         return out + self.state.decode(b"", True) + " " if word_ends else out
 
     def close(self) -> str:
+        self.begun = False
         return self.state.decode(b"", True)
 
 
@@ -156,6 +170,8 @@ class Tokenizer:
         self.words = regex.compile(WORD_PATTERN)
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.symbols = byte_symbols()
+        self.decoder = Decoder(self.names, set(self.special.values()), self.merges.end, joined=d.get("decoder") is None)
+        self.between = b" " if self.decoder.joined else b""
         self.cache = _Cache(self)
 
     def _symbols(self, word: str) -> Iterator[str]:
@@ -173,19 +189,53 @@ class Tokenizer:
             elif part:
                 lower = part.lower() if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
                 for word in self.words.finditer(lower):
-                    symbols = self._symbols(word[0])
-                    for token in self.merges.stream(symbols) if len(word[0]) > STRETCH else self.merges.merge([*symbols]):
+                    for token in self.merges.stream(self._symbols(word[0])):
                         yield vocab[token]
 
     def decoded(self, ids: Iterable[int]) -> str:
-        """As the file's decoder gives it; it names none, so tokens are joined by spaces."""
-        return " ".join(map(self.names.__getitem__, ids))
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian 32-bit integers, the decoded text in UTF-8)."""
-        chunks = self.spaces.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        found = [self.cache[c] for c in chunks if c]
-        return b"".join([x[0] for x in found]), b" ".join([x[1] for x in found])
+        """As the file's decoder gives it, from the state machine."""
+        return "".join(map(self.decoder.feed, ids)) + self.decoder.close()
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The text's chunks without white space, in lots of some PIECE characters."""
+        at = 0
+        while at < len(text):
+            stop = len(text)
+            if stop - at > PIECE and (space := self.spaces.search(text, at + PIECE)):
+                stop = space.start()
+            part = text[at:stop] if at or stop < len(text) else text
+            yield [c for c in (self.spaces.split(part) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()) if c]
+            at = stop
+
+    def encode(self, text: str) -> Iterator[tuple[bytes, bytes]]:
+        """(ids as little-endian 32-bit integers, their decoded text in UTF-8) bit by bit; self.between stands between two bits' texts."""
+        for chunks in self.pieces(text):
+            if max(map(len, chunks), default=0) < LONG:
+                yield self._joined([self.cache[c] for c in chunks])
+                continue
+            for long, some in itertools.groupby(chunks, lambda c: len(c) >= LONG):
+                if not long:
+                    yield self._joined([self.cache[c] for c in some])
+                    continue
+                for c in some:
+                    ids = self.chunk_ids(c)
+                    while part := list(itertools.islice(ids, LONG)):
+                        yield b"".join([i.to_bytes(4, "little") for i in part]), self.decoded(part).encode()
+
+    def _joined(self, found: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+        return b"".join([x[0] for x in found]), self.between.join([x[1] for x in found if x[0]])
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text), hashed as they come."""
+        n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+        for ids, decoded in self.encode(text):
+            if ids:
+                if n:
+                    text_hash.update(self.between)
+                n += len(ids) // 4
+                ids_hash.update(ids)
+                text_hash.update(decoded)
+        return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
 class _Cache(dict):
@@ -225,8 +275,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokenizer = tokenizer_for(definition.value)
-        made = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()) for ids, text in (tokenizer.encode(x or "") for x in batch.column(1).to_pylist())]
-        n, ids, decoded = zip(*made, strict=True)
+        n, ids, decoded = zip(*[tokenizer.digest(x or "") for x in batch.column(1).to_pylist()], strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return over_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -239,7 +288,7 @@ def tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out_col
 
     @F.udf("array<int>", useArrow=True)
     def ids(text: str | None) -> list[int]:
-        data = tokenizer_for(definition.value).encode(text or "")[0]
+        data = b"".join([x[0] for x in tokenizer_for(definition.value).encode(text or "")])
         return [int.from_bytes(data[k : k + 4], "little") for k in range(0, len(data), 4)]
 
     return docs.withColumn(out_col, ids(F.col(text_col)))
