@@ -8,6 +8,7 @@ the state it is entered in and the cost of what follows. Only conversations that
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,6 +77,17 @@ def walk(roles: list[int], end: list[int], state: int) -> tuple[list[tuple[int,
     return steps, state
 
 
+def escaped(text: str) -> str:
+    """Text that holds no mark of a turn: each <| in it, and each <\\| and so on, gets one more backslash."""
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+
+
+def read_back(rendered: str) -> list[tuple[str, str]]:
+    """(role, text) of each turn of a rendered conversation."""
+    turns = re.findall(r"<\|(system|user|assistant)\|>\n(.*?)<\|end\|>\n", rendered, flags=re.S)
+    return [(role, re.sub(r"<\\(\\*)\|", r"<\1|", text)) for role, text in turns]
+
+
 def repair(roles: list[str | None]) -> list[tuple[int, int, str, tuple[int, ...]]]:
     return walk([role_number(r) for r in roles], FINISH, START)[0]
 
@@ -99,7 +111,7 @@ def _dealt(df: DataFrame) -> DataFrame:
 
 
 def _straddlers(rows: DataFrame) -> dict[tuple, tuple[int, list[int], int]]:
-    """(conversation, block) -> entry state, cost of what follows by state, turns before; for conversations of several blocks.
+    """(conversation, block) -> entry state, cost of what follows by state, turns before, whether it is the last; for conversations of several blocks.
 
     The driver gets a few numbers for each such block, of which there are two for a task at most."""
     many = rows.groupBy("conv").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("conv")
@@ -125,11 +137,12 @@ def _straddlers(rows: DataFrame) -> dict[tuple, tuple[int, list[int], int]]:
             turns = [sum((how != "merge") + len(inserted) for _, _, how, inserted in steps) for steps, _ in walks]
             yield pa.RecordBatch.from_pylist([{"conv": conv, "block": block, "to": [w[1] for w in walks], "turns": turns}], pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("to", pa.list_(pa.int64())), ("turns", pa.list_(pa.int64()))]))
 
+    lasts = {conv: max(b for b, _ in blocks) for conv, blocks in found.items()}
     out, state, before, last = {}, START, 0, object()
     for r in sorted(_dealt(roles).mapInArrow(exits, "conv long, block long, to array<long>, turns array<long>").collect(), key=lambda r: (r["conv"] is None, r["conv"] or 0, r["block"])) if ends else []:
         if r["conv"] != last:
             state, before, last = START, 0, r["conv"]
-        out[r["conv"], r["block"]] = (state, ends[r["conv"], r["block"]], before)
+        out[r["conv"], r["block"]] = (state, ends[r["conv"], r["block"]], before, r["block"] == lasts[r["conv"]])
         state, before = r["to"][state], before + r["turns"][state]
     return out
 
@@ -137,23 +150,23 @@ def _straddlers(rows: DataFrame) -> dict[tuple, tuple[int, list[int], int]]:
 def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each row of turns: conv_id, turn, role, out_role, action (append, merge or insert), relabelled, inserted (roles of empty turns
     before it), out_turn (its place in the repaired conversation), cost, rendered. A conversation's rendered values in order of (out_turn, seq)
-    are its text; the last one also holds the empty turns that complete it, and counts their cost.
+    are its text; the last one also holds the empty turns that complete it, and counts their cost. Marks of turns in a text are escaped, so
+    read_back gives the turns again.
 
     Turns are ordered by turn (null last), then role and text; repeated rows are turns of their own. Null text is empty; a null or unknown
     role is relabelled. Rows with a null conv_id are one conversation. Empty input: no rows. Other columns aren't read."""
     rows = turns.select(F.col(id_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # so that equal rows don't all fall into one range
+    order = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text"), F.col("row")]
     spread = rows.repartitionByRange(partitions_for(turns.sparkSession), *order).sortWithinPartitions(*order)
     placed = spread.select("conv", F.spark_partition_id().cast("long").alias("block"), F.monotonically_increasing_id().alias("seq"), "role", "turn", "text")
     stored = store(placed, "turns")
     known = turns.sparkSession.sparkContext.broadcast(_straddlers(stored))
-    last_blocks = stored.groupBy("conv").agg(F.max("block").alias("last"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for (conv, block), own in _blocks(batches):
-            state, end, turn_number = known.value.get((conv, block), (START, FINISH, 0))
-            ends_here = block == own[0][6]
+            state, end, turn_number, ends_here = known.value.get((conv, block), (START, FINISH, 0, True))
             steps, final = walk([role_number(r[3]) for r in own], end, state)
             for k, (row, (cost, to, how, inserted)) in enumerate(zip(own, steps, strict=True)):
                 text = ["\n"] if how == "merge" else []
@@ -161,7 +174,7 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
                     text.append(("" if state == START else "<|end|>\n") + f"<|{ROLES[role]}|>\n")
                     state = role + 1
                     turn_number += 1
-                text.append(row[5])
+                text.append(escaped(row[5]))
                 tail = ENDINGS[final] if ends_here and k == len(own) - 1 else ()
                 if ends_here and k == len(own) - 1:
                     text += [f"<|end|>\n<|{ROLES[r]}|>\n" for r in tail] + ["<|end|>\n"]
@@ -172,8 +185,8 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         if out:
             yield _rendered(out)
 
-    wide = stored.join(last_blocks.select(F.col("conv").alias("c"), "last"), F.col("conv").eqNullSafe(F.col("c"))).select("conv", "block", "seq", "role", "turn", "text", "last")
-    return _dealt(wide).mapInArrow(render, "conv_id long, turn long, seq long, role string, out_role string, action string, relabelled boolean, inserted array<string>, out_turn long, cost long, rendered string")
+    narrow = stored.select("conv", "block", "seq", "role", "turn", "text")
+    return _dealt(narrow).mapInArrow(render, "conv_id long, turn long, seq long, role string, out_role string, action string, relabelled boolean, inserted array<string>, out_turn long, cost long, rendered string")
 
 
 def _rendered(rows: list[tuple]) -> pa.RecordBatch:
