@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, over_batches, store, texts_of
 
 STATES = 8
-ITERATIONS = 4
+ITERATIONS = 5
+#: The states begin as texts that are far from each other: of so many training texts (by hash), so many first symbols each. It decides
+#: where the training sets out from, not what it counts.
+FIRST_TEXTS, FIRST_SYMBOLS = 256, 4096
 #: Symbols: OWN for one word each, SHARED for the rest of the head, one for the end, one for all rare and unknown words.
 OWN, SHARED = 3072, 1024
 #: Words with a symbol other than `rare`; their table, of 16 bytes each, is all that is broadcast.
 HEAD = 1 << 18
-#: Tokens of a training sequence; longer texts are trained on in pieces (and scored whole).
-PIECE = 256
-PIECES_AT_ONCE = 2048
+#: Tokens of a text that are worked on at once, and how many such pieces; what a piece is entered with and followed by comes from the others.
+PIECE = 1024
+PIECES_AT_ONCE = 512
 #: Tokens' worth of the unigram distribution that every state's emissions are smoothed with.
 SMOOTHING = 1000.0
 END_WORD = b"\n"  # no word holds white space
@@ -146,10 +149,20 @@ class Parameters:
     emit: np.ndarray
 
     @staticmethod
-    def first(base: np.ndarray) -> Parameters:
-        """Sticky states whose emissions are the unigram distribution, each distorted at random (a fixed seed)."""
-        noise = np.exp(np.random.default_rng(9).normal(0, 0.7, (STATES, len(base))))
-        emit = base * noise
+    def first(base: np.ndarray, texts: list[np.ndarray]) -> Parameters:
+        """Sticky states, each with the words of one of the texts: the longest, then whichever is least like those taken. Without enough texts,
+        the unigram distribution distorted at random (a fixed seed)."""
+        size = len(base)
+        counts = np.array([np.bincount(x, minlength=size) for x in texts if len(x)], float).reshape(-1, size)
+        emit = base * np.exp(np.random.default_rng(9).normal(0, 0.7, (STATES, size)))
+        if len(counts):
+            heads = counts[:, :OWN] + 1e-9
+            heads = heads / np.linalg.norm(heads, axis=1, keepdims=True)
+            taken = [int(counts.sum(1).argmax())]
+            while len(taken) < min(STATES, len(counts)):
+                taken.append(int((heads @ heads[taken].T).max(1).argmin()))
+            own = counts[taken]
+            emit[: len(own)] = 0.5 * base + 0.5 * own / own.sum(1, keepdims=True)
         move = np.full((STATES, STATES), 0.1 / max(1, STATES - 1))
         np.fill_diagonal(move, 0.9)
         return Parameters(np.full(STATES, 1 / STATES), move, emit / emit.sum(1, keepdims=True))
@@ -161,14 +174,88 @@ class Parameters:
         return Parameters(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
+@dataclass
+class Pieces:
+    """Sequences in pieces of PIECE symbols at most, sorted by length, with what each piece is entered with (a distribution over its first
+    state, before it emits) and followed by (how likely the rest is from its last state, up to a factor)."""
+
+    symbols: list[np.ndarray]
+    enter: np.ndarray
+    after: np.ndarray
+    begins: np.ndarray  # whether the piece is its text's first
+
+
+def _transfers(pieces: list[np.ndarray], p: Parameters) -> np.ndarray:
+    """For each piece, from each first state to each last one, how likely it is, up to a factor for each piece."""
+    k = p.emit.shape[0]
+    by_symbol, out = np.ascontiguousarray(p.emit.T), np.zeros((len(pieces), k, k))
+    for lo in range(0, len(pieces), PIECES_AT_ONCE):
+        order = sorted(range(lo, min(lo + PIECES_AT_ONCE, len(pieces))), key=lambda i: -len(pieces[i]))
+        lengths = np.array([len(pieces[i]) for i in order])
+        live = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")
+        symbols = np.zeros((int(lengths[0]), len(order)), np.int16)
+        for j, i in enumerate(order):
+            symbols[: len(pieces[i]), j] = pieces[i]
+        now = np.eye(k) * by_symbol[symbols[0]][:, None, :]
+        for t in range(len(symbols)):
+            n = live[t]
+            if t:
+                now[:n] = (now[:n] @ p.move) * by_symbol[symbols[t, :n]][:, None, :]
+            now[:n] /= now[:n].sum((1, 2), keepdims=True)
+        out[order] = now
+    return out
+
+
+def in_pieces(sequences: list[np.ndarray], p: Parameters) -> tuple[Pieces, np.ndarray]:
+    """The sequences' pieces, and the expected moves from a piece to the next. Sequences of one piece need no more than that."""
+    k = p.emit.shape[0]
+    symbols, enter, after, begins = [], [], [], []
+    cross = np.zeros((k, k))
+    long = [x for x in sequences if len(x) > PIECE]
+    cut = [[x[a : a + PIECE] for a in range(0, len(x), PIECE)] for x in long]
+    transfers = _transfers([piece for own in cut for piece in own], p) if cut else np.zeros((0, k, k))
+    at = 0
+    for own in cut:
+        m = transfers[at : at + len(own)]
+        at += len(own)
+        rest = [np.ones(k)]
+        for step in m[:0:-1]:
+            back = p.move @ (step @ rest[-1])
+            rest.append(back / back.sum())
+        rest.reverse()
+        prior = p.start
+        for i, step in enumerate(m):
+            symbols.append(own[i])
+            enter.append(prior)
+            after.append(rest[i])
+            begins.append(i == 0)
+            if i + 1 < len(m):
+                end = prior @ step
+                ahead = m[i + 1] @ rest[i + 1]
+                joint = end[:, None] * ahead[None, :]
+                cross += joint / (joint * p.move).sum()
+                prior = end @ p.move
+                prior = prior / prior.sum()
+    for x in sequences:
+        if 0 < len(x) <= PIECE:
+            symbols.append(x)
+            enter.append(p.start)
+            after.append(np.ones(k))
+            begins.append(True)
+    order = sorted(range(len(symbols)), key=lambda i: -len(symbols[i]))
+    pick = lambda xs: np.array([xs[i] for i in order], float).reshape(-1, k)
+    return Pieces([symbols[i] for i in order], pick(enter), pick(after), np.array([begins[i] for i in order], bool)), cross
+
+
 def expected_counts(sequences: list[np.ndarray], p: Parameters) -> np.ndarray:
-    """Expected starts, moves and emissions over sequences of at most PIECE symbols: the E step, flat."""
+    """Expected starts, moves and emissions over whole sequences of any length: the E step, flat."""
     k, s = p.emit.shape
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, s))
-    sequences = sorted(sequences, key=len, reverse=True)
+    start, emit = np.zeros(k), np.zeros((k, s))
+    pieces, move = in_pieces(sequences, p)
     by_symbol, moves = np.ascontiguousarray(p.emit.T), p.move
-    for lo in range(0, len(sequences), PIECES_AT_ONCE):
-        block = sequences[lo : lo + PIECES_AT_ONCE]
+    for lo in range(0, len(pieces.symbols), PIECES_AT_ONCE):
+        some = slice(lo, lo + PIECES_AT_ONCE)
+        block, after, first = pieces.symbols[some], pieces.after[some], pieces.begins[some]
         lengths = np.array([len(x) for x in block])
         steps = int(lengths[0])
         live = np.searchsorted(-lengths, -np.arange(steps), "left")  # sequences longer than t come first
@@ -176,25 +263,26 @@ def expected_counts(sequences: list[np.ndarray], p: Parameters) -> np.ndarray:
         for i, x in enumerate(block):
             symbols[: len(x), i] = x
         forward, scale = np.zeros((steps, len(block), k)), np.ones((steps, len(block)))
-        now = p.start * by_symbol[symbols[0]]
+        now = pieces.enter[some] * by_symbol[symbols[0]]
         for t in range(steps):
             if t:
                 now = (now[: live[t]] @ moves) * by_symbol[symbols[t, : live[t]]]
             c = now.sum(1)
             now = now / c[:, None]
             forward[t, : live[t]], scale[t, : live[t]] = now, c
-        behind = np.ones((live[-1], k))
+        behind = np.empty((0, k))
         for t in range(steps - 1, -1, -1):
             n = live[t]
             if len(behind) < n:
-                behind = np.concatenate([behind, np.ones((n - len(behind), k))])
+                ends = slice(len(behind), n)  # these end here
+                last = after[ends] / (forward[t, ends] * after[ends]).sum(1, keepdims=True)
+                behind = np.concatenate([behind, last])
             forward[t, :n] *= behind  # now the posterior of each state
             if t:
                 ahead = by_symbol[symbols[t, :n]] * behind / scale[t, :n, None]
-                before = forward[t - 1, :n]
-                move += before.T @ ahead
+                move += forward[t - 1, :n].T @ ahead
                 behind = ahead @ moves.T
-        start += forward[0].sum(0)
+        start += forward[0][first].sum(0)
         flat = np.concatenate([symbols[t, : live[t]] for t in range(steps)])
         weight = np.concatenate([forward[t, : live[t]] for t in range(steps)])
         for j in range(k):
@@ -206,7 +294,8 @@ def baum_welch(encoded: DataFrame, base: np.ndarray, iterations: int = ITERATION
     """Fitted on the training texts in encoded. Each task adds up its counts; Spark adds the tasks' up, so the driver gets one table of fixed size."""
     spark = encoded.sparkSession
     training = encoded.where("not held_out").select("symbols")
-    p = Parameters.first(base)
+    some = training.orderBy(F.xxhash64("symbols")).limit(FIRST_TEXTS).select(F.expr(f"substring(symbols, 1, {2 * FIRST_SYMBOLS})").alias("symbols")).collect()
+    p = Parameters.first(base, [np.frombuffer(r["symbols"], np.int16) for r in some])
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(p)
 
@@ -214,9 +303,8 @@ def baum_welch(encoded: DataFrame, base: np.ndarray, iterations: int = ITERATION
             total = None
             for batch in batches:
                 texts = [np.frombuffer(x, np.int16) for x in batch.column(0).to_pylist()]
-                pieces = [x[a : a + PIECE] for x in texts for a in range(0, len(x), PIECE)]
-                if pieces:
-                    own = expected_counts(pieces, shared.value)
+                if texts:
+                    own = expected_counts(texts, shared.value)
                     total = own if total is None else total + own
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "n"])
