@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import forget, join_evenly, small, store, unique_name
 
 #: Kind, pattern, the group that holds the value.
 KINDS = [
@@ -22,8 +22,8 @@ KINDS = [
 ]
 BASE = ("assign", "access", "hex")
 LEAST_ASSIGNED = 6
-#: Spans of more rows than this aren't broadcast for redaction.
-BROADCAST_ROWS = 1_000_000
+#: Bits of entropy a character that an unprefixed token has at least.
+LEAST_ENTROPY = 3.0
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...]) -> DataFrame:
@@ -54,7 +54,8 @@ def _match(number: int, kind: str) -> Callable[[Column, Column], Column]:
         if kind == "assign":
             return F.length(value) >= LEAST_ASSIGNED
         if kind == "generic":
-            return value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
+            mixed = value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
+            return F.when(mixed, entropy(value) >= LEAST_ENTROPY).otherwise(False)
         return F.lit(True)
 
     def made(z: Column, i: Column) -> Column:
@@ -64,10 +65,17 @@ def _match(number: int, kind: str) -> Callable[[Column, Column], Column]:
     return made
 
 
+def entropy(value: Column) -> Column:
+    """Bits a character, by how often each character is in the value."""
+    letters = F.filter(F.split(value, ""), lambda x: x != "")
+    share = lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.size(letters)
+    return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda h, c: h - share(c) * F.log2(share(c)))
+
+
 def ownership(spans: DataFrame) -> DataFrame:
-    """(value, owners, repos): by how many distinct owners and repositories each candidate value is held. Combined before every shuffle."""
-    held = spans.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    return held.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    """(value, n, owners, repos): how many spans a candidate value has, and how many distinct owners and repositories. Combined before every shuffle."""
+    held = spans.groupBy("value", "owner", "repo").agg(F.count("*").alias("n")).groupBy("value", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    return held.groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -79,9 +87,9 @@ def spans(found: DataFrame) -> DataFrame:
 
 def judged(found: DataFrame, live_owners: int, example_owners: int) -> DataFrame:
     """Spans with owners, repos and verdict: `live` (at most live_owners), `example` (at least example_owners) or `shared`. Unprefixed tokens only where live."""
-    all_spans = spans(found)
+    all_spans = store(spans(found), "spans")
     verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("owners") <= live_owners, "live").otherwise("shared")
-    out = all_spans.join(ownership(all_spans), "value").withColumn("verdict", verdict)
+    out = join_evenly(all_spans, store(ownership(all_spans), "owners"), ["value"], "n").withColumn("verdict", verdict)
     return out.where((F.col("kind") < len(BASE)) | (F.col("verdict") == "live"))
 
 
@@ -113,10 +121,11 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
 
     Rows of equal id and text are treated alike. Where docs has n_chars, it follows the text."""
     found = scan(docs, id_col, text_col, owner_col, repo_cols)
+    cut_id, cut_hash, name = (unique_name(docs, x) for x in ("cut_id", "cut_hash", "cuts"))
     cuts = judged(found, 1, 3).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-    cuts = store(cuts.withColumnsRenamed({"doc_id": "cut_id", "text_hash": "cut_hash"}), "cuts")
-    side = F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64(text_col) == F.col("cut_hash"))
+    cuts = store(cuts.select(F.col("doc_id").alias(cut_id), F.col("text_hash").alias(cut_hash), F.col("cuts").alias(name)), "cuts")
+    forget(found)
+    match = F.col(id_col).cast("long").eqNullSafe(F.col(cut_id)) & (F.xxhash64(text_col) == F.col(cut_hash))
     text = F.col(text_col)
 
     def cut(state: Column, span: Column) -> Column:
@@ -125,7 +134,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), pieces.alias("pieces"))
 
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("pieces"))
-    done = F.aggregate("cuts", begin, cut, lambda s: F.concat(F.array_join(s["pieces"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    joined = docs.join(side, match, "left")
-    out = joined.withColumn(text_col, F.when(F.col("cuts").isNull(), text).otherwise(done)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    done = F.aggregate(F.col(name), begin, cut, lambda s: F.concat(F.array_join(s["pieces"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    joined = docs.join(small(cuts), match, "left")
+    out = joined.withColumn(text_col, F.when(F.col(name).isNull(), text).otherwise(done)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out
