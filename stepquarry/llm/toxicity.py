@@ -125,8 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
         found = [features(x) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32())), *batch.columns[2:]], names=["id", "slots", *ys, "weight"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    rows = over_batches(texts, extract, "id long, slots array<int>, " + ", ".join(f"{y} double" for y in [*ys, "weight"])).toPandas().sort_values("id")
+    # a label for each row of the sample, and of several texts with its id the one with the least hash: no more than `sample` rows
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.select("id").distinct()), "id")
+    one = texts.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = over_batches(one.join(F.broadcast(picked), "id"), extract, "id long, slots array<int>, " + ", ".join(f"{y} double" for y in [*ys, "weight"])).toPandas().sort_values("id")
     table = np.column_stack([rows[y].to_numpy(float) for y in ys])
     folds = np.array([xxhash.xxh64_intdigest(str(i)) % FOLDS for i in rows["id"]])
     return fit_chain([np.asarray(x, np.int64) for x in rows["slots"]], table, folds, rows["weight"].to_numpy())
