@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, over_batches, store, texts_of
 
 STATES = 8
-ITERATIONS = 5
+ITERATIONS = 4
 #: The states begin as texts that are far from each other: of so many training texts (by hash), so many first symbols each. It decides
 #: where the training sets out from, not what it counts.
 FIRST_TEXTS, FIRST_SYMBOLS = 256, 4096
@@ -28,8 +28,8 @@ OWN, SHARED = 3072, 1024
 #: Words with a symbol other than `rare`; their table, of 16 bytes each, is all that is broadcast.
 HEAD = 1 << 18
 #: Tokens of a text that are worked on at once, and how many such pieces; what a piece is entered with and followed by comes from the others.
-PIECE = 1024
-PIECES_AT_ONCE = 512
+PIECE = 2048
+PIECES_AT_ONCE = 256
 #: Tokens' worth of the unigram distribution that every state's emissions are smoothed with.
 SMOOTHING = 1000.0
 END_WORD = b"\n"  # no word holds white space
