@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import forget, store
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long), undirected, loops and repeats allowed -> (node, root), root the smallest node of the component.
 
     Every step is an aggregate that combines before its shuffle and an equi-join, so a hub's edges are never gathered in a row;
-    each round is stored, so the plan stays short. An empty edge table gives an empty result."""
+    each round is stored, so the plan stays short, and the round before is deleted. The result is stored. An empty edge table gives an empty result."""
     now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = store(_small_star(_large_star(now)), "edges")
+        before, now = now, store(_small_star(_large_star(now)), "edges")
+        forget(before)
         after = _state(now)
         if after == state:
             break
         state = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = store(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    forget(now)
+    return roots
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -638,10 +638,12 @@ def test_bands_reach_every_row_by_broadcast_and_by_salts(spark, monkeypatch):
         assert sorted((r.row, r.low) for r in perplexity.with_bands(facts, bands).collect()) == want
 
 
-def test_near_copies_equal_brute_force(spark, none, monkeypatch):
+@pytest.mark.parametrize("limits", [{"HOT": 4}, {"HOT": 100, "CELL": 3}, {"HOT": 4, "CELL": 3, "COMMON": 20, "BROADCAST_ROWS": 0}])
+def test_near_copies_equal_brute_force(spark, none, monkeypatch, limits):
     """The pipeline's stage: five words, similarity 0.8; copies further apart than two bits of a fingerprint, and a cluster over HOT."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    monkeypatch.setattr(near_copies, "HOT", 4)
+    for name, value in limits.items():
+        monkeypatch.setattr(near_copies, name, value)
     rnd = random.Random(11)
     texts = []
     for k in range(25):
