@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .exact import half_even, let
+
 #: What a grade means, the effort of a repair by grade, verdicts from best to worst, the keys that hold a grade in collected
 #: and in training records, and the patterns of a grade in free text: keyed, loosely named, as a score of 100.
 DESCRIPTIONS = {
@@ -26,11 +28,6 @@ LOOSE_GRADE = r"(?i)\b(?:axiom_grade|grade)\b[^0-9]{0,20}([0-5](?:\.\d+)?)"
 KEYED_SCORE = r'"score"\s*:\s*([0-9]+(?:\.\d+)?)'
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), the value being computed, and written into the plan, once however often the body uses it."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
-
-
 def number(c: Column) -> Column:
     return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
@@ -45,7 +42,7 @@ def scalar_score(grade: Column) -> Column:
 
 
 def value_target(grade: Column) -> Column:
-    return F.bround(clamp_grade(grade) / 2.5 - 1.0, 4)
+    return half_even(clamp_grade(grade) / 2.5 - 1.0, 4)
 
 
 def grade_from_scalar(score: Column, max_score: Column) -> Column:
@@ -135,7 +132,7 @@ def reconcile_target(mapped: Column, pass_rate: Column, executable: Column) -> C
 
 def dimension_targets(scores: Column, pass_rate: Column, executable: Column, correctness: str = "Correctness Verification") -> Column:
     """A map of reference scores; correctness is blended with the tests where there are any."""
-    return F.transform_values(scores, lambda k, v: F.when((k == correctness) & executable, F.bround(0.6 * v + 0.4 * (10.0 * pass_rate), 2)).otherwise(v))
+    return F.transform_values(scores, lambda k, v: F.when((k == correctness) & executable, half_even(0.6 * v + 0.4 * (10.0 * pass_rate), 2)).otherwise(v))
 
 
 def last_match(text: Column, pattern: str) -> Column:
@@ -158,7 +155,7 @@ def parsed_grade(ok: Column, payload: Column, keys: Sequence[str] = TRAINING_KEY
 
 
 def score_delta(parsed: Column, reference: Column) -> Column:
-    return F.bround(number(parsed) - number(reference), 6)
+    return half_even(number(parsed) - number(reference), 6)
 
 
 def delta_bucket(delta: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grades, texts, udfs
-from . import labels, trees
+from . import labels, selection, trees
 
 IDENTITY = ["source", "subset", "dataset_index"]
 #: The wording of a verifier's corrections, and the names of their kinds.
@@ -164,7 +164,7 @@ def _corrections(kept: DataFrame, mode: str, q: float, weights: tuple[float, flo
     target = grades.target_from_details(c("_details"))
     x = kept.where((F.size("verifier_feedback") > 0) & (c("target_dimension") != "")).withColumn("_target", target).where("_target is not null")
     if most > 0:
-        x = x.orderBy("order", "_not_best", "pos").limit(most)
+        x = selection.first_in_order(x, most, [F.col("order"), F.col("_not_best"), F.col("pos")])
     train = mode != "value_only"
     feedback = F.array_join(F.transform("verifier_feedback", lambda m: F.concat(F.lit("- "), m)), "\n")
     step = F.concat(F.lit(CORRECTION_STEP[0]), F.array_join(F.slice("verifier_feedback", 1, 3), "; "), F.lit(CORRECTION_STEP[1]))
@@ -220,7 +220,7 @@ def replayed(items: DataFrame, ratio: float, new_items: int, seed: int) -> DataF
     if ratio < 0:
         return items
     key = F.concat_ws(":", F.lit(str(seed)), *IDENTITY, "terminal_tag", F.col("repeat").cast("string"))
-    return items.orderBy(F.md5(key), *IDENTITY, "terminal_tag").limit(int(round(ratio * new_items)))
+    return selection.first_rows(items, int(round(ratio * new_items)), [F.md5(key), *map(F.col, IDENTITY), F.col("terminal_tag")])
 
 
 def merged(new: DataFrame, replay: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grades, texts
+from ..functions.exact import half_even
 from ..functions.grades import let
 from .reward import CORRECTNESS
 
 
 def _rate(hit: Column, among: Column) -> Column:
-    return F.bround(F.avg(F.when(among, hit.cast("double"))), 6) + 0.0
+    return half_even(F.avg(F.when(among, hit.cast("double"))), 6) + 0.0
 
 
 def sources_of(results: DataFrame, records: DataFrame, file: str = "input_record", index: str = "record_index") -> DataFrame:
@@ -47,14 +48,14 @@ def families(unsupported: Column | None = None, kinds: Column | None = None) ->
     unsupported: how many checks of a valid review failed; kinds: the kinds of those, as an array."""
     c = F.col
     valid = F.coalesce(c("valid"), F.lit(False))
-    out = [F.count("*").alias("dimension_count"), F.count_if(valid).alias("valid_count"), (F.bround(F.count_if(valid) / F.greatest(F.count("*"), F.lit(1)), 6) + 0.0).alias("valid_rate")]
+    out = [F.count("*").alias("dimension_count"), F.count_if(valid).alias("valid_count"), (half_even(F.count_if(valid) / F.greatest(F.count("*"), F.lit(1)), 6) + 0.0).alias("valid_rate")]
     for prefix, grade, ok in (("", c("parsed"), valid), ("lenient_", c("lenient"), F.lit(True))):
         own = ok & grade.isNotNull() & c("reference").isNotNull()
         error = F.when(own, F.abs(grade - c("reference")).cast("double"))
         if prefix:
-            out += [F.count_if(own).alias("lenient_count"), (F.bround(F.count_if(own) / F.greatest(F.count("*"), F.lit(1)), 6) + 0.0).alias("lenient_rate")]
+            out += [F.count_if(own).alias("lenient_count"), (half_even(F.count_if(own) / F.greatest(F.count("*"), F.lit(1)), 6) + 0.0).alias("lenient_rate")]
         out += [
-            (F.bround(F.avg(error), 6) + 0.0).alias(f"{prefix}grade_mae"), (F.bround(F.median(error), 6) + 0.0).alias(f"{prefix}grade_median_abs_error"), _rate((grade >= 3) == (c("reference") >= 3), own).alias(f"{prefix}boundary_acc"),
+            (half_even(F.avg(error), 6) + 0.0).alias(f"{prefix}grade_mae"), (half_even(F.median(error), 6) + 0.0).alias(f"{prefix}grade_median_abs_error"), _rate((grade >= 3) == (c("reference") >= 3), own).alias(f"{prefix}boundary_acc"),
             _rate((c("reference") >= 3) & (grade < 3), own).alias(f"{prefix}low_grade_false_positive_rate"), _rate((c("reference") < 3) & (grade >= 3), own).alias(f"{prefix}high_grade_false_negative_rate"),
         ]
         ranged = ok & grade.isNotNull() & c("low").isNotNull()
@@ -62,7 +63,7 @@ def families(unsupported: Column | None = None, kinds: Column | None = None) ->
     if unsupported is not None:
         n = F.when(valid, F.coalesce(unsupported, F.lit(0))).otherwise(0)
         of = lambda kind: F.coalesce(F.sum(F.when(valid, F.size(F.filter(kinds, lambda k: k == kind))).otherwise(0)), F.lit(0)).cast("bigint").alias(f"unsupported_{kind}")
-        out += [(F.bround(F.count_if(n > 0) / F.greatest(F.count_if(valid), F.lit(1)), 6) + 0.0).alias("unsupported_evidence_rate"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("unsupported_evidence_count")]
+        out += [(half_even(F.count_if(n > 0) / F.greatest(F.count_if(valid), F.lit(1)), 6) + 0.0).alias("unsupported_evidence_rate"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("unsupported_evidence_count")]
         if kinds is not None:
             out += [of("provided_test_failure"), of("unused_identifier")]
     return out
@@ -73,16 +74,16 @@ def pairwise_accuracy(df: DataFrame, pair: str, role: str, grade: str, order: st
     good = df.where(F.col(pair).isNotNull() & (F.col(pair).cast("string") != "") & F.col(grade).isNotNull())
     last = lambda r: F.max(F.when(F.col(role) == r, F.struct(order, grade)))[grade]
     sides = good.groupBy(*by, pair).agg(last("pos").alias("pos"), last("neg").alias("neg")).where("pos is not null and neg is not null")
-    return sides.groupBy(*by).agg(F.count("*").alias("pairs"), (F.bround(F.avg((F.col("pos") > F.col("neg")).cast("double")), 6) + 0.0).alias("accuracy"))
+    return sides.groupBy(*by).agg(F.count("*").alias("pairs"), (half_even(F.avg((F.col("pos") > F.col("neg")).cast("double")), 6) + 0.0).alias("accuracy"))
 
 
 def dimension_summary() -> list[Column]:
     """Over rows(valid, parsed_score, reference_score): how many, how many valid, and means of scores and of their differences."""
     c = F.col
     delta = F.abs(grades.score_delta(c("parsed_score"), c("reference_score")))
-    mean = lambda x: F.bround(F.avg(x.cast("double")), 6) + 0.0
+    mean = lambda x: half_even(F.avg(x.cast("double")), 6) + 0.0
     return [
-        F.count("*").alias("dimension_count"), F.count_if("valid").alias("valid_review_count"), (F.bround(F.count_if("valid") / F.greatest(F.count("*"), F.lit(1)), 6) + 0.0).alias("valid_review_rate"), mean(c("parsed_score")).alias("mean_parsed_score"),
+        F.count("*").alias("dimension_count"), F.count_if("valid").alias("valid_review_count"), (half_even(F.count_if("valid") / F.greatest(F.count("*"), F.lit(1)), 6) + 0.0).alias("valid_review_rate"), mean(c("parsed_score")).alias("mean_parsed_score"),
         mean(c("reference_score")).alias("mean_reference_score"), mean(delta).alias("mean_abs_score_delta"),
     ]
 

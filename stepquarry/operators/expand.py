@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import half_even
+
 
 def pair_rows(df: DataFrame, pair: str, pos: str, neg: str) -> DataFrame:
     sides = F.array(F.struct(F.lit("pos").alias("pair_role"), F.col(pos).alias("response")), F.struct(F.lit("neg").alias("pair_role"), F.col(neg).alias("response")))
@@ -15,7 +17,7 @@ def flat_tree(df: DataFrame, record: str, order: str, candidate: str) -> DataFra
     """Candidates as children c0, c1, ... of one root, each with an equal prior."""
     packed = df.groupBy(record).agg(F.sort_array(F.collect_list(F.struct(order, candidate))).alias("cs"))
     flat = packed.select(record, F.size("cs").alias("n"), F.posexplode("cs").alias("i", "c"))
-    return flat.select(record, F.concat(F.lit("c"), F.col("i").cast("string")).alias("tag"), F.col(f"c.{candidate}").alias(candidate), F.bround(1.0 / F.greatest(F.col("n"), F.lit(1)), 6).alias("prior"))
+    return flat.select(record, F.concat(F.lit("c"), F.col("i").cast("string")).alias("tag"), F.col(f"c.{candidate}").alias(candidate), half_even(1.0 / F.greatest(F.col("n"), F.lit(1)), 6).alias("prior"))
 
 
 def chain_nodes(segments: Column, index: Column, candidates: Column) -> Column:
@@ -23,7 +25,7 @@ def chain_nodes(segments: Column, index: Column, candidates: Column) -> Column:
     root = F.concat(F.lit("c"), index.cast("string"))
 
     def node(text: Column, i: Column) -> Column:
-        prior = F.when(i == 0, F.bround(1.0 / F.greatest(candidates, F.lit(1)), 6)).otherwise(1.0)
+        prior = F.when(i == 0, half_even(1.0 / F.greatest(candidates, F.lit(1)), 6)).otherwise(1.0)
         return F.struct(F.concat(root, F.repeat(F.lit(".0"), i)).alias("tag"), text.alias("text"), prior.alias("prior"), (i == F.size(segments) - 1).alias("terminal"))
 
     return F.transform(segments, node)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grades, texts, udfs
+from ..functions.exact import half_even
 
 EPSILON = 1e-6
 #: The value that stands for none, and the names of the methods.
@@ -22,7 +23,7 @@ def clamp(x: Column) -> Column:
 
 
 def _round4(x: Column) -> Column:
-    return F.bround(x, 4) + 0.0
+    return half_even(x, 4)
 
 
 def _truthy(c: Column) -> Column:
@@ -122,7 +123,7 @@ def calibrated(items: DataFrame, stats: DataFrame, strength: float = 0.35) -> Da
     x = x.withColumn("_new", F.transform("q_value", move))
     x = x.withColumn("calibration_change", F.when(F.col("enabled"), F.coalesce(skipped, F.when(F.col("_new") == F.col("q_value"), "unchanged").otherwise("calibrated"))))
     on = F.coalesce(F.col("calibration_change") == "calibrated", F.lit(False))
-    info = F.struct(F.lit(CALIBRATION_METHOD).alias("method"), F.lit(s).alias("strength"), *[F.bround(c, 6).alias(f"anchor_{n}") for c, n in ((F.col("all_mean"), "global_mean"), (F.col("all_sd"), "global_std"), (part["mean"], "dimension_mean"), (part["sd"], "dimension_std"))])
+    info = F.struct(F.lit(CALIBRATION_METHOD).alias("method"), F.lit(s).alias("strength"), *[half_even(c, 6).alias(f"anchor_{n}") for c, n in ((F.col("all_mean"), "global_mean"), (F.col("all_sd"), "global_std"), (part["mean"], "dimension_mean"), (part["sd"], "dimension_std"))])
     x = x.withColumns(
         {
             "pre_calibration_q_value": F.when(on, F.col("q_value")),
@@ -173,9 +174,9 @@ def with_consensus(items: DataFrame, summary: DataFrame, strength: float = 0.25,
     c, error = F.col("_c"), _truthy(F.col("terminal_error"))
     x = x.withColumn("_align", item_alignment(F.col("parsed_axiom_grade"), F.col("parsed_score"), c["median_axiom_grade"]))
     x = x.withColumn("_eff", s * c["confidence"] * F.col("_align"))
-    shown = [(c[n] if n in ("valid_count", "total_count") else F.bround(c[n], 4)).alias(n) for n in CONSENSUS]
-    shown += [F.bround(c["median_axiom_grade"] * 20.0, 4).alias("median_score"), F.bround(c["target_axiom_grade"] * 20.0, 4).alias("target_score"), F.lit(s).alias("strength"), F.lit(mode).alias("mode")]
-    shown += [F.when(~error, F.bround("_align", 4)).alias("item_alignment"), F.when(~error, F.bround("_eff", 4)).alias("effective_strength")]
+    shown = [(c[n] if n in ("valid_count", "total_count") else half_even(c[n], 4)).alias(n) for n in CONSENSUS]
+    shown += [half_even(c["median_axiom_grade"] * 20.0, 4).alias("median_score"), half_even(c["target_axiom_grade"] * 20.0, 4).alias("target_score"), F.lit(s).alias("strength"), F.lit(mode).alias("mode")]
+    shown += [F.when(~error, half_even("_align", 4)).alias("item_alignment"), F.when(~error, half_even("_eff", 4)).alias("effective_strength")]
     x = x.withColumn("score_consensus", F.when(c.isNotNull(), F.struct(*shown)))
     on = c.isNotNull() & ~error
     skipped = F.when(c.isNull(), "skipped_missing").when(error, "skipped_terminal_error")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import half_even
+
 
 def pearson(x: Column, y: Column) -> Column:
     """From sums, so that no spread gives 0 and fewer than two rows give null."""
@@ -21,11 +23,11 @@ def summary(predicted: Column, reference: Column) -> list[Column]:
     return [
         F.count("*").alias("n"),
         F.count_if(valid).alias("n_valid"),
-        (F.bround(F.count_if(valid) / F.greatest(F.count("*"), F.lit(1)), 4) + 0.0).alias("valid_rate"),
-        (F.bround(F.avg(error), 4) + 0.0).alias("mae"),
-        (F.bround(F.median(error).cast("double"), 4) + 0.0).alias("median_error"),
-        (F.bround(F.avg(F.when(valid, ((predicted >= 3) == (reference >= 3)).cast("double"))), 4) + 0.0).alias("boundary_accuracy"),
-        (F.bround(pearson(predicted, reference), 4) + 0.0).alias("pearson"),
+        (half_even(F.count_if(valid) / F.greatest(F.count("*"), F.lit(1)), 4) + 0.0).alias("valid_rate"),
+        (half_even(F.avg(error), 4) + 0.0).alias("mae"),
+        (half_even(F.median(error).cast("double"), 4) + 0.0).alias("median_error"),
+        (half_even(F.avg(F.when(valid, ((predicted >= 3) == (reference >= 3)).cast("double"))), 4) + 0.0).alias("boundary_accuracy"),
+        (half_even(pearson(predicted, reference), 4) + 0.0).alias("pearson"),
     ]
 
 

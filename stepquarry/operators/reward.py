@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import grades, texts
+from ..functions.exact import half_even, let
 
 #: Weights of score, functionality, dimension, verdict and evidence, for the correctness dimension and for others.
 CORRECTNESS = "Correctness Verification"
@@ -28,14 +29,16 @@ class Review:
     pass_rate: Column
     correctness: Column
     checks: Column
+    #: grade and kind, where they were read from the payload already.
+    read: Column | None = None
 
     @property
     def grade(self) -> Column:
-        return grades.grade_from_payload(self.payload)
+        return grades.grade_from_payload(self.payload) if self.read is None else self.read["grade"]
 
     @property
     def kind(self) -> Column:
-        return texts.strip(F.coalesce(F.get_json_object(self.payload, "$.evidence_type"), F.lit("")))
+        return texts.strip(F.coalesce(F.get_json_object(self.payload, "$.evidence_type"), F.lit(""))) if self.read is None else self.read["kind"]
 
     @property
     def distance(self) -> Column:
@@ -98,12 +101,16 @@ def alignments(r: Review) -> list[Column]:
 
 def reward(r: Review) -> Column:
     """(reward, reward_01, error, caps): 2 * share - 1 of the weighted alignments, held under the least cap; -1 for a review that can't be read."""
-    parts, bounds = alignments(r), caps(r)
+    return let(F.struct(r.grade.alias("grade"), r.kind.alias("kind")), lambda read: let(caps(replace(r, read=read)), lambda bounds: _held(replace(r, read=read), bounds)))
+
+
+def _held(r: Review, bounds: Column) -> Column:
+    parts = alignments(r)
     total = lambda ws: sum((w * p for w, p in zip(ws[1:], parts[1:], strict=True)), ws[0] * parts[0])
     share = F.when(r.dimension == CORRECTNESS, total(WEIGHTS)).otherwise(total(OTHER_WEIGHTS))
     held = F.least(share, F.coalesce(F.array_min(F.transform(bounds, lambda b: b["cap"])), F.lit(1.0)))
     error = F.when(r.payload.isNull(), "invalid_review_json").when(r.grade.isNull(), "missing_or_invalid_axiom_grade")
     return F.struct(
-        F.when(error.isNotNull(), -1.0).otherwise(F.bround(2 * held - 1, 4) + 0.0).alias("reward"), F.when(error.isNull(), F.bround(held, 4)).alias("reward_01"), error.alias("error"),
+        F.when(error.isNotNull(), -1.0).otherwise(half_even(2 * held - 1, 4) + 0.0).alias("reward"), F.when(error.isNull(), half_even(held, 4)).alias("reward_01"), error.alias("error"),
         F.when(error.isNull(), bounds).alias("caps"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grades, texts
+from ..functions.exact import half_even
 from .reward import CORRECTNESS
 
 #: The rubric, scales, label types and confidences of sources.
@@ -70,7 +71,7 @@ def both_sides(pairs: DataFrame, pair: str, pos: str, neg: str, order: list[str]
 def pass_rate(passed: Column, cap: int | None = None) -> Column:
     """The share of tests passed, of the first cap if one is given; 0 without tests. passed: array of booleans, as a runner gave them."""
     some = F.slice(passed, 1, cap) if cap else passed
-    return F.when(F.size(some) > 0, F.bround(F.size(F.filter(some, lambda p: p)) / F.size(some), 4)).otherwise(0.0)
+    return F.when(F.size(some) > 0, half_even(F.size(F.filter(some, lambda p: p)) / F.size(some), 4)).otherwise(0.0)
 
 
 def objective(public: Column, private: Column, tests: Column, executable: Column, cap: int | None = None) -> Column:
@@ -112,7 +113,7 @@ def prepared(rows: DataFrame, cap: int | None = None) -> DataFrame:
     )
     rate, tested = c("objective.full_test_pass_rate"), c("objective.has_executable_tests")
     target = grades.reconcile_target(grades.grade_from_correctness(c("correctness"), c("score")), rate, tested)
-    x = x.withColumns({"dimension_target_score": F.when(tested, F.bround(0.6 * c("reference_score") + 0.4 * (10.0 * rate), 2)).otherwise(c("reference_score")), "axiom_target_grade": target})
+    x = x.withColumns({"dimension_target_score": F.when(tested, half_even(0.6 * c("reference_score") + 0.4 * (10.0 * rate), 2)).otherwise(c("reference_score")), "axiom_target_grade": target})
     return x.withColumns({"axiom_target_score": c("axiom_target_grade") * 20.0, "review_question": texts.review_question(c("problem"))})
 
 

@@ -6,17 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grades
+from ..scratch import stored
 from .dedupe import _free as free_name
 from .dedupe import top_k
-
-#: Sides of joins are broadcast only if they have no more rows than this; beyond, they are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its size allows it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
+from .selection import first_of_each, first_rows, small, turns
 
 def seeded(seed: int, key: str) -> list[Column]:
     return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.col(key)]
@@ -44,7 +37,8 @@ def two_phase(df: DataFrame, rough: str, final: str, k: int, factor: float, seed
 
 
 def take(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    return df.orderBy(*seeded(seed, key)).limit(n)
+    """The first n rows by hash, with no task that has them all."""
+    return first_rows(df, n, seeded(seed, key))
 
 
 def replay(df: DataFrame, ratio: float, new_items: int, seed: int, key: str) -> DataFrame:
@@ -71,8 +65,9 @@ def delta_group(dataset: Column | None, delta: Column | None) -> Column:
 
 
 def round_robin(df: DataFrame, group: str, target: int, seed: int, key: str) -> DataFrame:
-    ranked = top_k(df, [group], seeded(seed, key), target, rank="turn")
-    return ranked.orderBy("turn", group).limit(target)
+    """target rows, one from each group in turn, with `turn`; in no order."""
+    sizes = stored(df.groupBy(group).agg(F.count("*").alias("n")), "sizes")
+    return first_of_each(df, [group], seeded(seed, key), turns(sizes, group, target), rank="turn")
 
 
 def balanced(df: DataFrame, group: str, target: int, seed: int, key: str, tag: str, suffix: str) -> DataFrame:

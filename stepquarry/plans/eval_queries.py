@@ -14,7 +14,7 @@ from .tables import documents, text_of
 C = F.col
 
 
-@query(f"WITH {T.REVIEWS}, r AS (SELECT dimension, CASE WHEN error IS NULL THEN grade END AS p, target AS t FROM reviews WHERE target IS NOT NULL) SELECT dimension, count(*) AS n, count(p) AS n_valid, round_even(count(p)::DOUBLE / count(*), 4) + 0.0 AS valid_rate, round_even(avg(abs(p - t)), 4) + 0.0 AS mae, round_even(median(abs(p - t))::DOUBLE, 4) + 0.0 AS median_error, round_even(avg(((p >= 3) = (t >= 3))::INT), 4) + 0.0 AS boundary_accuracy, round_even(corr(p, t) FILTER (p IS NOT NULL), 4) + 0.0 AS pearson FROM r GROUP BY 1")
+@query(f"WITH {T.REVIEWS}, r AS (SELECT dimension, CASE WHEN error IS NULL THEN grade END AS p, target AS t FROM reviews WHERE target IS NOT NULL) SELECT dimension, count(*) AS n, count(p) AS n_valid, printf('%.4f', (count(p)::DOUBLE / count(*))::DOUBLE)::DOUBLE + 0.0 AS valid_rate, printf('%.4f', (avg(abs(p - t)))::DOUBLE)::DOUBLE + 0.0 AS mae, printf('%.4f', (median(abs(p - t))::DOUBLE)::DOUBLE)::DOUBLE + 0.0 AS median_error, printf('%.4f', (avg(((p >= 3) = (t >= 3))::INT))::DOUBLE)::DOUBLE + 0.0 AS boundary_accuracy, printf('%.4f', (corr(p, t) FILTER (p IS NOT NULL))::DOUBLE)::DOUBLE + 0.0 AS pearson FROM r GROUP BY 1")
 def eval_summary(s: SparkSession, d: str) -> DataFrame:
     r = T.reviews(s, d).where("target is not null").withColumn("p", F.when(C("error").isNull(), C("grade")))
     return r.groupBy("dimension").agg(*metrics.summary(C("p"), C("target")))

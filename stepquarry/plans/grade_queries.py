@@ -18,7 +18,7 @@ FROM_CORRECTNESS = "CASE WHEN correctness = 'Correct' THEN CASE WHEN score <= 6
 
 column("grade_clamp", T.samples, ["doc_id"], lambda: {"grade": G.clamp_grade(C("score") / 2), "from_text": G.clamp_grade((C("score") - 2.5).cast("string"))}, T.SAMPLES, f"{CLAMP.format('score / 2')} AS grade, {CLAMP.format('score - 2.5')} AS from_text", "samples")
 column("grade_scalar", T.graded, ["doc_id"], lambda: {"scalar": G.scalar_score(C("grade"))}, T.SAMPLES, "grade * 20.0::DOUBLE AS scalar", "graded")
-column("grade_value_target", T.graded, ["doc_id"], lambda: {"target": r6(G.value_target(C("grade")))}, T.SAMPLES, "round_even(round_even(grade / 2.5::DOUBLE - 1, 4), 6) + 0.0 AS target", "graded")
+column("grade_value_target", T.graded, ["doc_id"], lambda: {"target": r6(G.value_target(C("grade")))}, T.SAMPLES, "round_even(printf('%.4f', (grade / 2.5::DOUBLE - 1)::DOUBLE)::DOUBLE, 6) + 0.0 AS target", "graded")
 column("grade_from_scalar", T.samples, ["doc_id"], lambda: {"grade": G.grade_from_scalar(C("n_chars") % 101, C("doc_id") % 3 * 50)}, T.SAMPLES, f"CASE WHEN doc_id % 3 * 50 > 0 THEN {CLAMP.format('(n_chars % 101)::DOUBLE / (doc_id % 3 * 50)::DOUBLE * 5')} END AS grade", "samples")
 column("grade_from_correctness", T.samples, ["doc_id"], lambda: {"grade": G.grade_from_correctness(C("correctness"), C("score"))}, T.SAMPLES, f"{FROM_CORRECTNESS} AS grade", "samples")
 column("grade_interval_binary", T.samples, ["doc_id"], lambda: dict(zip(("low", "high"), G.interval_from_binary(C("quality")), strict=True)), T.SAMPLES, "CASE WHEN quality = 1 THEN 3 ELSE 0 END AS low, CASE WHEN quality = 1 THEN 5 ELSE 2 END AS high", "samples")
@@ -46,7 +46,7 @@ def details() -> Column:
 column("target_grade_from_details", T.reviews, ["pos"], lambda: {"grade": G.target_from_details(details())}, T.REVIEWS, f"CASE WHEN pos % 3 = 0 THEN grade WHEN pos % 3 = 1 AND pos % 90 > 10 THEN {CLAMP.format('(pos % 90)::DOUBLE / 100 * 5')} ELSE {CLAMP.format('(pos % 90)::DOUBLE / 10 * 5')} END AS grade", "reviews")
 
 
-@query(f"WITH {T.SAMPLES} SELECT doc_id, CASE WHEN toxic = 1 THEN round_even(0.6::DOUBLE * score + 0.4::DOUBLE * (10.0 * 0.5::DOUBLE), 2) + 0.0 ELSE score END AS correctness, score AS clarity FROM samples")
+@query(f"WITH {T.SAMPLES} SELECT doc_id, CASE WHEN toxic = 1 THEN printf('%.2f', (0.6::DOUBLE * score + 0.4::DOUBLE * (10.0 * 0.5::DOUBLE))::DOUBLE)::DOUBLE + 0.0 ELSE score END AS correctness, score AS clarity FROM samples")
 def dimension_targets(s: SparkSession, d: str) -> DataFrame:
     scores = F.create_map(F.lit("Correctness Verification"), C("score"), F.lit("Clarity"), C("score"))
     out = T.samples(s, d).withColumn("t", G.dimension_targets(scores, F.lit(0.5), C("toxic") == 1))

@@ -147,7 +147,7 @@ def _marks(s: SparkSession, d: str) -> DataFrame:
     return T.reviews(s, d).withColumnRenamed("rec", "dataset_index").withColumnRenamed("dimension", "target_dimension")
 
 
-CONSENSUS = f"WITH {T.REVIEWS}, ok AS (SELECT *, CASE WHEN error IS NULL THEN grade END AS g FROM reviews), mid AS (SELECT rec, dimension, median(g) AS median, count(g) AS n, count(*) AS total, arg_min(target, pos) FILTER (target IS NOT NULL) AS t FROM ok GROUP BY 1, 2), off AS (SELECT rec, dimension, median(abs(g - mid.median)) AS mad FROM ok JOIN mid USING (rec, dimension) WHERE g IS NOT NULL GROUP BY 1, 2), cons AS (SELECT rec, dimension, median, mad, n, total, t, n / total::DOUBLE * greatest(0.0, 1 - mad / 2.5::DOUBLE) AS confidence, 2 * greatest(0.0, 1 - abs(median - t) / 5.0::DOUBLE) - 1 AS reward FROM mid JOIN off USING (rec, dimension) WHERE n >= 3 AND t IS NOT NULL), it AS (SELECT r.*, c.median, c.reward, confidence * greatest(0.0, 1 - abs(r.grade - c.median) / 5.0::DOUBLE) AS eff FROM reviews r LEFT JOIN cons c USING (rec, dimension)) "
+CONSENSUS = f"WITH {T.REVIEWS}, ok AS (SELECT *, CASE WHEN error IS NULL THEN grade END AS g FROM reviews), mid AS (SELECT rec, dimension, median(g) AS median, count(g) AS n, count(*) AS total, arg_min(target, pos) FILTER (target IS NOT NULL) AS t FROM ok GROUP BY 1, 2), off AS (SELECT rec, dimension, median(abs(g - mid.median)) AS mad FROM ok JOIN mid USING (rec, dimension) WHERE g IS NOT NULL GROUP BY 1, 2), cons AS (SELECT rec, dimension, median, mad, n, total, t, n / total::DOUBLE * greatest(0.0, 1 - mad / 2.5::DOUBLE) AS confidence, 2 * greatest(0.0, 1 - abs(median - t) / 5.0::DOUBLE) - 1 AS reward FROM mid JOIN off USING (rec, dimension) WHERE n >= 3 AND t IS NOT NULL), it AS (SELECT r.*, c.median, c.reward, confidence, greatest(0.0, 1 - abs(r.grade - c.median) / 5.0::DOUBLE) AS al FROM reviews r LEFT JOIN cons c USING (rec, dimension)) "
 
 
 @query(CONSENSUS + "SELECT rec, dimension, median, mad, n, total, round_even(confidence, 6) + 0.0 AS confidence, round_even(reward, 6) + 0.0 AS reward FROM cons")
@@ -165,12 +165,12 @@ def _items(s: SparkSession, d: str, mode: str, strength: float) -> DataFrame:
 CHANGE = "CASE WHEN median IS NULL THEN 'skipped_missing' WHEN error IS NOT NULL THEN 'skipped_terminal_error' ELSE '{}' END AS change"
 
 
-@query(CONSENSUS + f"SELECT pos, CASE WHEN median IS NOT NULL AND error IS NULL THEN round_even(greatest(0.0, 1 - 0.25::DOUBLE + 2 * 0.25::DOUBLE * eff), 4) + 0.0 END AS weight, {CHANGE.format('weighted')} FROM it")
+@query(CONSENSUS + f"SELECT pos, CASE WHEN median IS NOT NULL AND error IS NULL THEN printf('%.4f', (greatest(0.0, 1 - 0.25::DOUBLE + 2 * (0.25::DOUBLE * confidence * al)))::DOUBLE)::DOUBLE + 0.0 END AS weight, {CHANGE.format('weighted')} FROM it")
 def consensus_weight(s: SparkSession, d: str) -> DataFrame:
     return _items(s, d, "weight", 0.25).select("pos", C("value_loss_weight").alias("weight"), C("consensus_change").alias("change"))
 
 
-@query(CONSENSUS + "SELECT pos, CASE WHEN median IS NOT NULL AND error IS NULL THEN round_even(greatest(-1.0, least(1.0, (1 - 0.3::DOUBLE * eff) * q + 0.3::DOUBLE * eff * reward)), 4) + 0.0 ELSE q END AS adjusted FROM it")
+@query(CONSENSUS + "SELECT pos, CASE WHEN median IS NOT NULL AND error IS NULL THEN printf('%.4f', (greatest(-1.0, least(1.0, (1 - (0.3::DOUBLE * confidence * al)) * q + (0.3::DOUBLE * confidence * al) * reward)))::DOUBLE)::DOUBLE + 0.0 ELSE q END AS adjusted FROM it")
 def consensus_q_adjust(s: SparkSession, d: str) -> DataFrame:
     return _items(s, d, "q_adjust", 0.3).select("pos", C("terminal_q_value").alias("adjusted"))
 
@@ -188,10 +188,10 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-RAW = f"{T.SAMPLES}, raw AS (SELECT *, doc_id % 4 = 0 AS ran, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN toxic = 0 THEN 1.0::DOUBLE ELSE round_even(2 / 3.0::DOUBLE, 4) END ELSE 0.0::DOUBLE END AS rate, CASE WHEN doc_id % 4 = 0 THEN 3 WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END AS tests, {FROM_CORRECTNESS} AS mapped FROM samples)"
+RAW = f"{T.SAMPLES}, raw AS (SELECT *, doc_id % 4 = 0 AS ran, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN toxic = 0 THEN 1.0::DOUBLE ELSE printf('%.4f', (2 / 3.0::DOUBLE)::DOUBLE)::DOUBLE END ELSE 0.0::DOUBLE END AS rate, CASE WHEN doc_id % 4 = 0 THEN 3 WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END AS tests, {FROM_CORRECTNESS} AS mapped FROM samples)"
 
 
-@query(f"WITH {RAW} SELECT doc_id, ran, rate, CAST(tests AS INT) AS tests, CASE WHEN ran THEN round_even(0.6::DOUBLE * score + 0.4::DOUBLE * (10.0 * rate), 2) + 0.0 ELSE score END AS target_score, CASE WHEN ran AND rate >= 0.999 AND mapped < 3 THEN 3 ELSE mapped END AS grade, {quoted(samples.RUBRIC + chr(10) + 'Reference checklist item: c')} AS rubric, {quoted(X.REVIEW_QUESTION)} || 'Q ' || source AS question FROM raw")
+@query(f"WITH {RAW} SELECT doc_id, ran, rate, CAST(tests AS INT) AS tests, CASE WHEN ran THEN printf('%.2f', (0.6::DOUBLE * score + 0.4::DOUBLE * (10.0 * rate))::DOUBLE)::DOUBLE + 0.0 ELSE score END AS target_score, CASE WHEN ran AND rate >= 0.999 AND mapped < 3 THEN 3 ELSE mapped END AS grade, {quoted(samples.RUBRIC + chr(10) + 'Reference checklist item: c')} AS rubric, {quoted(X.REVIEW_QUESTION)} || 'Q ' || source AS question FROM raw")
 def prepared_samples(s: SparkSession, d: str) -> DataFrame:
     x = samples.prepared(_raw(s, d))
     return x.select("doc_id", C("objective.has_executable_tests").alias("ran"), C("objective.full_test_pass_rate").alias("rate"), F.size("tests").alias("tests"), C("dimension_target_score").alias("target_score"), C("axiom_target_grade").alias("grade"), "rubric", C("review_question").alias("question"))
@@ -224,7 +224,7 @@ def two_sided_pairs(s: SparkSession, d: str) -> DataFrame:
     return samples.both_sides(pairs, "pair", "pos", "neg", ["doc_id"]).select("pair", "doc_id")
 
 
-column("pass_rates", T.reviews, ["pos"], lambda: {"rate": samples.pass_rate(F.filter(F.array(C("grade") > 1, C("grade") > 2, C("error").isNull(), C("q") > 0), lambda p: C("pos") % 7 != 0), 3)}, T.REVIEWS, "CASE WHEN pos % 7 = 0 THEN 0.0::DOUBLE ELSE round_even(((grade > 1)::INT + (grade > 2)::INT + (error IS NULL)::INT) / 3.0::DOUBLE, 4) + 0.0 END AS rate", "reviews")
+column("pass_rates", T.reviews, ["pos"], lambda: {"rate": samples.pass_rate(F.filter(F.array(C("grade") > 1, C("grade") > 2, C("error").isNull(), C("q") > 0), lambda p: C("pos") % 7 != 0), 3)}, T.REVIEWS, "CASE WHEN pos % 7 = 0 THEN 0.0::DOUBLE ELSE printf('%.4f', (((grade > 1)::INT + (grade > 2)::INT + (error IS NULL)::INT) / 3.0::DOUBLE)::DOUBLE)::DOUBLE + 0.0 END AS rate", "reviews")
 column("last_of_equal_keys", T.reviews, ["pos"], lambda: {"got": samples.zipped(F.array(F.lit("a"), F.lit("b"), F.lit("a"), F.lit("c")), F.array(C("grade"), C("pos"), C("rec")))["a"].cast("bigint"), "size": F.size(samples.zipped(F.array(F.lit("a"), F.lit("b"), F.lit("a"), F.lit("c")), F.array(C("grade"), C("pos"), C("rec"))))}, T.REVIEWS, "rec AS got, 2::INT AS size", "reviews")
 
 
@@ -260,7 +260,7 @@ def manifest_rows(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", C("axiom_target_grade").alias("grade"), C("axiom_target_score").alias("score"), F.array_join(C("axiom_target_interval").cast("array<string>"), "-").alias("interval"), "language")
 
 
-@query(f"WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars % 6 AS INT) END AS g, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END AS a, CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 2 END AS b FROM documents), y AS (SELECT *, coalesce(g, {CLAMP.format('(a + b) / 2.0::DOUBLE')}) AS grade, coalesce(g, a) AS lo, coalesce(g, b) AS hi FROM x) SELECT doc_id, {_canonical_sql(False)} AS response, round_even(grade / 2.5::DOUBLE - 1, 4) + 0.0 AS q, round_even(lo / 2.5::DOUBLE - 1, 4) + 0.0 AS q_min, round_even(hi / 2.5::DOUBLE - 1, 4) + 0.0 AS q_max, CASE WHEN lo = hi THEN grade END AS target, grade * 20.0::DOUBLE AS score, CASE WHEN g IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lm_weight FROM y")
+@query(f"WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars % 6 AS INT) END AS g, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END AS a, CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 2 END AS b FROM documents), y AS (SELECT *, coalesce(g, {CLAMP.format('(a + b) / 2.0::DOUBLE')}) AS grade, coalesce(g, a) AS lo, coalesce(g, b) AS hi FROM x) SELECT doc_id, {_canonical_sql(False)} AS response, printf('%.4f', (grade / 2.5::DOUBLE - 1)::DOUBLE)::DOUBLE + 0.0 AS q, printf('%.4f', (lo / 2.5::DOUBLE - 1)::DOUBLE)::DOUBLE + 0.0 AS q_min, printf('%.4f', (hi / 2.5::DOUBLE - 1)::DOUBLE)::DOUBLE + 0.0 AS q_max, CASE WHEN lo = hi THEN grade END AS target, grade * 20.0::DOUBLE AS score, CASE WHEN g IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lm_weight FROM y")
 def static_score_items(s: SparkSession, d: str) -> DataFrame:
     """Exact grades, and binary labels as intervals."""
     even = C("doc_id") % 2 == 0
@@ -270,7 +270,7 @@ def static_score_items(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", C("response")[0].alias("response"), C("q_value")[0].alias("q"), C("q_min")[0].alias("q_min"), C("q_max")[0].alias("q_max"), C("target_axiom_grade").alias("target"), C("target_score").alias("score"), C("lm_loss_weight").alias("lm_weight"))
 
 
-@query(f"WITH {T.SAMPLES} SELECT doc_id, {_canonical_sql(True)} AS response, round_even(grade / 2.5::DOUBLE - 1, 4) + 0.0 AS q, 'static_exact' AS tag, 0.15::DOUBLE AS lm_weight FROM graded")
+@query(f"WITH {T.SAMPLES} SELECT doc_id, {_canonical_sql(True)} AS response, printf('%.4f', (grade / 2.5::DOUBLE - 1)::DOUBLE)::DOUBLE + 0.0 AS q, 'static_exact' AS tag, 0.15::DOUBLE AS lm_weight FROM graded")
 def static_exact_items(s: SparkSession, d: str) -> DataFrame:
     rows = T.graded(s, d).withColumns({"problem": C("source"), "candidate_code": C("text"), "language": C("subset"), "axiom_target_grade": C("grade")})
     return samples.exact_items(rows).select("doc_id", C("response")[0].alias("response"), C("terminal_q_value").alias("q"), C("terminal_tag").alias("tag"), C("lm_loss_weight").alias("lm_weight"))
@@ -299,7 +299,7 @@ def _review(s: SparkSession, d: str) -> tuple[DataFrame, reward.Review]:
     return rows, reward.Review(C("payload"), C("dim"), C("target"), C("tests"), F.lit(1.0), C("label"), C("checks"))
 
 
-@query(f"WITH {REWARD} SELECT pos, CASE WHEN pos % 97 = 0 OR pos % 89 = 0 THEN -1.0::DOUBLE ELSE round_even(2 * least(CASE WHEN dim = 'Style' THEN 0.50::DOUBLE * al + 0.20::DOUBLE * fu + 0.10::DOUBLE * di + 0.10::DOUBLE * (1 - abs(v1 - v2) / 2.0::DOUBLE) + 0.10::DOUBLE * ev ELSE 0.45::DOUBLE * al + 0.25::DOUBLE * fu + 0.10::DOUBLE * di + 0.10::DOUBLE * (1 - abs(v1 - v2) / 2.0::DOUBLE) + 0.10::DOUBLE * ev END, cap) - 1, 4) + 0.0 END AS reward, CASE WHEN pos % 97 = 0 THEN 'invalid_review_json' WHEN pos % 89 = 0 THEN 'missing_or_invalid_axiom_grade' END AS error FROM c")
+@query(f"WITH {REWARD} SELECT pos, CASE WHEN pos % 97 = 0 OR pos % 89 = 0 THEN -1.0::DOUBLE ELSE printf('%.4f', (2 * least(CASE WHEN dim = 'Style' THEN 0.50::DOUBLE * al + 0.20::DOUBLE * fu + 0.10::DOUBLE * di + 0.10::DOUBLE * (1 - abs(v1 - v2) / 2.0::DOUBLE) + 0.10::DOUBLE * ev ELSE 0.45::DOUBLE * al + 0.25::DOUBLE * fu + 0.10::DOUBLE * di + 0.10::DOUBLE * (1 - abs(v1 - v2) / 2.0::DOUBLE) + 0.10::DOUBLE * ev END, cap) - 1)::DOUBLE)::DOUBLE + 0.0 END AS reward, CASE WHEN pos % 97 = 0 THEN 'invalid_review_json' WHEN pos % 89 = 0 THEN 'missing_or_invalid_axiom_grade' END AS error FROM c")
 def reward_caps(s: SparkSession, d: str) -> DataFrame:
     rows, review = _review(s, d)
     return rows.withColumn("r", reward.reward(review)).select("pos", C("r.reward").alias("reward"), C("r.error").alias("error"))

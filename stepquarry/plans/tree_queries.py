@@ -237,7 +237,7 @@ staged AS (SELECT rec, tag, error, k, size, qs[k] AS q, bests[k] AS best, CASE W
  WHEN (k - 1) / (size - 1)::DOUBLE < 0.34 THEN 'early' WHEN (k - 1) / (size - 1)::DOUBLE < 0.67 THEN 'middle' ELSE 'late' END AS stage FROM sg),
 part AS (SELECT stage, count(*) AS n, avg(q) AS mean, stddev_pop(q) AS sd FROM staged WHERE error IS NULL GROUP BY 1),
 whole AS (SELECT count(*) AS all_n, avg(q) AS all_mean, stddev_pop(q) AS all_sd FROM staged WHERE error IS NULL),
-z AS (SELECT staged.*, CASE WHEN all_n >= 2 AND all_sd > 1e-6 AND n >= 2 AND sd > 1e-6 THEN round_even(greatest(-1.0, least(1.0, all_mean + (q - mean) / sd * all_sd)), 4) + 0.0 ELSE q END AS z FROM staged LEFT JOIN part USING (stage) CROSS JOIN whole)"""
+z AS (SELECT staged.*, CASE WHEN all_n >= 2 AND all_sd > 1e-6 AND n >= 2 AND sd > 1e-6 THEN printf('%.4f', (greatest(-1.0, least(1.0, all_mean + (q - mean) / sd * all_sd)))::DOUBLE)::DOUBLE + 0.0 ELSE q END AS z FROM staged LEFT JOIN part USING (stage) CROSS JOIN whole)"""
 
 
 @query(f"WITH {SEGMENTS} SELECT rec, tag, CAST(k - 1 AS INT) AS i, stage, z FROM z")
@@ -248,7 +248,7 @@ def stage_standardize(s: SparkSession, d: str) -> DataFrame:
     return x.select(C("order").alias("rec"), C("terminal_tag").alias("tag"), F.inline(pairs))
 
 
-@query(f"WITH {SEGMENTS} SELECT rec, tag, CAST(k - 1 AS INT) AS i, CASE WHEN error IS NOT NULL THEN q WHEN stage = 'review' OR k = size THEN round_even(greatest(-1.0, least(1.0, q)), 4) + 0.0 ELSE round_even(greatest(-1.0, least(1.0, 0.5::DOUBLE * q + 0.3::DOUBLE * best + 0.2::DOUBLE * z)), 4) + 0.0 END AS label FROM z")
+@query(f"WITH {SEGMENTS} SELECT rec, tag, CAST(k - 1 AS INT) AS i, CASE WHEN error IS NOT NULL THEN q WHEN stage = 'review' OR k = size THEN printf('%.4f', (greatest(-1.0, least(1.0, q)))::DOUBLE)::DOUBLE + 0.0 ELSE printf('%.4f', (greatest(-1.0, least(1.0, 0.5::DOUBLE * q + 0.3::DOUBLE * best + 0.2::DOUBLE * z)))::DOUBLE)::DOUBLE + 0.0 END AS label FROM z")
 def stage_blend(s: SparkSession, d: str) -> DataFrame:
     x = labels.blended(kept(s, d))
     return x.select(C("order").alias("rec"), C("terminal_tag").alias("tag"), F.posexplode("q_value").alias("i", "label"))
@@ -268,7 +268,7 @@ def q_calibrator(s: SparkSession, d: str) -> DataFrame:
     return x.select("enabled", F.explode("parts").alias("dim", "v")).select("dim", "v.n", r6(C("v.mean")).alias("mean"), r6(C("v.sd")).alias("sd"), "enabled")
 
 
-@query(f"WITH {CALIBRATION} SELECT rec, tag, CASE WHEN error IS NOT NULL OR n IS NULL THEN qs[len(qs)] ELSE round_even(greatest(-1.0, least(1.0, 0.65::DOUBLE * qs[len(qs)] + 0.35::DOUBLE * (all_mean + (qs[len(qs)] - mean) / sd * all_sd))), 4) + 0.0 END AS q, CASE WHEN n IS NULL THEN 'skipped_missing_dimension' WHEN error IS NOT NULL THEN 'skipped_terminal_error' END AS skipped FROM items LEFT JOIN used USING (dim) CROSS JOIN whole")
+@query(f"WITH {CALIBRATION} SELECT rec, tag, CASE WHEN error IS NOT NULL OR n IS NULL THEN qs[len(qs)] ELSE printf('%.4f', (greatest(-1.0, least(1.0, 0.65::DOUBLE * qs[len(qs)] + 0.35::DOUBLE * (all_mean + (qs[len(qs)] - mean) / sd * all_sd))))::DOUBLE)::DOUBLE + 0.0 END AS q, CASE WHEN n IS NULL THEN 'skipped_missing_dimension' WHEN error IS NOT NULL THEN 'skipped_terminal_error' END AS skipped FROM items LEFT JOIN used USING (dim) CROSS JOIN whole")
 def q_calibrate_apply(s: SparkSession, d: str) -> DataFrame:
     x = labels.calibrated(kept(s, d), labels.calibrator(_marks(s, d), 8), 0.35)
     change = C("calibration_change")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH = "spark.stepquarry.scratch"
 
@@ -26,3 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/stepquarry-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once into the shared folder and read back: what is read several times is computed once, and a lost executor loses nothing of it.
+
+    The folder goes with `drop`, or when the driver ends."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stepquarry_stored = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` wrote and that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df._stepquarry_stored)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session is gone, and with it whoever could delete
+        pass
