@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
 from .dedupe import _free as free_name
 
 #: Rows of a bucket, some more as hashes fall, and how many rows are taken by a plain sort with a limit, which each task holds.
@@ -98,13 +99,29 @@ def first_in_order(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     """The first n rows by any order: range partitions, counted; whole ones stay, the one at the boundary is sorted and cut."""
     if n <= FEW:
         return df.orderBy(*order).limit(n)
-    from ..scratch import stored
-
-    part = free_name(df, "_part")
-    rows = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    rows, part, counts = _ranges(df, order)
     left = n
-    for p, count in sorted((r[part], r["count"]) for r in rows.groupBy(part).count().collect()):
+    for p, count in counts:
         if count >= left:
             return rows.where(F.col(part) < p).unionByName(rows.where(F.col(part) == p).orderBy(*order).limit(left)).drop(part)
         left -= count
     return rows.drop(part)
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """df with its rows' places by an order, from 0: a window over each range partition, moved by how many rows come before it."""
+    rows, part, counts = _ranges(df, order)
+    before, total = [], 0
+    for p, count in counts:
+        before.append((p, total))
+        total += count
+    shift = rows.sparkSession.createDataFrame(before, f"{part} int, _shift long")  # a row for each partition
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1 + F.col("_shift")
+    return rows.join(F.broadcast(shift), part).withColumn(name, place.cast("long")).drop(part, "_shift")
+
+
+def _ranges(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, str, list[tuple[int, int]]]:
+    """df in stored range partitions by order, the column of their numbers, and how many rows each has."""
+    part = free_name(df, "_part")
+    rows = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    return rows, part, sorted((r[part], r["count"]) for r in rows.groupBy(part).count().collect())

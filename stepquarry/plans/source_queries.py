@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..sources import records
+from ..operators import metrics
+from ..sources import record_files, records
 from ..streaming import incremental
 from . import tables as T
 from .registry import query
@@ -50,35 +49,58 @@ def json_objects_numbered(s: SparkSession, d: str) -> DataFrame:
     return records.json_lines(s, path, "k long", objects_only=True).select("line", C("record.k").alias("k"))
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id % 9 <> 0")
+@query("SELECT doc_id, n_chars, md5(text) AS text_md5 FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 50 <> 7")
 def any_shape_records(s: SparkSession, d: str) -> DataFrame:
-    """Lines of one file, an array and an object in others; records without the wanted field go."""
+    """A folder of arrays, single objects and lines, whole texts in them and names that don't tell the shape. Records without a source go, and so do
+    arrays that are torn: those of the ids that leave 7."""
     path = scratch.fresh_path(s, "shapes")
-    rows = _rows(s, d)
-    records.write_json_lines(rows.where("doc_id % 2 = 0"), f"{path}/a")
-    whole = rows.where("doc_id % 2 = 1").groupBy(F.pmod("doc_id", F.lit(3))).agg(F.to_json(F.collect_list(F.struct("doc_id", "source", "lang", "n_chars"))).alias("value"))
-    whole.select("value").repartition(3).write.text(f"{path}/b", lineSep="\n")
-    lines = records.json_lines(s, f"{path}/a", SCHEMA).select("record.*")
-    arrays = s.read.schema(SCHEMA).option("multiLine", "true").option("pathGlobFilter", "*.txt").json(f"{path}/b")
-    return lines.unionByName(arrays).where("source is not null").select("doc_id", "n_chars")
+    rows = documents(s, d).select("doc_id", F.when(C("doc_id") % 9 != 0, C("source")).alias("source"), "n_chars", "text")
+    shape = C("doc_id") % 50
+    records.write_json_lines(rows.where((shape != 7) & (shape > 2)), f"{path}/lines")
+    named = rows.where((shape == 7) | (shape <= 2)).select("doc_id", F.to_json(F.struct("doc_id", "source", "n_chars", "text")).alias("json"), shape.alias("shape"))
+    arrays = named.where("shape > 0").groupBy("shape", F.floor(C("doc_id") / 1000).alias("lot")).agg(F.array_join(F.collect_list("json"), ", ").alias("all"))
+    whole = F.when(C("shape") == 7, F.concat(F.lit("["), "all")).otherwise(F.concat(F.lit("[null, "), "all", F.lit("]\n")))
+    record_files.write(arrays.select(F.concat_ws("_", "shape", "lot").alias("name"), whole.alias("value")).select(F.concat("name", F.lit(".json")).alias("name"), "value"), f"{path}/arrays")
+    record_files.write(named.where("shape = 0").select(F.concat(C("doc_id").cast("string"), F.lit(".jsonl")).alias("name"), C("json").alias("value")), f"{path}/objects")
+    return records.any_shape(s, path, "doc_id long, source string, n_chars long, text string", "source").select("doc_id", "n_chars", F.md5(C("text").cast("binary")).alias("text_md5"))
+
+
+def _sample_lines(s: SparkSession, d: str) -> str:
+    """One file whose line k is the k-th document, as a source row that is prepared in one way or the other, raw, or neither."""
+    path = scratch.fresh_path(s, "samples")
+    k = C("doc_id") % 5
+    own = F.concat(F.lit('"doc_id": '), C("doc_id").cast("string"))
+    body = F.when(k == 0, ', "prepared_review_sample": true').when(k == 1, ', "candidate_code": null, "reference_scores": {}').when(k == 2, ', "checklist_dimensions": ["d"], "answer": "", "private_test": {"input": ["1"]}').when(k == 3, ', "checklist_dimensions": ["d"], "answer": "", "public_test": {"input": []}').otherwise(', "candidate_code": "x"')
+    documents(s, d).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").select(F.concat(F.lit("{"), own, body, F.lit("}")).alias("value")).write.text(path)
+    return path
 
 
-@query("SELECT doc_id AS line, n_chars FROM documents WHERE doc_id >= 10 AND n_chars > 500 ORDER BY doc_id LIMIT 20")
+@query("SELECT line, doc_id, CASE WHEN doc_id % 5 < 2 THEN 'prepared' ELSE 'raw' END AS route FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, doc_id FROM documents) WHERE line >= 10 AND doc_id % 5 < 3")
 def sliced_load(s: SparkSession, d: str) -> DataFrame:
-    rows = documents(s, d).select(C("doc_id").alias("line"), "n_chars")
-    return records.sliced(rows, C("n_chars") > 500, 10, 20)
+    """Rows of a file from line 10 on, routed; those of no use are passed over."""
+    return records.routed(s, _sample_lines(s, d), 10).select("line", F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "route")
+
+
+@query("SELECT line, doc_id FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, doc_id FROM documents) WHERE line >= 10 AND doc_id % 5 < 3 ORDER BY line LIMIT 25")
+def sliced_load_limited(s: SparkSession, d: str) -> DataFrame:
+    """The limit counts rows that are kept."""
+    return records.routed(s, _sample_lines(s, d), 10, 25).select("line", F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
 
 
-@query("SELECT doc_id AS line, n_chars FROM documents WHERE doc_id = 17")
+@query("SELECT line, doc_id FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, doc_id, count(*) OVER () AS n FROM documents) WHERE line = n // 2")
 def point_lookup(s: SparkSession, d: str) -> DataFrame:
-    return records.record_at(documents(s, d).select(C("doc_id").alias("line"), "n_chars"), 17)
+    """The record at the middle line of a file."""
+    found = records.json_lines(s, _sample_lines(s, d), "doc_id long").select("line", "record.doc_id")
+    return records.record_at(found, found.count() // 2)
 
 
-@query("SELECT * FROM (VALUES (0, 5), (1, 3), (2, 9)) v(\"at\", \"index\")")
+@query("SELECT row_number() OVER (ORDER BY first) - 1 AS \"at\", \"index\" FROM (SELECT l_orderkey AS \"index\", min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1)")
 def index_list(s: SparkSession, d: str) -> DataFrame:
+    """The order keys of all line items, with repeats, as a file of indices: each once, where it came first."""
     path = scratch.fresh_path(s, "indices")
-    s.createDataFrame([(json.dumps({"indices": [3, 9, 5]}),)], "value string").coalesce(1).write.text(path)
-    return records.indices(s, [5, 3, 5], path)
+    keys = T.read(s, d, "lineitem").select("l_orderkey", (C("l_orderkey") * 10 + C("l_linenumber")).alias("place"))
+    keys.select(F.to_json(F.struct(C("l_orderkey").alias("index"), "place")).alias("value")).write.text(path)
+    return records.listed(s.read.schema("index long, place long").json(path), "index", "place").select("at", "index")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS dataset_index FROM documents WHERE doc_id % 3 = 0")
@@ -100,11 +122,15 @@ def chunked_append(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema("doc_id long, n_chars long").json(path)
 
 
-@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT doc_id || '_' || source || '.json' AS file, doc_id, n_chars, md5(text) AS text_md5 FROM documents")
 def per_record_files(s: SparkSession, d: str) -> DataFrame:
+    """One file a document, written in two runs of which the second finds half of them there."""
     path = scratch.fresh_path(s, "records")
-    records.write_per_record(documents(s, d).select("doc_id", C("source").alias("name")), path, "name")
-    return s.read.json(path).groupBy(C("name").alias("source")).agg(F.count("*").alias("n"))
+    rows = documents(s, d).select("doc_id", "source", "n_chars", "text")
+    for lot in ("doc_id % 2 = 0", "true"):
+        records.write_per_record(rows.where(lot), path, "doc_id", "source")
+    back = s.read.schema("doc_id long, n_chars long, text string").json(path)
+    return back.select(C("_metadata.file_name").alias("file"), "doc_id", "n_chars", F.md5(C("text").cast("binary")).alias("text_md5"))
 
 
 @query("SELECT lang, count(*) AS n, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY 1")
@@ -115,15 +141,28 @@ def metadata_sidecar(s: SparkSession, d: str) -> DataFrame:
     return x.select(F.explode("m.by_lang").alias("lang", "n"), C("m.total").alias("total"))
 
 
-@query("SELECT i AS \"index\" FROM range(20) t(i) WHERE i % 4 <> 0")
+@query("SELECT doc_id AS \"index\" FROM documents WHERE doc_id % 4 <> 0")
 def skip_existing(s: SparkSession, d: str) -> DataFrame:
+    """Documents without an output file, a quarter of them having one."""
     path = scratch.fresh_path(s, "existing")
-    for i in range(0, 20, 4):
-        fs, file = records._fs(s, f"{path}/raw_{i}_correctness.json")
-        out = fs.create(file)
-        out.writeBytes("{}")
-        out.close()
-    return records.missing_outputs(s.range(20).select(C("id").alias("index")), s, path)
+    rows = documents(s, d).select(C("doc_id").alias("index"), "lang")
+    done = rows.where("index % 4 = 0").select(F.concat(F.lit("raw_"), C("index").cast("string"), F.lit("_"), "lang", F.lit(".json")).alias("name"), F.lit("{}").alias("value"))
+    record_files.write(done, path)
+    return records.missing_outputs(rows, s, path).select("index")
+
+
+@query(f"WITH {T.REVIEWS}, r AS (SELECT dimension, CASE WHEN error IS NULL THEN grade END AS p, target AS t FROM reviews WHERE target IS NOT NULL AND pos % 40 <> 13) SELECT dimension, count(*) AS n, count(p) AS n_valid, printf('%.4f', (count(p)::DOUBLE / count(*)))::DOUBLE AS valid_rate, printf('%.4f', avg(abs(p - t)))::DOUBLE AS mae, printf('%.4f', (median(abs(p - t))::DOUBLE))::DOUBLE AS median_error, printf('%.4f', avg(((p >= 3) = (t >= 3))::INT))::DOUBLE AS boundary_accuracy, printf('%.4f', corr(p, t) FILTER (p IS NOT NULL))::DOUBLE AS pearson FROM r GROUP BY 1")
+def results_folder_summary(s: SparkSession, d: str) -> DataFrame:
+    """Metrics of a folder of result files, lines in some and arrays in others; torn files are left out."""
+    path = scratch.fresh_path(s, "results")
+    rows = T.reviews(s, d).where("target is not null").select("pos", "dimension", F.when(C("error").isNull(), C("grade")).alias("predicted"), "target")
+    lot = C("pos") % 40
+    json = rows.select(lot.alias("lot"), F.floor(C("pos") / 4000).alias("run"), F.to_json(F.struct("*")).alias("json"))
+    arrays = json.where("lot < 20").groupBy("lot", "run").agg(F.array_join(F.collect_list("json"), ",\n").alias("all"))
+    record_files.write(arrays.select(F.concat_ws("_", F.lit("run"), "run", "lot").alias("name"), F.concat(F.lit("["), "all", F.when(C("lot") == 13, "").otherwise("]")).alias("value")), f"{path}/arrays")
+    json.where("lot >= 20").select(C("json").alias("value")).write.text(f"{path}/lines")
+    found = records.any_shape(s, path, "dimension string, predicted int, target int", "dimension")
+    return found.groupBy("dimension").agg(*metrics.summary(C("predicted"), C("target")))
 
 
 @query("SELECT o_orderkey AS k, count(*) AS n FROM (SELECT DISTINCT o_orderkey FROM orders) GROUP BY 1")

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import texts
+from ..operators import selection
 from ..operators.dedupe import numeric_first
+from . import json_pieces, record_files
 
 CORRUPT = "_corrupt_record"
 
@@ -64,15 +66,11 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType
     return out.select("file", F.col("line").cast("long").alias("line"), "record")
 
 
-def any_shape(spark: SparkSession, path: str | list[str], schema: T.StructType | str, having: str | None = None) -> DataFrame:
-    """Records of files that hold one object, an array of objects (*.json) or JSON Lines (*.jsonl), where the named field isn't null.
+def any_shape(spark: SparkSession, path: str | list[str], schema: str, having: str | None = None) -> DataFrame:
+    """Records of files that hold one object, an array of objects or an object a line, told by content, where the named field isn't null.
 
-    What can't be read is left out."""
-    whole = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    marked = T.StructType([*whole.fields, T.StructField(CORRUPT, T.StringType())])
-    read = lambda glob, **options: spark.read.options(recursiveFileLookup="true", pathGlobFilter=glob, **options).schema(marked).json(path)
-    both = read("*.jsonl").unionByName(read("*.json", multiLine="true"))
-    kept = both.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    Files of any size are read in splits. Torn arrays and objects are left out whole, as are lines that can't be read."""
+    kept = json_pieces.records(spark, path, schema).select("record.*")
     return kept.where(F.col(having).isNotNull()) if having else kept
 
 
@@ -108,9 +106,27 @@ def record_at(records: DataFrame, index: int, order: str = "line") -> DataFrame:
 
 
 def sliced(records: DataFrame, keep: Column, start: int = 0, limit: int | None = None, order: str = "line") -> DataFrame:
-    """Records from physical line `start` that are kept, `limit` of those."""
+    """Records from physical line `start` that are kept, the first `limit` of those, in no order; no task has them all."""
     some = records.where((F.col(order) >= start) & F.coalesce(keep, F.lit(False)))
-    return some if limit is None else some.orderBy(order).limit(limit)
+    return some if limit is None else selection.first_in_order(some, limit, [F.col(order)])
+
+
+def _truthy(json: Column, path: str) -> Column:
+    return ~F.coalesce(F.get_json_object(json, path), F.lit("")).isin("", "false", "0", "0.0", "[]", "{}")
+
+
+def sample_route(json: Column) -> Column:
+    """How a source row is prepared: `prepared` (it says so, or has a candidate and reference scores), `raw` (it has dimensions, an answer and
+    tests), or null: it is passed over."""
+    has = lambda key: F.coalesce(F.array_contains(F.json_object_keys(json), key), F.lit(False))
+    tests = _truthy(json, "$.public_test.input") | _truthy(json, "$.private_test.input")
+    return F.when(_truthy(json, "$.prepared_review_sample") | (has("candidate_code") & has("reference_scores")), "prepared").when(_truthy(json, "$.checklist_dimensions") & has("answer") & tests, "raw")
+
+
+def routed(spark: SparkSession, path: str, start: int = 0, limit: int | None = None) -> DataFrame:
+    """(line, route, value) of a JSON Lines file from a physical line on: the first `limit` rows that are prepared or raw."""
+    rows = lines(spark, path).select("line", sample_route(F.col("value")).alias("route"), "value")
+    return sliced(rows, F.col("route").isNotNull(), start, limit)
 
 
 def indices(spark: SparkSession, given: list[int], file: str | None = None) -> DataFrame:
@@ -123,6 +139,12 @@ def indices(spark: SparkSession, given: list[int], file: str | None = None) -> D
     return spark.createDataFrame(list(enumerate(kept)), "at long, index long")
 
 
+def listed(given: DataFrame, index: str = "index", order: str = "place") -> DataFrame:
+    """(at, index): each index of a long list once, numbered from 0 by where it came first. Range partitions are counted, so no task numbers all."""
+    first = given.groupBy(F.col(index).alias("index")).agg(F.min(order).alias("first"))
+    return selection.numbered(first, [F.col("first"), F.col("index")], "at").select("at", "index")
+
+
 def examples(spark: SparkSession, path: str, k: int, seed: int) -> list[Any]:
     """k few-shot examples of a JSON array file, without replacement, by the order of md5(seed:place); all if there are fewer."""
     import hashlib
@@ -161,10 +183,10 @@ def write_json_lines(df: DataFrame, path: str, id_col: str | None = None, mode:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_per_record(df: DataFrame, path: str, *id_cols: str) -> None:
-    """A folder for each record, named by its ids; names are made safe as file names."""
-    name = F.concat_ws("_", *[texts.file_part(F.col(c)) for c in id_cols])
-    df.withColumn("_part", name).write.mode("append").partitionBy("_part").json(path)
+def write_per_record(df: DataFrame, path: str, *id_cols: str, mode: str = "append") -> None:
+    """A JSON file for each record, named by its ids, which are made safe as file names. A repeated run adds only what lacks."""
+    name = F.concat(F.concat_ws("_", *[texts.file_part(F.col(c)) for c in id_cols]), F.lit(".json"))
+    record_files.write(df.select(name.alias("name"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), path, mode)
 
 
 def write_sidecar(df: DataFrame, path: str, counts: dict[str, Column], **given: Any) -> dict[str, Any]:

@@ -258,7 +258,7 @@ def test_resume_and_sinks(spark, tmp_path):
     text = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert sorted(json.loads(t)["dataset_index"] for t in text) == ["10", "9", "a"] and any(json.loads(t).get("s", 0) is None for t in text)
     records.write_per_record(rows, str(tmp_path / "each"), "dataset_index", "s")
-    assert {p.name for p in (tmp_path / "each").iterdir() if p.is_dir()} == {"_part=10_unknown", "_part=9_x", "_part=a_y"}
+    assert {p.name for p in (tmp_path / "each").iterdir()} == {"10_unknown.json", "9_x.json", "a_y.json"}
     (tmp_path / "s").mkdir()
     for name, value in (("1.json", '{"dataset_index": "9", "n": 1}'), ("2.json", '{"dataset_index": "9", "n": 2}'), ("3.json", "{torn")):
         (tmp_path / "s" / name).write_text(value)
