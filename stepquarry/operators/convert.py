@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grades, texts, udfs
-from . import labels, selection, trees
+from ..scratch import stored
+from . import intervals, labels, selection, trees
 
 IDENTITY = ["source", "subset", "dataset_index"]
 #: The wording of a verifier's corrections, and the names of their kinds.
@@ -34,10 +35,20 @@ def best_tags(react: Column) -> Column:
     return F.transform(F.array_distinct(F.transform(final, lambda n: n["target_dimension"])), lambda d: F.struct(d.alias("dimension"), of(d)["tag"].alias("tag"), of(d)["q_value"].alias("q_value")))
 
 
-def terminals(records: DataFrame) -> DataFrame:
-    """A row for each terminal node, with what its details say: error, parsed, grade, target, score and the meaning of its review."""
-    rows = records.withColumn("_terminals", trees.valued_terminals(F.col("react")))
-    rows = rows.select("*", F.posexplode("react").alias("pos", "node")).where(trees.is_terminal(F.col("node")))
+def terminals(records: DataFrame, with_way: bool = False) -> DataFrame:
+    """A row for each terminal node, with what its details say: error, parsed, grade, target, score and the meaning of its review.
+
+    The nodes are not in the rows: of a record with n terminals each would have them all. with_way: the nodes on the way, with their best descendant."""
+    react = F.col("react")
+    keep = [c for c in records.columns if c != "react"]
+    if with_way:
+        on_way = lambda n, best: F.struct(n["text"].alias("text"), F.coalesce(n["q_value"], F.lit(-100.0)).alias("q"), n["tag"].alias("tag"), F.coalesce(best, F.lit(-100.0)).alias("best"))
+        records = records.select(*keep, "react", intervals.ways(react, trees.is_terminal).alias("_ways"), F.zip_with(react, trees.best_descendants(react), on_way).alias("_steps"))
+        way = lambda i: F.transform(F.get("_ways", i), lambda j: F.get("_steps", j))
+    else:
+        way = lambda i: F.lit(None).cast("array<struct<text:string,q:double,tag:string,best:double>>")
+    made = F.transform(react, lambda n, i: F.when(trees.is_terminal(n), F.struct(i.alias("pos"), n.alias("node"), way(i).alias("way"))))
+    rows = records.select(*keep, F.explode(F.array_compact(made)).alias("_t")).select(*keep, "_t.pos", "_t.node", F.col("_t.way").alias("_way"))
     c = F.col
     rows = rows.withColumns({"tag": c("node.tag"), "target_dimension": F.coalesce("node.target_dimension", F.lit("")), "terminal_q_value": F.coalesce("node.q_value", F.lit(-100.0)), "is_best_path": F.coalesce(F.array_contains("best_tags", c("node.tag")), F.lit(False))})
     rows = rows.withColumns({"terminal_error": texts.terminal_error(c("node.reward_details")), "_details": texts.sound_details(c("node.reward_details"))})
@@ -58,19 +69,20 @@ def terminals(records: DataFrame) -> DataFrame:
     return rows.withColumn("_signature", texts.signature(meant, said))
 
 
-def consensus_rows(records: DataFrame) -> DataFrame:
-    """What a consensus is made of: a row for each terminal, its grade, its target (of a score where no grade is given) and its error."""
+def marks(records: DataFrame) -> DataFrame:
+    """What labels are calibrated by and a consensus is made of: a narrow row for each terminal, with its value, its grade, its target (of a score where no
+    grade is given) and its error."""
     t = terminals(records)
     target = F.coalesce(F.col("target_axiom_grade"), grades.target_from_details(F.to_json(F.struct("target_score"))).cast("double"))
-    return t.select("order", "pos", F.col("dataset_index").cast("string").alias("dataset_index"), "target_dimension", F.col("parsed_axiom_grade").alias("grade"), target.alias("target"), F.col("terminal_error").alias("error"))
+    return t.select(
+        "order", "pos", F.col("dataset_index").cast("string").alias("dataset_index"), "target_dimension", F.col("parsed_axiom_grade").alias("grade"), target.alias("target"),
+        F.col("terminal_error").alias("error"), F.col("terminal_q_value").alias("q_value"), "terminal_error",
+    )
 
 
 def paths(rows: DataFrame) -> DataFrame:
     """terminals -> items: response and its parallel arrays over the nodes on the way; null response where no node has text or the dimension is blank."""
-    segments = F.filter(
-        F.transform(trees.ancestors(F.col("react"), F.col("tag")), lambda n: F.struct(texts.normalize_segment(n["text"]).alias("text"), F.coalesce(n["q_value"], F.lit(-100.0)).alias("q"), n["tag"].alias("tag"), trees.best_descendant(F.col("_terminals"), n["tag"], F.coalesce(n["q_value"], F.lit(-100.0))).alias("best"))),
-        lambda s: s["text"].isNotNull(),
-    )
+    segments = F.filter(F.transform("_way", lambda n: n.withField("text", texts.normalize_segment(n["text"]))), lambda n: n["text"].isNotNull())
     x = rows.withColumn("_segments", F.when(F.col("target_dimension") != "", segments)).withColumn("_segments", F.when(F.size("_segments") > 0, F.col("_segments")))
     take = lambda name: F.transform("_segments", lambda s: s[name])
     return x.withColumns(
@@ -78,7 +90,7 @@ def paths(rows: DataFrame) -> DataFrame:
             "response": take("text"), "q_value": take("q"), "raw_q_value": take("q"), "q_node_tags": take("tag"), "q_descendant_best": take("best"),
             "q_stage": F.transform("_segments", lambda s, i: texts.stage(i, F.size("_segments"), s["text"])),
         }
-    ).drop("_segments")
+    ).drop("_segments", "_way")
 
 
 def _kept(rows: DataFrame, most: int) -> DataFrame:
@@ -134,7 +146,7 @@ def converted(records: DataFrame, least_q: float = 0.5, most_paths: int = 0, spl
 
     Values are raw: labels.blended is the next step, over one split at a time. correction_weights: of the language model and of the value."""
     c = F.col
-    x = _kept(paths(terminals(records)), most_paths)
+    x = _kept(paths(terminals(records, with_way=True)), most_paths)
     feedback = F.size("verifier_feedback") > 0
     match = F.coalesce(c("parsed_axiom_grade") == grades.clamp_grade(c("target_axiom_grade")), F.lit(False))
     candidate = c("is_best_path") & (c("terminal_q_value") >= least_q) & c("terminal_error").isNull() & ~feedback
@@ -234,17 +246,18 @@ def training_rows(new: DataFrame, replay: DataFrame | None = None, anchors: Data
     """Records to training rows: conversion and stage labels of each split, merged; then calibration on the anchors, consensus, policy flags, collapse.
 
     The order matters: labels are blended before they are calibrated, and a row whose value has moved may begin to train the policy."""
-    made = lambda records, split: labels.blended(converted(records, least_q, split=split, **options).where("fate = 'kept'"))
+    made = lambda records, split: labels.blended(stored(converted(records, least_q, split=split, **options).where("fate = 'kept'"), "items"))
     items = made(new, "new")
     if replay is not None:
         n = items.count() if replay_ratio >= 0 else 0
         items = merged(items, replayed(made(replay, "replay"), replay_ratio, n, seed))
-    every = new if replay is None else new.unionByName(replay)
+    if calibration is None and consensus is None:
+        known = None
+    else:
+        known = stored(marks(new if replay is None else new.unionByName(replay.withColumn("order", F.col("order") + (1 << 60)))), "marks")
     if calibration is not None:
-        marks = terminals(anchors if anchors is not None else every).withColumn("q_value", F.col("terminal_q_value"))
-        items = labels.calibrated(items, labels.calibrator(marks, least_anchors), calibration)
+        items = labels.calibrated(items, labels.calibrator(known if anchors is None else marks(anchors), least_anchors), calibration)
     if consensus is not None:
-        rows = consensus_rows(new if replay is None else new.unionByName(replay.withColumn("order", F.col("order") + (1 << 60))))
-        items = labels.with_consensus(items.withColumn("dataset_index", F.col("dataset_index").cast("string")), labels.consensus(rows, ["order", "pos"]), consensus, consensus_mode)
+        items = labels.with_consensus(items.withColumn("dataset_index", F.col("dataset_index").cast("string")), labels.consensus(known, ["order", "pos"]), consensus, consensus_mode)
     items = labels.refreshed(items, least_q)
     return labels.collapsed(items) if final_review else items

@@ -1,7 +1,7 @@
 """Search trees as one row a record, their nodes an array in the order they were made: lineages, paths, statistics, selection.
 
-A record's tree is small (it is one JSON object at the source), so all of this is higher-order functions over the array: nodes that come as
-rows are packed by one shuffle, and nothing is joined afterwards. A node is a struct with at least `tag`."""
+A record's tree is one JSON object at the source, so all of this works on the array: nodes that come as rows are packed by one shuffle, and
+nothing is joined afterwards. What depends on subtrees or ways comes from `intervals`, in one scan of a record's nodes. A node is a struct with at least `tag`."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts
+from ..functions.exact import let
+from . import intervals
 
 #: Answers that stand for a failure, and the value that stands for none.
 FAILURES = (
@@ -31,10 +33,6 @@ def ancestors(react: Column, tag: Column) -> Column:
     return F.transform(F.sort_array(F.transform(found, lambda n: F.struct(F.length(n["tag"]).alias("l"), n.alias("n")))), lambda e: e["n"])
 
 
-def children(react: Column, tag: Column) -> Column:
-    return F.filter(react, lambda n: texts.parent_tag(n["tag"]) == tag)
-
-
 def is_terminal(node: Column) -> Column:
     """Nodes with a final answer; one that stands for a failure counts too."""
     return F.coalesce(node["final_answer"], F.lit("")) != ""
@@ -44,87 +42,73 @@ def valid_final(answer: Column) -> Column:
     return (F.coalesce(answer, F.lit("")) != "") & ~answer.isin(*FAILURES)
 
 
-def valued_terminals(react: Column) -> Column:
-    """(tag, q) of terminal nodes that have a value and no error: what best_descendant looks among."""
-    good = lambda n: is_terminal(n) & (F.coalesce(texts.terminal_error(n["reward_details"]), F.lit("")) == "") & n["q_value"].isNotNull() & (n["q_value"] != IGNORED)
-    return F.transform(F.filter(react, good), lambda n: F.struct(n["tag"].alias("tag"), n["q_value"].alias("q")))
+def valued(node: Column) -> Column:
+    """The value of a terminal node that has one and no error, else null: what best_descendants looks among."""
+    good = is_terminal(node) & (F.coalesce(texts.terminal_error(node["reward_details"]), F.lit("")) == "") & (node["q_value"] != IGNORED)
+    return F.when(good, node["q_value"])
 
 
-def best_descendant(terminals: Column, tag: Column, fallback: Column) -> Column:
-    """The best value of a valued terminal at or below a tag; fallback if there is none."""
-    return F.coalesce(F.array_max(F.transform(F.filter(terminals, lambda t: texts.descends(t["tag"], tag)), lambda t: t["q"])), fallback)
+def best_descendants(react: Column) -> Column:
+    """For each node the best value of a valued terminal at or below it; its own value if there is none."""
+    return F.zip_with(react, intervals.best_values(react, valued), lambda n, best: F.coalesce(best, n["q_value"]))
 
 
 def backup(react: Column, reward: str) -> Column:
     """(tag, visits, q) of every node: how many rewards (of nodes at or below it that have one) it got, and their mean, 0 without any."""
-
-    def of(n: Column) -> Column:
-        own = F.transform(F.filter(react, lambda m: m[reward].isNotNull() & texts.descends(m["tag"], n["tag"])), lambda m: m[reward])
-        mean = F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.size(own)).otherwise(0.0)
-        return F.struct(n["tag"].alias("tag"), F.size(own).cast("bigint").alias("visits"), mean.alias("q"))
-
-    return F.transform(react, of)
+    mean = lambda t: F.when(t["visits"] > 0, t["total"] / t["visits"]).otherwise(0.0)
+    return F.zip_with(react, intervals.totals(react, lambda n: n[reward]), lambda n, t: F.struct(n["tag"].alias("tag"), t["visits"].alias("visits"), mean(t).alias("q")))
 
 
 def puct(q: Column, prior: Column, visits: Column, parent_visits: Column, c: float = 1.5) -> Column:
     return q + c * prior * F.sqrt(parent_visits) / (1 + visits)
 
 
-def selected(react: Column, c: float = 1.5) -> Column:
+def selected(react: str, c: float = 1.5, seed: int = 42) -> Column:
     """(parent, tag, score) of the child that PUCT picks under each node: of nodes (tag, visits, q, prior, terminal), terminal ones aside.
 
-    Of equal scores the child made first is taken."""
-
-    def pick(n: Column) -> Column:
-        kids = F.filter(children(react, n["tag"]), lambda k: ~k["terminal"])
-        scored = F.transform(kids, lambda k, i: F.struct(F.bround(puct(k["q"], k["prior"], k["visits"], n["visits"], c), 9).alias("score"), (-i).alias("i"), k["tag"].alias("tag")))
-        best = F.array_max(scored)
-        return F.when(best.isNotNull(), F.struct(n["tag"].alias("parent"), best["tag"].alias("tag"), best["score"].alias("score")))
-
-    return F.array_compact(F.transform(react, pick))
-
-
-def visible_depth(react: Column, tag: Column) -> Column:
-    return F.size(F.filter(ancestors(react, tag), lambda n: F.coalesce(n["text"], F.lit("")) != ""))
+    react: a column's name. Of equal scores the child with the least md5(seed:tag) is taken, a draw that can be repeated."""
+    nodes = F.col(react)
+    draw = lambda k: F.md5(F.concat(F.lit(f"{seed}:"), k["tag"]))
+    score = lambda k, up: F.bround(puct(k["q"], k["prior"], k["visits"], F.get(nodes, up)["visits"], c), 9)
+    kids = F.zip_with(nodes, intervals.parents(nodes), lambda k, up: F.when(~k["terminal"] & up.isNotNull(), F.struct(up.alias("up"), (-score(k, up)).alias("less"), draw(k).alias("draw"), k["tag"].alias("tag"))))
+    # sorted by parent, then score: the first of each parent's is its pick
+    ranked = F.sort_array(F.array_compact(kids))
+    firsts = let(ranked, lambda x: F.filter(x, lambda k, i: (i == 0) | (F.get(x, i - 1)["up"] != k["up"])))
+    return F.transform(firsts, lambda k: F.struct(F.get(nodes, k["up"])["tag"].alias("parent"), k["tag"].alias("tag"), (-k["less"]).alias("score")))
 
 
 def frontier(react: Column, most_depth: int, limit: int = 0) -> Column:
     """Tags of open leaves, deepest first, then by q, visits and value; ties in the order they were made. limit 0 gives all.
 
     Open: neither terminal nor with children, not deeper than most_depth, with a dimension."""
-
-    def open_(n: Column) -> Column:
-        leaf = ~F.exists(react, lambda m: F.coalesce(texts.parent_tag(m["tag"]), F.lit("")) == n["tag"])
-        return leaf & ~n["terminal"] & (F.coalesce(n["target_dimension"], F.lit("")) != "") & (visible_depth(react, n["tag"]) <= most_depth)
-
-    ranked = F.transform(
-        F.filter(react, open_),
-        lambda n: F.struct(visible_depth(react, n["tag"]).alias("d"), n["q_value"].alias("q"), n["visit_count"].alias("v"), F.coalesce(n["value"], F.lit(IGNORED)).alias("x"), (-F.array_position(F.transform(react, lambda m: m["tag"]), n["tag"])).alias("i"), n["tag"].alias("tag")),
-    )
+    open_ = lambda n, at: at["leaf"] & ~n["terminal"] & (F.coalesce(n["target_dimension"], F.lit("")) != "") & (at["shown"] <= most_depth)
+    rank = lambda n, at: F.struct(at["shown"].alias("d"), n["q_value"].alias("q"), n["visit_count"].alias("v"), F.coalesce(n["value"], F.lit(IGNORED)).alias("x"))
+    marked = F.zip_with(react, intervals.standing(react), lambda n, at: F.struct(open_(n, at).alias("open"), rank(n, at).alias("rank"), n["tag"].alias("tag")))
+    ranked = F.filter(F.transform(marked, lambda x, i: F.struct(x["rank"], (-i).alias("i"), x["tag"], x["open"])), lambda x: x["open"])
     tags = F.transform(F.sort_array(ranked, asc=False), lambda e: e["tag"])
     return F.slice(tags, 1, limit) if limit > 0 else tags
 
 
-def may_expand(react: Column, tag: Column, most_depth: int, explore_depth: int, leaf_target: int = 0, node_budget: int = 0, linear: Column | None = None) -> Column:
-    """Whether a node may get children: not terminal, not too deep, and neither enough valid leaves nor nodes yet (0: no such bound).
-
-    A linear rollout only ends at most_depth."""
-    depth = visible_depth(react, tag)
-    node = F.get(F.filter(react, lambda n: n["tag"] == tag), 0)
+def may_expand(react: Column, most_depth: int, explore_depth: int, leaf_target: int = 0, node_budget: int = 0, linear: Column | None = None) -> Column:
+    """(tag, may) of every node: whether it may get children, being not terminal, not too deep, and neither enough valid leaves nor nodes there yet (0: no
+    such bound). A linear rollout only ends at most_depth."""
     leaves = F.size(F.filter(react, lambda n: n["terminal"] & valid_final(n["final_answer"])))
     shown = F.size(F.filter(react, lambda n: F.coalesce(n["text"], F.lit("")) != ""))
-    stop = (depth > explore_depth) | (depth >= most_depth)
+    full = F.lit(False)
     if leaf_target > 0:
-        stop = stop | (leaves >= leaf_target)
+        full = full | (leaves >= leaf_target)
     if node_budget > 0:
-        stop = stop | (shown >= node_budget)
+        full = full | (shown >= node_budget)
     rolled = F.coalesce(linear, F.lit(False)) if linear is not None else F.lit(False)
-    return ~node["terminal"] & F.when(rolled, depth <= most_depth).otherwise(~stop)
+    fits = lambda at: F.when(rolled, at["shown"] <= most_depth).otherwise((at["shown"] <= explore_depth) & (at["shown"] < most_depth))
+    once = F.struct(full.alias("full"), intervals.standing(react).alias("at"))
+    return let(once, lambda v: F.zip_with(react, v["at"], lambda n, at: F.struct(n["tag"].alias("tag"), (~n["terminal"] & fits(at) & (rolled | ~v["full"])).alias("may"))))
 
 
-def so_far(react: Column, tag: Column) -> Column:
-    """The stripped texts on the way to a node, a line each."""
-    return F.array_join(F.transform(F.filter(ancestors(react, tag), lambda n: F.coalesce(n["text"], F.lit("")) != ""), lambda n: texts.strip(n["text"])), "\n")
+def so_far(react: Column) -> Column:
+    """(tag, so_far) of every node: the stripped texts on the way to it, a line each."""
+    told = lambda n: F.when(F.coalesce(n["text"], F.lit("")) != "", texts.strip(n["text"]))
+    return F.zip_with(react, intervals.ways(react), lambda n, way: F.struct(n["tag"].alias("tag"), F.array_join(F.transform(way, lambda j: told(F.get(react, j))), "\n").alias("so_far")))
 
 
 def state_map(nodes: DataFrame, record: str, tag: str, *columns: str) -> DataFrame:

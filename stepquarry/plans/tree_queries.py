@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import texts as X
 from ..functions import udfs
-from ..operators import convert, dedupe, expand, labels, trees
+from ..operators import convert, dedupe, expand, intervals, labels, trees
 from . import tables as T
 from .registry import column, query, r6
 from .tables import text_of
@@ -42,9 +43,8 @@ def packed(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {T.NODES}, good AS (SELECT rec, anc AS tag, max(q) AS best FROM lineages WHERE status = 'F' AND p % 13 <> 0 GROUP BY 1, 2) SELECT rec, tag, coalesce(best, q) AS best_q FROM nodes LEFT JOIN good USING (rec, tag)")
 def best_descendant_q(s: SparkSession, d: str) -> DataFrame:
-    x = packed(s, d).withColumn("t", trees.valued_terminals(C("react")))
-    best = F.transform("react", lambda n: F.struct(n["tag"].alias("tag"), trees.best_descendant(C("t"), n["tag"], n["q_value"]).alias("best_q")))
-    return x.select("rec", F.inline(best))
+    best = F.zip_with("react", trees.best_descendants(C("react")), lambda n, q: F.struct(n["tag"].alias("tag"), q.alias("best_q")))
+    return packed(s, d).select("rec", F.inline(best))
 
 
 @query(f"WITH {T.NODES}, got AS (SELECT rec, anc AS tag, count(*) AS visits, sum(q) AS total FROM lineages WHERE status = 'F' GROUP BY 1, 2) SELECT rec, tag, coalesce(visits, 0) AS visits, round_even(coalesce(total / visits, 0), 6) + 0.0 AS q FROM nodes LEFT JOIN got USING (rec, tag)")
@@ -55,10 +55,11 @@ def mcts_backup(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {T.NODES} SELECT l.rec, l.tag AS terminal, string_agg(n.dimension, '>' ORDER BY len(l.anc)) AS path, round_even(sum(n.q), 6) + 0.0 AS total FROM lineages l JOIN nodes n ON n.rec = l.rec AND n.tag = l.anc GROUP BY 1, 2")
 def path_assembly(s: SparkSession, d: str) -> DataFrame:
-    way = lambda n: trees.ancestors(C("react"), n["tag"])
-    total = lambda n: F.aggregate(way(n), F.lit(0.0), lambda a, m: a + m["q_value"])
-    made = F.transform("react", lambda n: F.struct(n["tag"].alias("terminal"), F.array_join(F.transform(way(n), lambda m: m["dimension"]), ">").alias("path"), r6(total(n)).alias("total")))
-    return packed(s, d).select("rec", F.inline(made))
+    nodes = F.transform("react", lambda n: F.struct(n["tag"].alias("tag"), n["dimension"].alias("dimension"), n["q_value"].alias("q")))
+    x = packed(s, d).select("rec", nodes.alias("react")).withColumn("ways", intervals.ways(C("react")))
+    total = lambda way: F.aggregate(way, F.lit(0.0), lambda a, j: a + F.get("react", j)["q"])
+    made = F.zip_with("react", "ways", lambda n, way: F.struct(n["tag"].alias("terminal"), F.array_join(F.transform(way, lambda j: F.get("react", j)["dimension"]), ">").alias("path"), r6(total(way)).alias("total")))
+    return x.select("rec", F.inline(made))
 
 
 def _visited(s: SparkSession, d: str) -> Column:
@@ -72,10 +73,10 @@ def _visited(s: SparkSession, d: str) -> Column:
 STATE = f"st AS (SELECT rec, ln, tag, q, p, p % 9 AS visits, status = 'F' AS terminal, {PARENT.format('tag')} AS up FROM nodes)"
 
 
-@query(f"WITH {T.NODES}, {STATE}, sc AS (SELECT c.rec, c.up AS parent, c.tag, c.ln, round_even(c.q + 1.5 * 0.5 * sqrt(p.visits::DOUBLE) / (1 + c.visits), 9) + 0.0 AS score FROM st c JOIN st p ON p.rec = c.rec AND p.tag = c.up WHERE c.tag <> '0' AND NOT c.terminal) SELECT rec, parent, tag, round_even(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY rec, parent ORDER BY score DESC, ln) AS r FROM sc) WHERE r = 1")
+@query(f"WITH {T.NODES}, {STATE}, sc AS (SELECT c.rec, c.up AS parent, c.tag, c.ln, round_even(c.q + 1.5 * 0.5 * sqrt(p.visits::DOUBLE) / (1 + c.visits), 9) + 0.0 AS score FROM st c JOIN st p ON p.rec = c.rec AND p.tag = c.up WHERE c.tag <> '0' AND NOT c.terminal) SELECT rec, parent, tag, round_even(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY rec, parent ORDER BY score DESC, md5('42:' || tag)) AS r FROM sc) WHERE r = 1")
 def puct_select(s: SparkSession, d: str) -> DataFrame:
     x = packed(s, d).withColumn("react", _visited(s, d))
-    return x.select("rec", F.inline(trees.selected(C("react")))).select("rec", "parent", "tag", r6(C("score")).alias("score"))
+    return x.select("rec", F.inline(trees.selected("react"))).select("rec", "parent", "tag", r6(C("score")).alias("score"))
 
 
 SHOWN = "vis AS (SELECT l.rec, l.tag, CAST(count(*) FILTER (n.p % 10 <> 0) AS INT) AS depth FROM lineages l JOIN nodes n ON n.rec = l.rec AND n.tag = l.anc GROUP BY 1, 2)"
@@ -90,8 +91,7 @@ def frontier_topk(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {T.NODES}, {STATE}, {SHOWN}, n AS (SELECT rec, count(*) FILTER (terminal) AS leaves, count(*) FILTER (p % 10 <> 0) AS shown FROM st GROUP BY 1) SELECT rec, tag, NOT terminal AND depth <= 2 AND depth < 4 AND leaves < 3 AND shown < 8 AS may FROM st JOIN vis USING (rec, tag) JOIN n USING (rec)")
 def expansion_eligibility(s: SparkSession, d: str) -> DataFrame:
     x = packed(s, d).withColumn("react", _visited(s, d))
-    made = F.transform("react", lambda n: F.struct(n["tag"].alias("tag"), trees.may_expand(C("react"), n["tag"], 4, 2, 3, 8).alias("may")))
-    return x.select("rec", F.inline(made))
+    return x.select("rec", F.inline(trees.may_expand(C("react"), 4, 2, 3, 8)))
 
 
 @query(f"WITH {T.NODES}, k AS (SELECT rec, least(grade, 5) AS grade, count(*) AS n FROM (SELECT rec, rec % 6 AS grade FROM nodes WHERE status = 'F') GROUP BY 1, 2) SELECT n.rec, count(*) AS nodes, count(*) FILTER (status = 'F') AS reviews, min(q) AS q_min, max(q) AS q_max, CAST(max(len(string_split(tag, '.'))) AS INT) AS depth, coalesce(any_value(k.grade || ':' || k.n), '') AS grades FROM nodes n LEFT JOIN k ON k.rec = n.rec GROUP BY n.rec")
@@ -108,8 +108,7 @@ def cumulative_path_text(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {T.TRAJ} SELECT t.rec, t.tag, string_agg(trim(s.text, ' ' || chr(10)), chr(10) ORDER BY len(a.up)) AS so_far FROM traj t JOIN anc a ON a.rec = t.rec AND a.tag = t.tag JOIN traj s ON s.rec = a.rec AND s.tag = a.up WHERE s.text <> '' GROUP BY 1, 2")
 def path_text(s: SparkSession, d: str) -> DataFrame:
-    made = F.transform("react", lambda n: F.struct(n["tag"].alias("tag"), trees.so_far(C("react"), n["tag"]).alias("so_far")))
-    return T.trajectories(s, d).select(C("order").alias("rec"), F.inline(made))
+    return T.trajectories(s, d).select(C("order").alias("rec"), F.inline(trees.so_far(C("react"))))
 
 
 @query(f"WITH {T.NODES} SELECT rec, string_agg(tag || '=' || dimension, ',' ORDER BY len(string_split(tag, '.')), list_transform(string_split(tag, '.'), lambda x: x::INT)) AS states FROM nodes GROUP BY rec")
@@ -206,13 +205,13 @@ def correction_expand(s: SparkSession, d: str) -> DataFrame:
     return made.select(C("order").alias("rec"), C("terminal_tag").alias("tag"), C("repeat").alias("copy"), C("parsed_axiom_grade").alias("grade"), C("terminal_q_value").alias("q"), asked.alias("asked"))
 
 
-@query(f"WITH {KEPT} SELECT count(*) AS n, count(*) FILTER (rec % 2 = 0) AS even FROM items")
+@query(f"WITH {KEPT}, new AS (SELECT rec, tag FROM items WHERE rec % 3 = 0), drawn AS (SELECT rec, tag, row_number() OVER (ORDER BY md5('7:unit:unit:' || rec || ':' || tag || ':0')) AS place FROM items WHERE rec % 2 = 0) SELECT rec, tag, 'new' AS split FROM new UNION ALL SELECT rec, tag, 'replay' FROM drawn WHERE place <= (SELECT round_even(0.5::DOUBLE * count(*), 0) FROM new) AND rec % 3 <> 0")
 def replay_merge(s: SparkSession, d: str) -> DataFrame:
-    """New items and a replay of half of the records: what both have stays once, as the new item."""
-    new = kept(s, d, split="new")
-    old = convert.replayed(kept(s, d, split="replay").where(C("order") % 2 == 0), 0.25, new.count(), 7)
-    m = convert.merged(new, old)
-    return m.agg(F.count("*").alias("n"), F.count_if(C("order") % 2 == 0).alias("even"))
+    """New items of a third of the records, and a replay of half as many of the even ones: what both have stays once, as the new item."""
+    items = scratch.stored(kept(s, d), "items")
+    new = items.where(C("order") % 3 == 0).withColumn("data_split", F.lit("new"))
+    old = convert.replayed(items.where(C("order") % 2 == 0).withColumn("data_split", F.lit("replay")), 0.5, new.count(), 7)
+    return convert.merged(new, old).select(C("order").alias("rec"), C("terminal_tag").alias("tag"), C("data_split").alias("split"))
 
 
 # expanders ----------------------------------------------------------------------------------------------------------------------------
@@ -242,7 +241,7 @@ z AS (SELECT staged.*, CASE WHEN all_n >= 2 AND all_sd > 1e-6 AND n >= 2 AND sd
 
 @query(f"WITH {SEGMENTS} SELECT rec, tag, CAST(k - 1 AS INT) AS i, stage, z FROM z")
 def stage_standardize(s: SparkSession, d: str) -> DataFrame:
-    items = kept(s, d)
+    items = scratch.stored(kept(s, d), "items")
     x = items.crossJoin(F.broadcast(labels.statistics(labels.stage_values(items), "stage", "q")))
     pairs = F.transform("raw_q_value", lambda q, i: F.struct(i.alias("i"), F.get("q_stage", i).alias("stage"), labels.standardized(q, F.get("q_stage", i)).alias("z")))
     return x.select(C("order").alias("rec"), C("terminal_tag").alias("tag"), F.inline(pairs))
@@ -250,7 +249,7 @@ def stage_standardize(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SEGMENTS} SELECT rec, tag, CAST(k - 1 AS INT) AS i, CASE WHEN error IS NOT NULL THEN q WHEN stage = 'review' OR k = size THEN printf('%.4f', (greatest(-1.0, least(1.0, q)))::DOUBLE)::DOUBLE + 0.0 ELSE printf('%.4f', (greatest(-1.0, least(1.0, 0.5::DOUBLE * q + 0.3::DOUBLE * best + 0.2::DOUBLE * z)))::DOUBLE)::DOUBLE + 0.0 END AS label FROM z")
 def stage_blend(s: SparkSession, d: str) -> DataFrame:
-    x = labels.blended(kept(s, d))
+    x = labels.blended(scratch.stored(kept(s, d), "items"))
     return x.select(C("order").alias("rec"), C("terminal_tag").alias("tag"), F.posexplode("q_value").alias("i", "label"))
 
 
@@ -259,7 +258,7 @@ whole AS (SELECT count(*) AS all_n, avg(q) AS all_mean, stddev_pop(q) AS all_sd
 
 
 def _marks(s: SparkSession, d: str) -> DataFrame:
-    return convert.terminals(T.trajectories(s, d)).withColumn("q_value", C("terminal_q_value"))
+    return convert.marks(T.trajectories(s, d))
 
 
 @query(f"WITH {CALIBRATION} SELECT dim, n, round_even(mean, 6) + 0.0 AS mean, round_even(sd, 6) + 0.0 AS sd, true AS enabled FROM used")
@@ -287,10 +286,28 @@ def collapse_final_segment(s: SparkSession, d: str) -> DataFrame:
     return x.select(C("order").alias("rec"), C("terminal_tag").alias("tag"), F.array_join("response", "|").alias("response"), F.size("q_value").alias("values"))
 
 
-@query(f"WITH {KEPT} SELECT count(*) AS items FROM items")
+R4 = "printf('%.4f', greatest(-1.0, least(1.0, {}))::DOUBLE)::DOUBLE + 0.0"
+TRAINING = f"""{SEGMENTS}, lab AS (SELECT rec, tag, k, size, CASE WHEN error IS NOT NULL THEN q WHEN stage = 'review' OR k = size THEN {R4.format('q')} ELSE {R4.format('0.5::DOUBLE * q + 0.3::DOUBLE * best + 0.2::DOUBLE * z')} END AS label FROM z),
+marks AS (SELECT dim, q FROM term WHERE dim <> '' AND error IS NULL), mpart AS (SELECT dim, count(*) AS n, avg(q) AS mean, stddev_pop(q) AS sd FROM marks GROUP BY 1), mall AS (SELECT count(*) AS n, avg(q) AS mean, stddev_pop(q) AS sd FROM marks),
+used AS (SELECT p.dim, p.mean, p.sd, w.mean AS all_mean, w.sd AS all_sd FROM mpart p CROSS JOIN mall w WHERE p.n >= 8 AND p.sd > 1e-6 AND w.sd > 1e-6 AND w.n >= 8),
+cal AS (SELECT l.rec, l.tag, l.k, l.size, CASE WHEN i.error IS NOT NULL OR u.dim IS NULL THEN label ELSE {R4.format('0.65::DOUBLE * label + 0.35::DOUBLE * (all_mean + (label - mean) / sd * all_sd)')} END AS v FROM lab l JOIN items i USING (rec, tag) LEFT JOIN used u ON u.dim = i.dim),
+mid AS (SELECT rec, dim, median(CASE WHEN error IS NULL THEN pred END) AS med, count(CASE WHEN error IS NULL THEN pred END) AS n, count(*) AS total FROM term WHERE dim <> '' GROUP BY 1, 2),
+off AS (SELECT t.rec, t.dim, median(abs(t.pred - mid.med)) AS mad FROM term t JOIN mid USING (rec, dim) WHERE t.error IS NULL GROUP BY 1, 2),
+cons AS (SELECT rec, dim, med, n / total::DOUBLE * greatest(0.0, 1 - mad / 2.5::DOUBLE) AS confidence FROM mid JOIN off USING (rec, dim) WHERE n >= 3),
+held AS (SELECT i.rec, i.tag, i.train, i.issue, i.block, i.fault OR i.block IS NOT NULL AS value_only, i.is_best AND e.v >= 0.5 AND i.error IS NULL AND NOT (i.fault OR i.block IS NOT NULL) AND coalesce(i.own = i.goal, false) AS fit,
+ CASE WHEN c.rec IS NOT NULL AND i.error IS NULL THEN printf('%.4f', greatest(0.0, 1 - 0.25::DOUBLE + 2 * (0.25::DOUBLE * confidence * greatest(0.0, 1 - abs(i.own - c.med) / 5.0::DOUBLE)))::DOUBLE)::DOUBLE END AS weight
+ FROM items i JOIN cal e ON e.rec = i.rec AND e.tag = i.tag AND e.k = e.size LEFT JOIN cons c ON c.rec = i.rec AND c.dim = i.dim),
+told AS (SELECT *, fit AND issue IS NULL AS now, issue IS NOT NULL AND (train OR fit) AS stopped FROM held)"""
+
+
+@query(f"WITH {TRAINING} SELECT rec, tag, CAST(k - 1 AS INT) AS i, v AS q, now AS train, value_only OR stopped AS value_only, CASE WHEN stopped THEN 'weak_or_malformed_reasoning' ELSE block END AS block, CASE WHEN NOT now AND (value_only OR stopped) THEN 0.0::DOUBLE ELSE coalesce(weight, CASE WHEN value_only THEN 0.0::DOUBLE END) END AS lm_weight, weight AS value_weight, CASE WHEN now AND NOT train THEN 'upgraded' WHEN train AND NOT now THEN 'downgraded' END AS change FROM cal JOIN told USING (rec, tag)")
 def training_rows(s: SparkSession, d: str) -> DataFrame:
-    """The whole conversion with all its steps: labels, calibration, consensus, policy flags."""
-    return convert.training_rows(T.trajectories(s, d), calibration=0.35, consensus=0.25).agg(F.count("*").alias("items"))
+    """The whole conversion with all its steps, by value: labels of each segment, calibration, consensus weights, policy flags."""
+    rows = convert.training_rows(T.trajectories(s, d), calibration=0.35, consensus=0.25)
+    return rows.select(
+        C("order").alias("rec"), C("terminal_tag").alias("tag"), F.posexplode("q_value").alias("i", "q"), C("train_lm").alias("train"), C("force_value_only").alias("value_only"), C("policy_block_reason").alias("block"),
+        C("lm_loss_weight").alias("lm_weight"), C("value_loss_weight").alias("value_weight"), C("policy_change").alias("change"),
+    )
 
 
 @query()

@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from stepquarry.functions import grades, texts, udfs
-from stepquarry.operators import dedupe, evaluate, labels, reward, sampling, trees
+from stepquarry.operators import dedupe, evaluate, intervals, labels, reward, sampling, trees
 from stepquarry.sources import config, records
 from stepquarry.streaming import incremental
 
@@ -132,9 +133,41 @@ def test_tags(spark):
 
 def test_missing_middle_node_is_skipped(spark):
     nodes = spark.createDataFrame([(1, 0, "0", 0.1, "", None), (1, 1, "0.0.0", 0.9, "x", None), (1, 2, "0.1", 1.0, "x", '{"error": "e"}')], "rec long, pos int, tag string, q_value double, final_answer string, reward_details string")
-    r = trees.packed(nodes, ["rec"], ["pos"], "tag", "q_value", "final_answer", "reward_details").withColumn("t", trees.valued_terminals(F.col("react")))
-    got = r.select(trees.best_descendant(F.col("t"), F.lit("0"), F.lit(0.1)).alias("a"), trees.best_descendant(F.col("t"), F.lit("0.1"), F.lit(-0.5)).alias("b"), F.transform(trees.ancestors(F.col("react"), F.lit("0.0.0")), lambda n: n["tag"]).alias("c")).first()
-    assert tuple(got) == (0.9, -0.5, ["0", "0.0.0"])
+    r = trees.packed(nodes, ["rec"], ["pos"], "tag", "q_value", "final_answer", "reward_details")
+    got = r.select(trees.best_descendants(F.col("react")).alias("best"), intervals.ways(F.col("react"), trees.is_terminal).alias("ways")).first()
+    assert got.best == [0.9, 0.9, 1.0] and got.ways == [None, [0, 1], [0, 2]]
+
+
+def test_intervals_equal_brute_force():
+    rnd = random.Random(8)
+    for _ in range(60):
+        tags = ["0"]
+        for _ in range(rnd.randint(0, 40)):
+            tags.append(rnd.choice(tags) + rnd.choice([".0", ".1", ".10", ".2", "#x", "-1", ".1.1"]))
+        tags += rnd.sample(tags, min(3, len(tags))) + [None]
+        rnd.shuffle(tags)
+        values = [rnd.choice([None, rnd.random()]) for _ in tags]
+        below = lambda a, b: a is not None and b is not None and (a == b or a.startswith(b + "."))
+        best = intervals._best.func(tags, values)
+        sums = intervals._sums.func(tags, values)
+        ways = intervals._ways.func(tags, None)
+        for i, tag in enumerate(tags):
+            own = [values[j] for j, t in enumerate(tags) if below(t, tag) and values[j] is not None]
+            assert best[i] == max(own, default=None)
+            if tag is None:
+                assert sums[i] is None and ways[i] is None
+            else:
+                assert sums[i]["visits"] == len(own) and abs(sums[i]["total"] - sum(own)) < 1e-9
+                assert sorted(ways[i]) == [j for j, t in enumerate(tags) if below(tag, t)] and [len(tags[j]) for j in ways[i]] == sorted(len(tags[j]) for j in ways[i])
+
+
+def test_a_tree_of_many_nodes_is_one_scan(spark):
+    """A chain of 3,000 nodes with 30,000 leaves, and a row of 100,000 under one root."""
+    chain = ["0" + ".0" * k for k in range(3000)]
+    tags = chain + [f"{chain[k % 3000]}.{1 + k // 3000}" for k in range(30_000)]
+    df = spark.createDataFrame([(1, [(t, float(i)) for i, t in enumerate(tags)]), (2, [("0", 0.0)] + [(f"0.{i}", float(i)) for i in range(100_000)])], "rec int, react array<struct<tag:string,q:double>>")
+    got = {r.rec: (r.best, r.visits) for r in df.select("rec", intervals.best_values(F.col("react"), lambda n: n["q"])[0].alias("best"), intervals.totals(F.col("react"), lambda n: n["q"])[0]["visits"].alias("visits")).collect()}
+    assert got == {1: (32_999.0, 33_000), 2: (99_999.0, 100_001)}
 
 
 def test_beam_ties_and_failures(spark):
