@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import texts, udfs
 
@@ -83,28 +81,8 @@ def sibling_reviews(reviews: DataFrame, keys: Sequence[str], order: Sequence[str
     return x.withColumn(mark, first | F.col(name).isNull()).where(mark).drop(name, mark)
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _fresh(parent: pd.Series, steps: pd.Series, parent_bound: pd.Series, sibling_bound: pd.Series, least: pd.Series) -> pd.Series:
-    def ratio(a: str, b: str) -> float:
-        import difflib
-
-        return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
-
-    def judge(above: str | None, own: list[str], p: float, s: float, n: int) -> list[bool]:
-        kept, out = [], []
-        for step in own:
-            long = len(step.split()) >= n
-            near = long and ((p < 1 and ratio(step, above or "") >= p) or (s < 1 and any(ratio(step, k) >= s for k in kept)))
-            out.append(not near)
-            if not near:
-                kept.append(step)
-        return out
-
-    return pd.Series([judge(a, list(xs), p, s, n) for a, xs, p, s, n in zip(parent, steps, parent_bound, sibling_bound, least, strict=True)], dtype=object)
-
-
 def fresh_steps(nodes: DataFrame, keys: Sequence[str], parent: str, steps: str, parent_bound: float = udfs.NEAR, sibling_bound: float = udfs.NEAR, least: int = udfs.LEAST_WORDS) -> DataFrame:
     """nodes(*keys, parent, steps array) -> a row for each step with `at`, its place, and `fresh`: not a near duplicate of the parent's step
     or of an earlier sibling that stayed. Steps of under `least` words are always fresh; a bound of 1 doesn't compare."""
-    flags = _fresh(texts.similarity_key(F.col(parent)), F.transform(steps, texts.similarity_key), F.lit(float(parent_bound)), F.lit(float(sibling_bound)), F.lit(least))
+    flags = udfs.fresh(texts.similarity_key(F.col(parent)), F.transform(steps, texts.similarity_key), F.lit(float(parent_bound)), F.lit(float(sibling_bound)), F.lit(least))
     return nodes.select(*keys, F.posexplode(F.arrays_zip(F.col(steps).alias("step"), flags.alias("fresh"))).alias("at", "x")).select(*keys, "at", "x.step", "x.fresh")

@@ -129,7 +129,7 @@ def cumulative_text(rows: DataFrame, keys: list[str], order: list[str], text: st
 def first_texts(outputs: Column) -> Column:
     """Generated texts without repeats, compared stripped, in order."""
     stripped = F.transform(outputs, texts.strip)
-    return F.filter(outputs, lambda x, i: F.array_position(stripped, texts.strip(x)) == i + 1)
+    return let(stripped, lambda own: F.filter(outputs, lambda x, i: F.array_position(own, F.get(own, i)) == i + 1))
 
 
 def beam_round(candidates: DataFrame, keys: list[str], order: list[str], width: Column, most_depth: int) -> DataFrame:

@@ -132,12 +132,12 @@ def split_policy_value(s: SparkSession, d: str) -> DataFrame:
     return policy.groupBy(F.lit(True).alias("policy")).agg(F.count("*").alias("n")).unionByName(value.groupBy(F.lit(False).alias("policy")).agg(F.count("*").alias("n")))
 
 
-TARGETS = "c AS (SELECT name, policy, value FROM (VALUES ('a', 30, 90), ('b', 20, 100)) v(name, policy, value))"
+TARGETS = f"{T.REVIEWS}, c AS (SELECT CASE WHEN pos % 3 = 0 THEN 'a' ELSE 'b' END AS name, count(*) FILTER (grade >= 4) AS policy, count(*) FILTER (grade < 4) AS value FROM reviews GROUP BY 1)"
 
 
 @query(f"WITH {TARGETS}, w AS (SELECT min(policy) AS p, min(value) AS v FROM c) SELECT kind, name, CASE WHEN kind = 'baseline' THEN policy ELSE p END::BIGINT AS target_policy, CASE WHEN kind = 'least' THEN v ELSE value END::BIGINT AS target_value, (CASE WHEN kind = 'baseline' THEN policy ELSE p END + CASE WHEN kind = 'least' THEN v ELSE value END)::BIGINT AS target_total FROM c CROSS JOIN w CROSS JOIN (VALUES ('own_values'), ('least'), ('baseline')) k(kind)")
 def balance_targets(s: SparkSession, d: str) -> DataFrame:
-    counts = s.createDataFrame([("a", 30, 90), ("b", 20, 100)], "name string, policy long, value long")
+    counts = T.reviews(s, d).groupBy(F.when(C("pos") % 3 == 0, "a").otherwise("b").alias("name")).agg(F.count_if(C("grade") >= 4).alias("policy"), F.count_if(C("grade") < 4).alias("value"))
     parts = [sampling.targets(counts, k).select(F.lit(k).alias("kind"), "name", "target_policy", "target_value", "target_total") for k in ("own_values", "least", "baseline")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

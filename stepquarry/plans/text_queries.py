@@ -98,10 +98,10 @@ column("segment_normalize", T.turns, ["rec", "pos"], lambda: {"segment": X.norma
 column("rollout_text", T.turns, ["rec", "pos"], lambda: {"review": X.close_review(text_of("<review>", C("text"))), "step": X.step_text(segments_raw())}, T.TURNS, f"{sql_rstrip('''('<review>' || text)''')} || {NL} || '</review>' AS review, CASE pos % 5 WHEN 0 THEN '<step>' || text || '</step>' WHEN 1 THEN {sql_rstrip('''('<step>' || text)''')} || {NL} || '</step>' WHEN 2 THEN '<step>' || {NL} || {ST} || {NL} || '</step>' WHEN 3 THEN '<step>so</step>' ELSE '<step>' || {NL} || {NL} || '</step>' END AS step", "turns")
 column("output_unwrap", T.turns, ["rec", "pos"], lambda: {"action": X.unwrap_review(segments_raw())["action"], "final": X.unwrap_review(segments_raw())["final_answer"], "code": X.unwrap_code(text_of("a <code>", C("text"), "</code> <code>last</code>"))["final_answer"], "last": X.unwrap_code(text_of("a <code>", C("text"), "</code> <code>last</code>"), last=True)["final_answer"]}, T.TURNS, f"CASE pos % 5 WHEN 3 THEN '' WHEN 4 THEN '' ELSE {ST} END AS action, CASE pos % 5 WHEN 3 THEN {sql_strip('''(text || ' </review> tail')''')} ELSE '' END AS final, text AS code, 'last' AS last", "turns")
 column("pair_role", documents, ["doc_id"], lambda: {"role": X.pair_role(F.when(C("doc_id") % 4 == 0, "Pos_Response").when(C("doc_id") % 4 == 1, "NEGATIVE").when(C("doc_id") % 4 == 2, "chosen"))}, "", "CASE doc_id % 4 WHEN 0 THEN 'pos' WHEN 1 THEN 'neg' ELSE '' END AS role", "documents")
-column("chunk_sequence", documents, ["doc_id"], lambda: {"chunks": F.array_join(F.transform(X.chunks(F.slice(F.split("text", " "), 1, 7), 3), lambda c: F.array_join(c, "+")), "|")}, "w AS (SELECT doc_id, string_split(text, ' ')[1:7] AS w FROM documents)", "array_to_string([array_to_string(x, '+') FOR x IN [w[1:3], w[4:6], w[7:7]] IF len(x) > 0], '|') AS chunks", "w")
+column("chunk_sequence", documents, ["doc_id"], lambda: {"chunks": F.array_join(F.transform(X.chunks(F.split("text", " "), 3), lambda c: F.array_join(c, "+")), "|")}, "w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)", "array_to_string([array_to_string(w[i:i + 2], '+') FOR i IN range(1, len(w) + 1, 3)], '|') AS chunks", "w")
 column("terminal_error", T.reviews, ["pos"], lambda: {"error": X.terminal_error(F.when(C("pos") % 4 == 0, "").when(C("pos") % 4 == 1, '{"error": "timeout"}').when(C("pos") % 4 == 2, "{torn").otherwise("{}"))}, T.REVIEWS, "CASE pos % 4 WHEN 1 THEN 'timeout' WHEN 2 THEN 'invalid_reward_details' END AS error", "reviews")
 column("float_sequence", T.reviews, ["pos"], lambda: {"values": F.aggregate(X.float_sequence(F.when(C("pos") % 3 != 0, F.array(C("grade").cast("string"), F.lit("x"))), F.array(C("q").cast("string"), F.lit("2"), F.lit(None).cast("string"))), F.lit(0.0), lambda a, x: a + x)}, T.REVIEWS, "CASE WHEN pos % 3 <> 0 THEN grade + 2.0::DOUBLE - 100.0 ELSE q + 2.0::DOUBLE - 100.0 END AS values", "reviews")
-column("pad_sequence", documents, ["doc_id"], lambda: {"right": F.array_join(X.pad(F.slice(F.split("text", " "), 1, 3), F.lit(5), F.lit("-")), " "), "left": F.array_join(X.pad(F.slice(F.split("text", " "), 1, 3), F.lit(5), F.lit("-"), left=True), " ")}, "w AS (SELECT doc_id, string_split(text, ' ')[1:3] AS w FROM documents)", "array_to_string(list_concat(w, list_transform(range(5 - len(w)), lambda i: '-')), ' ') AS right, array_to_string(list_concat(list_transform(range(5 - len(w)), lambda i: '-'), w), ' ') AS left", "w")
+column("pad_sequence", documents, ["doc_id"], lambda: {"right": F.array_join(X.pad(F.split("text", " "), F.lit(400), F.lit("-")), " "), "left": F.array_join(X.pad(F.split("text", " "), F.lit(400), F.lit("-"), left=True), " ")}, "w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)", "array_to_string(list_concat(w, list_transform(range(400 - len(w)), lambda i: '-')), ' ') AS \"right\", array_to_string(list_concat(list_transform(range(400 - len(w)), lambda i: '-'), w), ' ') AS \"left\"", "w")
 
 
 # recovery, similarity, claims ---------------------------------------------------------------------------------------------------------
@@ -134,7 +134,7 @@ def near_duplicate_steps(s: SparkSession, d: str) -> DataFrame:
     """Adjacent turns whose normalized texts are near duplicates."""
     one = T.turns(s, d).withColumn("key", X.similarity_key(C("text")))
     pairs = one.withColumn("before", F.expr("lag(key) over (partition by rec order by pos)"))
-    return pairs.select("rec", "pos", (udfs.similarity_ratio("before", "key") >= udfs.NEAR).alias("near"))
+    return pairs.select("rec", "pos", udfs.near(C("before"), C("key")).alias("near"))
 
 
 @query(f"WITH {T.REVIEWS} SELECT pos, pos || ' % ' || (pos % 7 - 3) || ' returns ' || (pos % 3) AS claim, pos % 7 <> 3 AND pos - (pos % 7 - 3) * floor(pos / (pos % 7 - 3)::DOUBLE) = pos % 3 AS supported FROM reviews")

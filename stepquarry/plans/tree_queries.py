@@ -118,9 +118,10 @@ def state_map(s: SparkSession, d: str) -> DataFrame:
 
 
 # rounds of a search -------------------------------------------------------------------------------------------------------------------
-@query("SELECT doc_id, source || '|' || lang AS kept FROM documents")
+@query("WITH x AS (SELECT doc_id, string_split(text, ' ') AS raw, list_transform(string_split(text, ' '), lambda w: trim(w, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS own FROM documents WHERE n_chars < 5000) SELECT doc_id, array_to_string(list_filter(raw, lambda w, i: list_position(own, own[i]) = i), '|') AS kept FROM x UNION ALL SELECT doc_id, NULL FROM documents WHERE n_chars >= 5000")
 def expansion_dedupe(s: SparkSession, d: str) -> DataFrame:
-    outputs = F.array(C("source"), text_of(" ", C("source"), "\n"), C("lang"), text_of(C("lang"), " "))
+    """A search's outputs, here a text's words, without repeats; texts of 5,000 characters and more aren't outputs of one step."""
+    outputs = F.when(C("n_chars") < 5000, F.split("text", " "))
     return T.documents(s, d).select("doc_id", F.array_join(trees.first_texts(outputs), "|").alias("kept"))
 
 
@@ -130,15 +131,12 @@ def sibling_reviews(s: SparkSession, d: str) -> DataFrame:
     return dedupe.sibling_reviews(T.reviews(s, d).withColumn("text", text), ["rec"], ["pos"], "text").select("rec", "pos")
 
 
-SIBLING_STEPS = ["Check the loop bound against the length of the list", "Check the loop bound against the length of this list", "The empty list returns None where zero is wanted", "Short one", "Short one"]
-
-
-@query("SELECT doc_id, CAST(i AS INT) AS at, i NOT IN (1) AND NOT (i = 2 AND doc_id % 2 = 0) AS fresh FROM documents CROSS JOIN range(5) t(i)")
+@query()
 def redundant_steps(s: SparkSession, d: str) -> DataFrame:
-    """Steps that repeat an earlier sibling's, or their parent's, go; short ones are never compared."""
-    parent = F.when(C("doc_id") % 2 == 0, "<step>The empty list returns none, where zero is wanted!</step>").otherwise("")
-    n = T.documents(s, d).select("doc_id", parent.alias("parent"), F.array(*map(F.lit, SIBLING_STEPS)).alias("steps"))
-    return dedupe.fresh_steps(n, ["doc_id"], "parent", "steps").select("doc_id", "at", "fresh")
+    """Turns of a conversation as steps under its first one: those that repeat an earlier one or the first go; short ones are never compared."""
+    turns = T.turns(s, d).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("t"))
+    n = turns.select("rec", F.get("t", 0)["text"].alias("parent"), F.transform(F.slice("t", 2, 1 << 30), lambda x: x["text"]).alias("steps"))
+    return dedupe.fresh_steps(n, ["rec"], "parent", "steps").select("rec", "at", "fresh")
 
 
 FAIL = "Fail to sove the problem within limited steps."
