@@ -115,7 +115,7 @@ def _straddlers(rows: DataFrame) -> dict[tuple, tuple[int, list[int], int]]:
 
     The driver gets a few numbers for each such block, of which there are two for a task at most."""
     many = rows.groupBy("conv").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("conv")
-    roles = store(rows.select("conv", "block", "seq", "role").join(many.select(F.col("conv").alias("c")), F.col("conv").eqNullSafe(F.col("c")), "left_semi"), "straddlers")
+    roles = store(rows.select("conv", "block", "seq", "role").join(F.broadcast(many.select(F.col("conv").alias("c"))), F.col("conv").eqNullSafe(F.col("c")), "left_semi"), "straddlers")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, block), own in _blocks(batches):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,6 +78,18 @@ def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Within it, what is run hands that many rows at a time to Python: whole texts in the default batches take much of an executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The column's values as UTF-8 bytes, null as empty."""
     values = batch.column(batch.schema.get_field_index(column))

@@ -1,12 +1,13 @@
 """Secret scans: candidates by pattern, then corpus-wide ownership frequency.
 
-A candidate value that turns up under many owners is a copied example; one that a single owner has looks live. Patterns with a
+A candidate value that turns up under many owners or in many repositories is a copied example; one that a single owner has in one or two looks live. Patterns with a
 telling prefix or length are always reported (the base); unprefixed high-entropy tokens are reported only where ownership says that they
 are specific. Texts are scanned once, with built-in functions; only spans and 64-bit hashes of values are kept and shuffled."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +73,17 @@ def entropy(value: Column) -> Column:
     return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda h, c: h - share(c) * F.log2(share(c)))
 
 
+class Spread(NamedTuple):
+    """How many owners and repositories have a value."""
+
+    owners: int
+    repos: int
+
+
+#: What a value that only its owner has is spread over at most, and an example that is copied widely at least.
+LIVE, EXAMPLE = Spread(1, 2), Spread(3, 8)
+
+
 def ownership(spans: DataFrame) -> DataFrame:
     """(value, n, owners, repos): how many spans a candidate value has, and how many distinct owners and repositories. Combined before every shuffle."""
     held = spans.groupBy("value", "owner", "repo").agg(F.count("*").alias("n")).groupBy("value", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
@@ -85,16 +97,18 @@ def spans(found: DataFrame) -> DataFrame:
     return placed.where("counts").select("row", "doc_id", "text_hash", "owner", "repo", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "value")
 
 
-def judged(found: DataFrame, live_owners: int, example_owners: int) -> DataFrame:
-    """Spans with owners, repos and verdict: `live` (at most live_owners), `example` (at least example_owners) or `shared`. Unprefixed tokens only where live."""
+def judged(found: DataFrame, live: Spread, example: Spread) -> DataFrame:
+    """Spans with owners, repos and verdict: `example` (so many owners or so many repositories at least), `live` (so many owners and so many repositories
+    at most) or `shared`. Unprefixed tokens only where live."""
     all_spans = store(spans(found), "spans")
-    verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("owners") <= live_owners, "live").otherwise("shared")
+    wide = (F.col("owners") >= example.owners) | (F.col("repos") >= example.repos)
+    verdict = F.when(wide, "example").when((F.col("owners") <= live.owners) & (F.col("repos") <= live.repos), "live").otherwise("shared")
     out = join_evenly(all_spans, store(ownership(all_spans), "owners"), ["value"], "n").withColumn("verdict", verdict)
     return out.where((F.col("kind") < len(BASE)) | (F.col("verdict") == "live"))
 
 
-def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), live_owners: int = 1, example_owners: int = 3) -> DataFrame:
-    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, most_owners.
+def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), live: Spread = LIVE, example: Spread = EXAMPLE) -> DataFrame:
+    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, most_owners, most_repos.
 
     Null or empty text has no spans. A null owner or repository, or a column that docs doesn't have, counts as one unnamed owner.
     Repeated rows are scanned alike and count once for ownership. Empty input: no rows. Very long texts are scanned whole."""
@@ -104,16 +118,17 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = F.col("kind") < len(BASE)
     item = F.struct("start", F.col("kind"), "end", label.alias("label"))
     joined = lambda items: F.array_join(F.transform(F.sort_array(items), lambda x: x["label"]), ",")
-    per_row = judged(found, live_owners, example_owners).groupBy("row").agg(
+    per_row = judged(found, live, example).groupBy("row").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{name}") for k, name in enumerate(BASE)],
         joined(F.collect_list(F.when(base, item))).alias("base"),
         joined(F.collect_list(item)).alias("spans"),
         F.count_if(F.col("verdict") == "live").alias("n_live"),
         F.count_if(F.col("verdict") == "example").alias("n_example"),
         F.max("owners").alias("most_owners"),
+        F.max("repos").alias("most_repos"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return found.select("row", "doc_id").join(per_row, "row", "left").select("doc_id", *[zero(f"n_{x}") for x in BASE], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"), zero("most_owners"))
+    return found.select("row", "doc_id").join(per_row, "row", "left").select("doc_id", *[zero(f"n_{x}") for x in BASE], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"), zero("most_owners"), zero("most_repos"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), mark: str = "[SECRET]") -> DataFrame:
@@ -122,7 +137,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     Rows of equal id and text are treated alike. Where docs has n_chars, it follows the text."""
     found = scan(docs, id_col, text_col, owner_col, repo_cols)
     cut_id, cut_hash, name = (unique_name(docs, x) for x in ("cut_id", "cut_hash", "cuts"))
-    cuts = judged(found, 1, 3).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    cuts = judged(found, LIVE, EXAMPLE).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
     cuts = store(cuts.select(F.col("doc_id").alias(cut_id), F.col("text_hash").alias(cut_hash), F.col("cuts").alias(name)), "cuts")
     forget(found)
     match = F.col(id_col).cast("long").eqNullSafe(F.col(cut_id)) & (F.xxhash64(text_col) == F.col(cut_hash))

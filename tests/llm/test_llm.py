@@ -246,8 +246,12 @@ def test_ownership(spark):
     """A token that four owners have is an example, another one that one owner has is reported; one of little entropy never is."""
     token, dull = "Zx9aQ7mK2pL8vT4bN6cR1dW3q", "Zx9Zx9Zx9Zx9Zx9Zx9Zx9Zx9q"
     rows = [(i, f"use {token}A here", "en", f"o{i}") for i in range(4)] + [(9, f"use {token}B here", "en", "o1"), (10, f"use {dull} here", "en", "o1"), (None, None, None, None)]
+    rows += [(20 + i, f"use {token}C here", x, "o7") for i, x in enumerate(("en", "de", "fr"))] + [(30 + i, f"key deadbeefdeadbeefdeadbeef{i % 2}", f"l{i}", "o8") for i in range(16)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: (r.spans, r.n_live, r.most_owners) for r in secrets.scan_documents(docs).collect()}
+    found = secrets.scan_documents(docs).collect()
+    got = {r.doc_id: (r.spans, r.n_live, r.most_owners) for r in found}
+    assert got[20] == got[22] == ("", 0, 0)  # one owner, but three repositories
+    assert {(r.n_hex, r.n_live, r.n_example, r.most_owners, r.most_repos) for r in found if 30 <= (r.doc_id or 0) < 46} == {(1, 0, 1, 1, 8)}  # eight repositories of one owner: an example
     assert got[0] == ("", 0, 0) and got[9] == ("generic:4:30", 1, 1) and got[10] == got[None] == ("", 0, 0)
     held = {r.value: (r.n, r.owners, r.repos) for r in secrets.ownership(spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (2, "a", "x")], "value long, owner string, repo string")).collect()}
     assert held == {1: (4, 2, 3), 2: (1, 1, 1)}
