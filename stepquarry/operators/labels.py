@@ -141,19 +141,32 @@ def calibrated(items: DataFrame, stats: DataFrame, strength: float = 0.35) -> Da
 def consensus(terminals: DataFrame, order: list[str], least: int = 3, keys: tuple[str, ...] = ("dataset_index", "target_dimension")) -> DataFrame:
     """terminals(*keys, *order, grade, target, error): one row for each key with at least `least` grades and a target.
 
-    Grades of rows with an error don't count, but the rows do; the target is the first in order. Two aggregates that combine before they shuffle."""
-    rows = terminals.where(_truthy(F.col("target_dimension"))).withColumn("grade", F.when(~_truthy(F.col("error")), F.col("grade").cast("double")))
+    Grades of rows with an error don't count, but the rows do; the target is the first in order. Grades are 0 to 5, so a key's are six counts, which
+    add up in any order: median and deviation follow from them, one shuffle does, and no task holds a key's rows."""
+    rows = terminals.where(_truthy(F.col("target_dimension"))).withColumn("grade", F.when(~_truthy(F.col("error")), F.col("grade").cast("int")))
     first = F.min(F.when(F.col("target").isNotNull(), F.struct(*order, F.col("target").cast("double").alias("target"))))["target"]
-    mid = rows.groupBy(*keys).agg(F.median("grade").alias("median_axiom_grade"), F.count("grade").alias("valid_count"), F.count("*").alias("total_count"), first.alias("target_axiom_grade"))
-    mid = mid.where((F.col("valid_count") >= least) & F.col("target_axiom_grade").isNotNull())
-    near = rows.where(F.col("grade").isNotNull()).join(mid.select(*keys, "median_axiom_grade"), list(keys))
-    spread = near.groupBy(*keys).agg(F.median(F.abs(F.col("grade") - F.col("median_axiom_grade"))).alias("mad"))
-    out = mid.join(spread, list(keys)).withColumn("valid_rate", F.col("valid_count") / F.col("total_count"))
+    counts = F.array(*[F.struct(F.lit(float(g)).alias("v"), F.count_if(F.col("grade") == g).alias("n")) for g in range(6)])
+    found = rows.groupBy(*keys).agg(counts.alias("_counts"), F.count("grade").alias("valid_count"), F.count("*").alias("total_count"), first.alias("target_axiom_grade"))
+    found = found.where((F.col("valid_count") >= least) & F.col("target_axiom_grade").isNotNull())
+    out = found.withColumn("median_axiom_grade", _median(F.col("_counts"), F.col("valid_count")))
+    off = F.transform("_counts", lambda g: F.struct(F.abs(g["v"] - F.col("median_axiom_grade")).alias("v"), g["n"].alias("n")))
+    out = out.withColumn("mad", _median(F.sort_array(off), F.col("valid_count"))).withColumn("valid_rate", F.col("valid_count") / F.col("total_count")).drop("_counts")
     out = out.withColumn("target_alignment", F.greatest(F.lit(0.0), 1 - F.abs(F.col("median_axiom_grade") - F.col("target_axiom_grade")) / 5.0))
     out = out.withColumn("dispersion_confidence", F.greatest(F.lit(0.0), 1 - F.col("mad") / 2.5))
     return out.withColumn("confidence", F.col("valid_rate") * F.col("dispersion_confidence")).withColumn("reward", 2 * F.col("target_alignment") - 1)
 
 
+def _median(counts: Column, n: Column) -> Column:
+    """The median of values given as (v, n) in order, n in all."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
+
+    def at(k: Column) -> Column:
+        step = lambda s, g: F.struct((s["seen"] + g["n"]).alias("seen"), F.coalesce(s["v"], F.when(s["seen"] + g["n"] > k, g["v"])).alias("v"))
+        return F.aggregate(counts, start, step, lambda s: s["v"])
+
+    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2.0
+
+
 CONSENSUS = ["median_axiom_grade", "mad", "valid_count", "total_count", "valid_rate", "target_axiom_grade", "target_alignment", "dispersion_confidence", "confidence", "reward"]
 
 
