@@ -133,6 +133,15 @@ def per_record_files(s: SparkSession, d: str) -> DataFrame:
     return back.select(C("_metadata.file_name").alias("file"), "doc_id", "n_chars", F.md5(C("text").cast("binary")).alias("text_md5"))
 
 
+@query("SELECT CAST(doc_id % 4 AS VARCHAR) AS subset, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS row, doc_id, lang, md5(text) AS text_md5 FROM documents")
+def arrow_scan(s: SparkSession, d: str) -> DataFrame:
+    """Whole documents written as four Arrow streams by tasks, a batch for each hundred or so rows, and read by batch."""
+    path = scratch.fresh_path(s, "arrow")
+    rows = documents(s, d).select((C("doc_id") % 4).cast("int").alias("lot"), "doc_id", "lang", "text")
+    records.write_arrow_files(rows, path, "lot", ["doc_id"], "-train.arrow", 100)
+    return records.arrow_files(s, path, "doc_id long, lang string, text string").select("subset", "row", "doc_id", "lang", F.md5(C("text").cast("binary")).alias("text_md5"))
+
+
 @query("SELECT lang, count(*) AS n, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY 1")
 def metadata_sidecar(s: SparkSession, d: str) -> DataFrame:
     path = scratch.fresh_path(s, "sidecar")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import texts
 from ..operators import selection
 from ..operators.dedupe import numeric_first
+from . import arrow_files as arrow_batches
 from . import json_pieces, record_files
 
 CORRUPT = "_corrupt_record"
@@ -75,25 +76,26 @@ def any_shape(spark: SparkSession, path: str | list[str], schema: str, having: s
 
 
 def arrow_files(spark: SparkSession, path: str, schema: str, suffix: str = "-train.arrow") -> DataFrame:
-    """Rows of Arrow stream files at any depth, with `subset`, the file's name without the suffix, and `row`, the place in its file.
-
-    A file is one value of a task, so files must be shards of a bounded size (as the format's writers make them)."""
-    kinds = T.StructType.fromDDL(schema)
-    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.arrow").load(path)
-    named = files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), f"{suffix.replace('.', '[.]')}$", "").alias("subset"), "path", "content")
-    wanted = kinds.names
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for subset, file, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                at = 0
-                for part in pa.ipc.open_stream(content):
-                    own = [part.column(part.schema.get_field_index(n)) for n in wanted]
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array([subset] * n), pa.array([file] * n), pa.array(range(at, at + n), pa.int64()), *own], names=["subset", "path", "row", *wanted])
-                    at += n
-
-    return named.mapInArrow(rows, f"subset string, path string, row long, {schema}")
+    """Rows of the Arrow stream files (*.arrow) at any depth, with `subset`, the file's name without the suffix, `path` and `row`, the place in its file. Files are read by
+    record batch, so one of any size is read by many tasks."""
+    fs, p = _fs(spark, path)
+    found, it = [], fs.listFiles(p, True)
+    while it.hasNext():
+        found.append(it.next().getPath().toString())
+    return arrow_batches.read(spark, sorted(f for f in found if f.endswith(".arrow")), schema, suffix)
+
+
+def write_arrow_files(df: DataFrame, path: str, by: str, order: list[str], suffix: str = "-train.arrow", batch: int = 10_000) -> int:
+    """An Arrow stream for each value of `by`, named by it, its rows in order, `batch` rows to a record batch; how many files. A file is written by
+    one task as its rows come, a batch at a time, and moved to its name when it is whole."""
+    names = [c for c in df.columns if c != by]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = arrow_batches.write_streams(batches, path, by, names, suffix, batch)
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["files"])
+
+    dealt = df.repartition(by).sortWithinPartitions(by, *order)
+    return dealt.mapInArrow(write, "files long").agg(F.sum("files")).first()[0]
 
 
 # slices -------------------------------------------------------------------------------------------------------------------------------

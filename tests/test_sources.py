@@ -127,3 +127,28 @@ def test_per_record_names_are_safe(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a/b", None), (2, None, "x")], "dataset_index long, source string, more string")
     records.write_per_record(rows, str(tmp_path), "dataset_index", "source")
     assert {f: json.loads((tmp_path / f).read_text()) for f in os.listdir(tmp_path)} == {"1_a_b.json": {"dataset_index": 1, "source": "a/b", "more": None}, "2_unknown.json": {"dataset_index": 2, "source": None, "more": "x"}}
+
+
+def test_arrow_streams_are_read_by_batch(spark, tmp_path):
+    import pyarrow as pa
+
+    from stepquarry.sources import arrow_files
+
+    kinds = pa.schema([("k", pa.int64()), ("t", pa.dictionary(pa.int32(), pa.string())), ("more", pa.list_(pa.int32()))])
+    rows = [{"k": i, "t": None if i % 7 == 0 else f"text {i % 5}é", "more": [i] * (i % 3)} for i in range(1000)]
+    for name, part in (("a", rows[:700]), ("b", rows[700:])):
+        with pa.OSFile(str(tmp_path / f"{name}-train.arrow"), "wb") as sink, pa.ipc.new_stream(sink, kinds) as writer:
+            for k in range(0, len(part), 64):
+                made = pa.table({"k": [r["k"] for r in part[k : k + 64]], "t": pa.array([r["t"] for r in part[k : k + 64]]).dictionary_encode(), "more": [r["more"] for r in part[k : k + 64]]})
+                writer.write_table(made.cast(kinds))
+    whole = (tmp_path / "a-train.arrow").read_bytes()
+    (tmp_path / "torn-train.arrow").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "empty-train.arrow").write_bytes(b"")
+    assert sum(m.rows for m in arrow_files.messages(str(tmp_path / "a-train.arrow"))) == 700
+    assert len(arrow_files.lots(str(tmp_path / "a-train.arrow"), 2000)) > 4
+    got = arrow_files.read(spark, [str(tmp_path / f"{x}-train.arrow") for x in "ab"], "t string, k long", size=2000)
+    assert got.rdd.getNumPartitions() > 6
+    found = sorted((r.subset, r.row, r.k, r.t) for r in got.collect())
+    assert found == [(s, i - first, i, rows[i]["t"]) for s, first, upto in (("a", 0, 700), ("b", 700, 1000)) for i in range(first, upto)]
+    torn = records.arrow_files(spark, str(tmp_path), "k long").where("subset = 'torn'").collect()
+    assert 0 < len(torn) < 700 and [r.k for r in sorted(torn, key=lambda r: r.row)] == list(range(len(torn)))
