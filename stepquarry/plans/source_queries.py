@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..operators import metrics
 from ..sources import record_files, records
-from ..streaming import incremental
+from ..streaming import first_seen, incremental
 from . import tables as T
 from .registry import query
 from .tables import documents
@@ -183,3 +183,14 @@ def incremental_ingest(s: SparkSession, d: str) -> DataFrame:
         rows.where(lot).write.mode("append").json(f"{path}/in")
         incremental.ingest(s, f"{path}/in", "k long", f"{path}/out", f"{path}/log", ["k"]).awaitTermination()
     return s.read.schema("k long").parquet(f"{path}/out").groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey AS cust, coalesce(min(o_orderkey) FILTER (o_orderkey % 3 <> 0), min(o_orderkey)) AS k FROM orders GROUP BY 1")
+def first_seen_ingest(s: SparkSession, d: str) -> DataFrame:
+    """Each customer's first order by state: of the first lot of files that has the customer the least; the second lot repeats the first."""
+    path = scratch.fresh_path(s, "first")
+    rows = T.read(s, d, "orders").select(C("o_custkey").alias("cust"), C("o_orderkey").alias("k"))
+    for lot in ("k % 3 <> 0", "true"):
+        rows.where(lot).write.mode("append").json(f"{path}/in")
+        first_seen.ingest(s, f"{path}/in", "cust long, k long", f"{path}/out", f"{path}/log", ["cust"], ["k"]).awaitTermination()
+    return s.read.schema("cust long, k long").parquet(f"{path}/out")
