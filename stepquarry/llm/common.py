@@ -74,6 +74,7 @@ def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBa
         for batch in batches:
             if batch.num_rows and (out := function(batch)) is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()  # the worker stays, and with it what Arrow keeps for later
 
     return df.mapInArrow(run, schema)
 
