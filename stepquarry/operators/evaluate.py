@@ -150,6 +150,11 @@ def best_candidate(candidates: DataFrame, keys: list[str], reward: str | None, o
     return candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def spread_over(value: str) -> Column:
+    """How far a group's values lie apart, as an aggregate; null without any."""
+    return F.max(value) - F.min(value)
+
+
 def spread(values: Column) -> Column:
     """Largest less smallest value, 0 for none."""
     return F.coalesce(F.array_max(values) - F.array_min(values), F.lit(0.0))

@@ -133,7 +133,7 @@ def best_candidate(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {T.REVIEWS} SELECT rec, round_even(max(q) - min(q), 6) + 0.0 AS spread FROM reviews GROUP BY 1")
 def value_spread(s: SparkSession, d: str) -> DataFrame:
-    return T.reviews(s, d).groupBy("rec").agg(F.collect_list("q").alias("qs")).select("rec", r6(evaluate.spread(C("qs"))).alias("spread"))
+    return T.reviews(s, d).groupBy("rec").agg(evaluate.spread_over("q").alias("spread")).select("rec", r6(C("spread")).alias("spread"))
 
 
 # lengths ------------------------------------------------------------------------------------------------------------------------------
