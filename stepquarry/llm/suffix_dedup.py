@@ -30,8 +30,9 @@ KEY = 50
 LEFT = LENGTH - KEY  # bytes before an anchor, and starts in a window less one
 #: Different contexts of a group that is scanned in one task: some four megabytes.
 FEW = 10_000
-#: Places that a filter of bounded size can tell apart; more are found by a join instead.
-SIFTED = 1 << 26
+#: Bits of a filter at most, 16 MB, and the places that one so large can tell apart; more are found by a join instead.
+MOST_BITS = 1 << 27
+SIFTED = MOST_BITS >> 3
 PIECE, MARGIN = 1 << 17, 512
 _RANDOM = np.random.default_rng(7)
 BYTES = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,15 +102,15 @@ class Sieve:
 
     @staticmethod
     def of(df: DataFrame, key: str) -> Sieve:
-        """Of a stored long column. The driver gets its words only: 2**24 at most, 128 MB."""
+        """Of a stored long column. The driver gets its words only, as Arrow columns: 2**21 at most, two numbers each."""
         n = df.count()
-        bits = min(1 << 30, max(1 << 20, 1 << (16 * n).bit_length()))
+        bits = min(MOST_BITS, max(1 << 20, 1 << (16 * n).bit_length()))
         word = lambda shift: F.shiftrightunsigned(F.shiftrightunsigned(key, shift).bitwiseAND(bits - 1), 6)
         bit = lambda shift: F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, {shift}) & 63 as int))")
         pairs = df.select(F.explode(F.array(*[F.struct(word(s).alias("w"), bit(s).alias("b")) for s in (0, 32)])).alias("x")).select("x.*")
-        got = pairs.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+        got = pairs.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         words = np.zeros(bits >> 6, np.uint64)
-        words[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+        words[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
         return Sieve(words)
 
     def passes(self, keys: np.ndarray) -> np.ndarray:

@@ -179,6 +179,15 @@ def without_repeats(docs):
     return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs).collect())
 
 
+def test_sieve_is_bounded_and_comes_as_arrow(spark, monkeypatch):
+    """The driver gets a filter's words as columns, not as row objects, and no more of them than MOST_BITS allows; a full filter loses nothing."""
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", None)
+    monkeypatch.setattr(suffix_dedup, "MOST_BITS", 1 << 10)
+    keys = common.mix64(np.arange(3000, dtype=np.uint64))
+    sieve = suffix_dedup.Sieve.of(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long"), "key")
+    assert len(sieve.words) == 16 and sieve.passes(keys).all()
+
+
 def test_suffix_array(docs, rows, none, monkeypatch):
     want = repeated_bytes(rows)
     assert without_repeats(docs) == want
