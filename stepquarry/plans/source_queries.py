@@ -129,8 +129,8 @@ def per_record_files(s: SparkSession, d: str) -> DataFrame:
     rows = documents(s, d).select("doc_id", "source", "n_chars", "text")
     for lot in ("doc_id % 2 = 0", "true"):
         records.write_per_record(rows.where(lot), path, "doc_id", "source")
-    back = s.read.schema("doc_id long, n_chars long, text string").json(path)
-    return back.select(C("_metadata.file_name").alias("file"), "doc_id", "n_chars", F.md5(C("text").cast("binary")).alias("text_md5"))
+    back = records.read_per_record(rows, path, "doc_id long, n_chars long, text string", "doc_id", "source")
+    return back.select("file", "doc_id", "n_chars", F.md5(C("text").cast("binary")).alias("text_md5"))
 
 
 @query("SELECT CAST(doc_id % 4 AS VARCHAR) AS subset, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS row, doc_id, lang, md5(text) AS text_md5 FROM documents")

@@ -185,10 +185,19 @@ def write_json_lines(df: DataFrame, path: str, id_col: str | None = None, mode:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def _record_name(id_cols: tuple[str, ...]) -> Column:
+    return F.concat(F.concat_ws("_", *[texts.file_part(F.col(c)) for c in id_cols]), F.lit(".json")).alias("name")
+
+
 def write_per_record(df: DataFrame, path: str, *id_cols: str, mode: str = "append") -> None:
     """A JSON file for each record, named by its ids, which are made safe as file names. A repeated run adds only what lacks."""
-    name = F.concat(F.concat_ws("_", *[texts.file_part(F.col(c)) for c in id_cols]), F.lit(".json"))
-    record_files.write(df.select(name.alias("name"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), path, mode)
+    record_files.write(df.select(_record_name(id_cols), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), path, mode)
+
+
+def read_per_record(df: DataFrame, path: str, schema: str, *id_cols: str) -> DataFrame:
+    """`file` and the fields of schema, of the files that write_per_record made of records with these ids. Files are opened by name in tasks, so that
+    their number is no matter for the driver; those that aren't there give nothing."""
+    return record_files.read(df.select(_record_name(id_cols)), path).select(F.col("name").alias("file"), F.from_json("value", schema).alias("_r")).select("file", "_r.*")
 
 
 def write_sidecar(df: DataFrame, path: str, counts: dict[str, Column], **given: Any) -> dict[str, Any]:

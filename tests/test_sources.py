@@ -152,3 +152,13 @@ def test_arrow_streams_are_read_by_batch(spark, tmp_path):
     assert found == [(s, i - first, i, rows[i]["t"]) for s, first, upto in (("a", 0, 700), ("b", 700, 1000)) for i in range(first, upto)]
     torn = records.arrow_files(spark, str(tmp_path), "k long").where("subset = 'torn'").collect()
     assert 0 < len(torn) < 700 and [r.k for r in sorted(torn, key=lambda r: r.row)] == list(range(len(torn)))
+
+
+def test_record_files_are_read_by_name_in_tasks(spark, tmp_path):
+    """No plan of the driver has the folder's files, and names without a file give nothing."""
+    rows = spark.createDataFrame([(1, "a/b", "x\n"), (2, "c", None), (2, "c", None)], "id long, kind string, text string")
+    records.write_per_record(rows, str(tmp_path), "id", "kind")
+    asked = rows.unionByName(spark.createDataFrame([(3, "gone", "y")], rows.schema))
+    got = records.read_per_record(asked, str(tmp_path), "id long, text string", "id", "kind")
+    assert not [*got.inputFiles()] and sorted((r.id, r.text) for r in got.collect()) == [(1, "x\n"), (2, None)]
+    assert {r.file for r in got.collect()} == {f.name for f in tmp_path.glob("*.json")}
