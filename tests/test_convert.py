@@ -101,3 +101,11 @@ def test_replay_yields_to_new_items(spark):
     got = convert.training_rows(new, old, replay_ratio=-1).collect()
     assert sorted((r.dataset_index, r.data_split) for r in got) == [("1", "new"), ("2", "replay"), ("3", "replay")]
     assert len(convert.training_rows(new, old, replay_ratio=0.0).collect()) == 1
+
+
+def test_capped_identities_pass_in_streams(spark):
+    """A cap makes no group of Python's own for each identity; one that is null or comes in many records is decided as one."""
+    rows = [record(review("0.0", 5), review("0.1", 4), order=k, index=i) for k, i in enumerate(["1", "2", None, "1", None])]
+    made = convert.converted(spark.createDataFrame(rows, SCHEMA), most_paths=1)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    assert sorted((r.order, r.terminal_tag, r.fate) for r in made.collect() if r.fate != "capped") == [(0, "0.0", "kept"), (1, "0.0", "kept"), (2, "0.0", "kept"), (3, "0.0", "semantic_duplicate"), (3, "0.1", "kept"), (4, "0.0", "semantic_duplicate"), (4, "0.1", "kept")]
