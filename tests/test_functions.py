@@ -318,3 +318,18 @@ def test_ingest_knows_old_keys(spark, tmp_path):
         spark.createDataFrame([(k,) for k in lot], "k long").write.mode("append").json(str(tmp_path / "in"))
         incremental.ingest(spark, str(tmp_path / "in"), "k long", str(tmp_path / "out"), str(tmp_path / "log"), ["k"]).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_white_space_is_one_set(spark):
+    """What is stripped by characters is what the patterns' class holds."""
+    chars = spark.createDataFrame([(chr(k),) for k in range(0x10000) if not 0xD800 <= k < 0xE000], "c string")
+    found = {r.c for r in chars.where(F.regexp_like("c", F.lit(f"[{texts.SPACES}]"))).collect()}
+    assert found == set(texts.SPACE_CHARS)
+
+
+def test_a_reward_reads_each_field_once(spark):
+    """Neither the two sets of weights nor the two results repeat what is read from the payload."""
+    c = F.col
+    checks = F.array().cast("array<struct<kind:string,supported:boolean>>")
+    said = str(reward.reward(reward.Review(c("p"), c("d"), c("t"), c("tests"), c("rate"), c("label"), checks)))
+    assert [said.count(f"$.{key}") for key in ("dimension", "verdict")] == [1, 1]
