@@ -15,13 +15,13 @@ import heapq
 import itertools
 import json
 import re
-import sys
-import types
 import unicodedata
+import weakref
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,7 +242,7 @@ class _Cache(dict):
     """Results by chunk, in two generations: when the young one is full it becomes the old one, whose entries come back when asked for."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer, self.old = tokenizer, {}
+        self.tokenizer, self.old = weakref.proxy(tokenizer), {}
 
     def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
         if (out := self.old.get(chunk)) is None:
@@ -256,13 +256,12 @@ class _Cache(dict):
         return out
 
 
-def tokenizer_for(definition: str) -> Tokenizer:
-    """One for each worker process and definition: the tables and the cache outlive a task."""
-    kept = sys.modules.setdefault("_stepquarry_tokenizers", types.ModuleType("_stepquarry_tokenizers"))
-    key = hashlib.sha256(definition.encode()).hexdigest()
-    if not hasattr(kept, key):
-        setattr(kept, key, Tokenizer(definition))
-    return getattr(kept, key)
+def tokenizer_for(definition: Broadcast) -> Tokenizer:
+    """One for each worker process and broadcast definition: the tables and the cache outlive a task, but not the query, as Spark drops a worker's
+    broadcasts when a task comes that doesn't use them."""
+    if (known := getattr(definition, "_tokenizer", None)) is None:
+        known = definition._tokenizer = Tokenizer(definition.value)
+    return known
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,7 +273,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokenizer = tokenizer_for(definition.value)
+        tokenizer = tokenizer_for(definition)
         n, ids, decoded = zip(*[tokenizer.digest(x or "") for x in batch.column(1).to_pylist()], strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -288,7 +287,7 @@ def tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out_col
 
     @F.udf("array<int>", useArrow=True)
     def ids(text: str | None) -> list[int]:
-        data = b"".join([x[0] for x in tokenizer_for(definition.value).encode(text or "")])
+        data = b"".join([x[0] for x in tokenizer_for(definition).encode(text or "")])
         return [int.from_bytes(data[k : k + 4], "little") for k in range(0, len(data), 4)]
 
     return docs.withColumn(out_col, ids(F.col(text_col)))
@@ -301,7 +300,7 @@ def texts(rows: DataFrame, tokenizer_path: str, ids_col: str = "token_ids", out_
 
     @F.udf("string", useArrow=True)
     def text(ids: list[int] | None) -> str:
-        t = tokenizer_for(definition.value)
+        t = tokenizer_for(definition)
         d = Decoder(t.names, set(t.special.values()), t.merges.end)
         return "".join([*map(d.feed, [] if ids is None else [int(i) for i in ids]), d.close()])
 

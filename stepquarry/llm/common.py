@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,11 +75,18 @@ def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBa
         for batch in batches:
             if batch.num_rows and (out := function(batch)) is not None and out.num_rows:
                 yield out
-        pa.default_memory_pool().release_unused()  # the worker stays, and with it what Arrow keeps for later
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """At a task's end: a Python worker stays for later tasks, and with it what Arrow and the C library keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
     """Within it, what is run hands that many rows at a time to Python: whole texts in the default batches take much of an executor's memory."""

@@ -1,6 +1,8 @@
-"""Near copies by Jaccard similarity of word shingles, exact: a prefix filter, counts of common shingles, then the sets themselves.
+"""Near copies by Jaccard similarity of word shingles: SimHash fingerprints and their trie self-join first, verified on the texts; then, exactly, what fingerprints miss, by a
+prefix filter, counts of common shingles, and the sets themselves.
 
-All shingles have one order, the common ones last; what is common is counted over all texts. Two sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each,
+Fingerprints within PRINT_BITS find most copies, and link them before others are looked for; at the similarity asked for some 10 of 64 bits differ, where a trie selects
+next to nothing. All shingles have one order, the common ones last; what is common is counted over all texts. Two sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each,
 whatever the order, so pairs are looked for there only (Chaudhuri et al. 2006); what they share there bounds what they can share at all.
 Every pair that is left is verified on its texts. Where more than HOT texts of like sizes begin with a shingle, each is first held
 against the most usual one of them, and then only texts that are still apart are paired, in cells of bounded size. Of these pairs each cluster's likeliest are verified
@@ -19,11 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, HEAVY, ascii_lower, forget, join_evenly, mix64, over_batches, small, small_batches, store, texts_of, unique_name
+from . import simhash_dedup
+from .common import BROADCAST_ROWS, HEAVY, ascii_lower, forget, give_back, join_evenly, mix64, over_batches, small, small_batches, store, texts_of, unique_name
 from .components import connected_components
 
 SEED = 42
 SHINGLE_WORDS = 5
+#: Fingerprints of a first link differ in so many bits at most.
+PRINT_BITS = 3
 #: The similarity from which texts are near copies, in fifths, so that sizes are compared as integers.
 FIFTHS = 4
 HOT = 16
@@ -37,8 +42,8 @@ COMMON = 1 << 20
 CELL, STEP = 10_000, 1.1
 #: Bits of a shingle's hash; above them is how often the sample has it.
 BITS = 56
-#: Pairs made at once, texts taken at once, and distinct words whose hashes are remembered.
-CHUNK, SLICE, WORDS = 1 << 15, 512, 1 << 17
+#: Pairs made at once, texts taken at once, distinct words whose hashes are remembered, and shingles counted at once.
+CHUNK, SLICE, WORDS, LOT = 1 << 15, 512, 1 << 17, 1 << 22
 FACTORS = mix64(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -85,22 +90,33 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts have, sorted, and how many; COMMON at most. Of all texts; a batch leaves out what only one of its texts has."""
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        hashes = _Hashes()
-        found = [s for part in _slices(batch) for x in texts_of(part) if len(s := shingle_set(x, hashes))]
-        if not found:
-            return None
-        h = np.concatenate(found)
-        found.clear()
+    """Shingles that several texts have, sorted, and how many; COMMON at most. Of all texts; a lot of LOT shingles leaves out what only one of its texts has."""
+
+    def of_lot(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate(held)
+        held.clear()
         h.sort()
         same = h[1:] == h[:-1]
         ends = np.flatnonzero(np.diff(same, prepend=False, append=False))  # where runs of equal ones begin and end, in turn
         begins, counts = ends[::2], ends[1::2] - ends[::2] + 1
-        return pa.RecordBatch.from_arrays([pa.array(h[begins].astype(np.int64)), pa.array(counts)], names=["h", "n"])
+        for at in range(0, len(begins), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(h[begins[at : at + CHUNK]].astype(np.int64)), pa.array(counts[at : at + CHUNK])], names=["h", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = _Hashes(), [], 0
+        for part in (x for batch in batches for x in _slices(batch)):
+            sets = [shingle_set(x, hashes) for x in texts_of(part)]
+            held += sets
+            size += sum(map(len, sets))
+            if size >= LOT:
+                yield from of_lot(held)
+                size = 0
+        if held:
+            yield from of_lot(held)
+        give_back()
 
-    counted = store(over_batches(texts.select("text"), each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2"), "common")
+    with small_batches(texts.sparkSession):
+        counted = store(texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2"), "common")
     rows = counted.where(F.col("n") > _cut(counted)).toPandas().sort_values("h")
     forget(counted)
     return rows["h"].to_numpy(np.int64).astype(np.uint64), np.minimum(rows["n"].to_numpy(np.int64), 127).astype(np.uint64)
@@ -135,7 +151,7 @@ def postings(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (each(part) for batch in batches for part in _slices(batch))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return texts.mapInArrow(run, "h long, key long, n int, rare int")
 
@@ -173,6 +189,20 @@ def _batches(parts: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Itera
         yield batch()
 
 
+def print_pairs(texts: DataFrame) -> DataFrame:
+    """texts(key, text), stored -> (a, b), stored: each text and the first one with its fingerprint, and the first texts of fingerprints that the trie self-join
+    links. No more pairs than texts and links; whether they are similar is left to `verified`."""
+    with small_batches(texts.sparkSession):
+        prints = store(simhash_dedup.with_fingerprints(texts.select("key", "text"), "text", "fp", SHINGLE_WORDS).select("key", "fp"), "prints")
+    first = store(prints.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("texts")), "first-prints")
+    equal = join_evenly(prints, first.where("texts > 1"), ["fp"], "texts").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    sides = [first.select(F.col("fp").alias(f"fp_{x}"), F.col("first").alias(x)) for x in "ab"]
+    near = simhash_dedup.links(first.select("fp"), PRINT_BITS).toDF("fp_a", "fp_b").join(sides[0], "fp_a").join(sides[1], "fp_b")
+    out = store(equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "print-pairs")
+    forget(prints, first)
+    return out
+
+
 PAIR = ["a", "b", "na", "nb"]
 
 
@@ -265,20 +295,24 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     keep.append(common >= least_common(len(one) + len(two)))
                     at, one = (a, b), two
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return both.mapInArrow(each, "a long, b long")
 
 
 def links(texts: DataFrame) -> DataFrame:
     """texts(key long, distinct; text), stored -> edges (a, b) that connect exactly what pairs of near copies connect, stored."""
-    spark, common = texts.sparkSession, common_shingles(texts)
+    spark, near = texts.sparkSession, print_pairs(texts)
+    with small_batches(spark):
+        found = [store(verified(near, texts), "print-links")]
+    forget(near)
+    common = common_shingles(texts)
     with small_batches(spark):
         posted = store(postings(texts, common), "postings")
     stars = star_pairs(posted)
     with small_batches(spark):
-        found = [store(verified(stars, texts), "star-links")]
-    roots = connected_components(found[0])
+        found.append(store(verified(stars, texts), "star-links"))
+    roots = connected_components(found[0].union(found[1]))
     forget(stars)
     rooted = store(posted.join(small(roots.select(F.col("node").alias("key"), "root")), "key", "left").withColumn("root", F.coalesce("root", "key")).select("h", "key", "n", "root"), "rooted")
     forget(posted, roots)

@@ -1,12 +1,14 @@
 """The ten operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import collections
+import gc
 import hashlib
 import itertools
 import math
 import random
 import re
 import unicodedata
+import weakref
 import zlib
 
 import numpy as np
@@ -691,6 +693,39 @@ def test_near_copies_equal_brute_force(spark, none, monkeypatch, limits):
     assert near_copies.keep_first(docs).columns == docs.columns and corpus_pipeline.near_dedup(spark, none, "").count() == 0
 
 
+def test_near_copies_are_linked_by_fingerprints_first(spark):
+    """The trie self-join of five-word fingerprints gives pairs that connect what brute force over fingerprints connects, equal ones too, and one pair a text at most for these."""
+    rnd = random.Random(12)
+    bases = [prose(rnd, 300).split() for _ in range(8)]
+    texts = [" ".join(w[:k] + ["edited"] + w[k + 1 :]) for w in bases for k in range(0, 300, 25)] + ["few words", None, " "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    pairs = [(r.a, r.b) for r in near_copies.print_pairs(common.store(rows, "texts")).collect()]
+    prints = [simhash_dedup.fingerprint(data(x), near_copies.SHINGLE_WORDS) for x in texts]
+
+    def groups(edges):
+        group = list(range(len(texts)))
+        for i, j in edges:
+            group = [group[i] if g == group[j] else g for g in group]
+        return {frozenset(k for k, g in enumerate(group) if g == x) for x in group}
+
+    want = groups((i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (prints[i] ^ prints[j]).bit_count() <= near_copies.PRINT_BITS)
+    assert groups(pairs) == want and 8 < len(want) < len(texts) and len(pairs) == len(set(pairs))
+
+
+def test_tokenizer_goes_with_its_broadcast(spark):
+    """A worker's tables and cache don't outlive the query, whose broadcast Spark drops."""
+
+    class Shared:
+        value = open(tokenizer_path(), encoding="utf-8").read()
+
+    shared = Shared()
+    own = weakref.ref(bpe.tokenizer_for(shared))
+    assert bpe.tokenizer_for(shared) is own()
+    del shared
+    gc.collect()
+    assert own() is None
+
+
 def test_decontamination_finds_reordered_items(spark):
     """Parts of an item in another order: the best window begins at none of the shared shingles' alignments."""
     rnd = random.Random(21)
