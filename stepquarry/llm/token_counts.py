@@ -13,6 +13,7 @@ import functools
 import itertools
 import json
 import math
+import operator
 import re
 from array import array
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ SPACE = "▁"
 #: Stretches whose counts are kept in a worker (twice as many, as the older half is only dropped when the younger is full), the longest one
 #: that is kept, and pairs of pieces that are.
 CACHED, CACHED_CHARS, CACHED_PAIRS = 200_000, 64, 2_000_000
+#: Bits of a piece's number; unknown characters have numbers beyond the pieces'.
+NUMBER_BITS = 22
 #: Prefixes of a batch that goes back to Spark, more only for a single text.
 BATCH = 1 << 21
 #: The limit of the query.
@@ -54,12 +57,54 @@ def definition(model_path: str) -> str:
 
 
 class PrefixCounter:
+    """Pieces that end at a character come from an automaton over all pieces (Aho and Corasick 1975), so only pieces are tried; they go by numbers."""
+
     def __init__(self, pieces: dict[str, float]):
         self.scores = pieces
-        self.longest = max(map(len, pieces), default=1)
+        self.names = ["", *pieces]
+        self.tokens = [0, *[1] * len(pieces)]
+        self.unknown: dict[str, int] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """next: by state and character; ending: (length, number) of the pieces that end in a state, the longest first."""
+        self.next: list[dict[str, int]] = [{}]
+        own, depth = [0], [0]
+        for number, name in enumerate(self.names[1:], 1):
+            at = 0
+            for c in name:
+                if (to := self.next[at].get(c)) is None:
+                    to = self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    own.append(0)
+                    depth.append(depth[at] + 1)
+                at = to
+            own[at] = number
+        self.shorter, self.kept = [0] * len(own), 0
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        level = [0]
+        while level:
+            below = [(at, c, to) for at in level for c, to in self.next[at].items()]
+            for at, c, to in below:
+                link = self.shorter[to] = self._after(self.shorter[at], c) if at else 0
+                self.ending[to] = ((depth[to], own[to]), *self.ending[link]) if own[to] else self.ending[link]
+            level = [to for _, _, to in below]
+
+    def _after(self, state: int, c: str) -> int:
+        while (to := self.next[state].get(c)) is None and state:
+            state = self.shorter[state]
+        return to or 0
+
+    def step(self, state: int, c: str) -> int:
+        """The next state where the trie has none; kept for the next time, CACHED of them at most."""
+        to = self._after(self.shorter[state], c)
+        if self.kept < CACHED:
+            self.kept += 1
+            self.next[state][c] = to
+        return to
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: the best score first, then the leftmost."""
@@ -75,14 +120,23 @@ class PrefixCounter:
                 scores[i] = score(out[i] + out[i + 1], none)
         return out
 
-    def may_follow(self, a: str, b: str) -> bool:
-        """Whether the merges leave piece b after piece a (a empty: alone)."""
-        fits = self.merged(a + b) == ([a, b] if a else [b])
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether the merges leave piece b after piece a (a 0: alone)."""
+        x, y = self.names[a], self.names[b]
+        fits = self.merged(x + y) == ([x, y] if a else [y])
         if len(self.pairs) >= CACHED_PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = fits
+        self.pairs[a << NUMBER_BITS | b] = fits
         return fits
 
+    def unknown_number(self, c: str) -> int:
+        """A character that no piece is becomes bytes."""
+        if (known := self.unknown.get(c)) is None:
+            known = self.unknown[c] = len(self.names)
+            self.names.append(c)
+            self.tokens.append(len(c.encode()))
+        return known
+
     def steps(self, stretch: str) -> bytes:
         """What each character of the stretch adds to the count, as 16-bit integers; a merge may take several tokens away."""
         if (known := self.young.get(stretch)) is None:
@@ -96,23 +150,25 @@ class PrefixCounter:
 
     def counted(self, stretch: str) -> array:
         """The dynamic programme: `last` and `counts` are of the prefixes so far."""
-        scores, pairs, longest = self.scores, self.pairs, self.longest
-        last, counts, out = [""], [0], array("h")
-        for end in range(1, len(stretch) + 1):
-            for begin in range(end - 1, max(0, end - longest) - 1, -1):
-                piece = stretch[begin:end]
-                if piece in scores or begin == end - 1:
-                    before = last[begin]
-                    if (fits := pairs.get((before, piece))) is None:
-                        fits = self.may_follow(before, piece)
-                    if fits:
-                        break
+        after, ending, pairs, tokens, state = self.next, self.ending, self.pairs, self.tokens, 0
+        last, counts = [0], [0]
+        for end, c in enumerate(stretch, 1):
+            if (to := after[state].get(c)) is None:
+                to = self.step(state, c)
+            state = to
+            for length, piece in ending[state]:
+                before = last[end - length]
+                if (fits := pairs.get(before << NUMBER_BITS | piece)) is None:
+                    fits = self.may_follow(before, piece)
+                if fits:
+                    counts.append(counts[end - length] + 1)
+                    break
             else:
-                raise AssertionError(f"no piece of the vocabulary ends at {end} of {stretch!r}")
+                if c in self.scores or not self.may_follow(last[-1], piece := self.unknown_number(c)):
+                    raise AssertionError(f"no piece of the vocabulary ends at {end} of {stretch!r}")
+                counts.append(counts[-1] + tokens[piece])
             last.append(piece)
-            counts.append(counts[begin] + (1 if piece in scores else len(piece.encode())))  # an unknown character becomes bytes
-            out.append(counts[end] - counts[end - 1])
-        return out
+        return array("h", map(operator.sub, counts[1:], counts))
 
     def table(self, text: str) -> np.ndarray:
         """The tokens of each of the text's prefixes, from the empty one to the whole text, as the library counts them."""

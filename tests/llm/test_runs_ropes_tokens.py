@@ -231,3 +231,17 @@ def test_models_that_are_not_covered_are_refused(tmp_path):
     (tmp_path / "other.model").write_bytes(model.SerializeToString())
     with pytest.raises(ValueError):
         token_counts.definition(str(tmp_path / "other.model"))
+
+
+def test_only_pieces_are_tried():
+    """The automaton's pieces at each character are those of the vocabulary that end there, the longest first; also when transitions were kept."""
+    rnd = random.Random(8)
+    pieces = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))): -float(k) for k in range(60)}
+    counter = token_counts.PrefixCounter(pieces)
+    for _ in range(2):
+        for text in ("".join(rnd.choice("abcx") for _ in range(40)) for _ in range(50)):
+            state = 0
+            for end, c in enumerate(text, 1):
+                state = to if (to := counter.next[state].get(c)) is not None else counter.step(state, c)
+                own = [counter.names[number] for _, number in counter.ending[state]]
+                assert own == [text[a:end] for a in range(end) if text[a:end] in pieces] and [n for n, _ in counter.ending[state]] == [*map(len, own)]
