@@ -25,15 +25,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches
+from .common import over_batches, small_batches, store
 
 #: Symbols that the transducer takes in beyond the lookahead before it encodes again.
 STRETCH = 256
 #: Characters of a text that are taken in at once, and from how many on a chunk's tokens are hashed as they come.
 PIECE, LONG = 1 << 16, 1 << 12
 #: Results kept by white-space separated chunk, per worker and generation, and the longest chunk that is kept.
-CACHED = 300_000
+CACHED = 150_000
 CACHED_CHARS = 64
+#: Texts handed to Python at once.
+BATCH = 256
 #: Fewer symbols than this are merged without a heap.
 FEW = 32
 #: The pre-tokenizer's pattern, on lower-cased text.
@@ -172,14 +174,20 @@ class Tokenizer:
         self.symbols = byte_symbols()
         self.decoder = Decoder(self.names, set(self.special.values()), self.merges.end, joined=d.get("decoder") is None)
         self.between = b" " if self.decoder.joined else b""
+        self.stops = not any(set(".,") & set(x) for x in self.special)
         self.cache = _Cache(self)
 
     def _symbols(self, word: str) -> Iterator[str]:
         """A word's bytes as characters, lazily; the last one carries the mark of a word's end. ASCII words stand for themselves."""
         data = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
-        yield from data[:-1]
+        yield from itertools.islice(data, len(data) - 1)
         yield data[-1] + self.merges.end
 
+    def _tokens(self, word: str) -> Iterable[str]:
+        """A word's tokens; a short word is held at once, as the stream would hold it."""
+        symbols = self._symbols(word)
+        return self.merges.merge([*symbols]) if len(word) < STRETCH // 4 else self.merges.stream(symbols)
+
     def chunk_ids(self, chunk: str) -> Iterator[int]:
         """Ids of a chunk without white space."""
         vocab = self.merges.vocab
@@ -189,11 +197,13 @@ class Tokenizer:
             elif part:
                 lower = part.lower() if part.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", part))
                 for word in self.words.finditer(lower):
-                    for token in self.merges.stream(self._symbols(word[0])):
+                    for token in self._tokens(word[0]):
                         yield vocab[token]
 
     def decoded(self, ids: Iterable[int]) -> str:
-        """As the file's decoder gives it, from the state machine."""
+        """As the file's decoder gives it, from the state machine, which for joined names is in no state between two lots."""
+        if self.decoder.joined:
+            return " ".join(map(self.names.__getitem__, ids))
         return "".join(map(self.decoder.feed, ids)) + self.decoder.close()
 
     def pieces(self, text: str) -> Iterator[list[str]]:
@@ -245,6 +255,9 @@ class _Cache(dict):
         self.tokenizer, self.old = weakref.proxy(tokenizer), {}
 
     def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
+        if chunk[-1] in ".," and len(chunk) > 1 and chunk[-2] < "\u0250" and chunk[-2].isalnum() and self.tokenizer.stops:  # a word apart, never kept twice
+            (ids, text), (stop, mark) = self[chunk[:-1]], self[chunk[-1]]
+            return ids + stop, text + self.tokenizer.between + mark
         if (out := self.old.get(chunk)) is None:
             ids = list(self.tokenizer.chunk_ids(chunk))
             out = b"".join([i.to_bytes(4, "little") for i in ids]), self.tokenizer.decoded(ids).encode()
@@ -268,7 +281,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     """One row for each row of docs: doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256.
 
     Null text counts as empty: no tokens, the hashes of nothing. Texts of any length are encoded whole. Repeated rows give repeated
-    results; empty input: no rows; other columns aren't read. The file is read by the driver and broadcast (some megabytes, whatever the input)."""
+    results; empty input: no rows; other columns aren't read. Results are stored, so that BATCH texts go to Python at once. The file is read by the driver and broadcast (some megabytes, whatever the input)."""
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -277,7 +290,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         n, ids, decoded = zip(*[tokenizer.digest(x or "") for x in batch.column(1).to_pylist()], strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return over_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession, BATCH):
+        return store(over_batches(narrow, encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"), "tokens")
 
 
 def tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:

@@ -12,6 +12,7 @@ import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -336,6 +337,18 @@ def test_token_columns_and_back(spark):
     assert got[0].decoded.split() == ["hello", "wörld", ",", "1", "2", "times"] and [list(r.token_ids) for r in got[1:]] == [[], []] and [r.decoded for r in got[1:]] == ["", ""]
 
 
+def test_words_before_stops_are_kept_once_and_texts_go_in_small_batches(spark, monkeypatch):
+    t = bpe.Tokenizer(open(tokenizer_path(), encoding="utf-8").read())
+    for chunk in ("thenat.", "thenat,", "thenat", "a.,", "x..", "5.", "\u00f1and\u00f1.", "\u03a3.", "\u4e00,", ".", ",.", "don't.", "<|endoftext|>.", "\u00b2.", "e\u0301."):
+        ids = list(t.chunk_ids(chunk))
+        assert t.cache[chunk] == (b"".join(i.to_bytes(4, "little") for i in ids), t.decoded(ids).encode()), chunk
+    assert "thenat" in t.cache and "thenat." not in t.cache
+    most = lambda df, _, schema: common.over_batches(df, lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([b.num_rows] * b.num_rows), *[pa.nulls(b.num_rows, pa.string())] * 2], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]), schema)
+    monkeypatch.setattr(bpe, "over_batches", most)
+    got = [r.n_tokens for r in bpe.encode_documents(spark.range(5000).selectExpr("id as doc_id", "'x' as text").coalesce(1), tokenizer_path()).collect()]
+    assert len(got) == 5000 and max(got) <= 256
+
+
 def test_quality_facts():
     assert perplexity.text_facts("a b c a b c d\nx\nx\n\n#|") == (10, 11, 2, 1, 6)
     assert perplexity.text_facts(None) == (0, 0, 0, 0, 0)
