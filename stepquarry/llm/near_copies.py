@@ -4,8 +4,10 @@ prefix filter, counts of common shingles, and the sets themselves.
 Fingerprints within PRINT_BITS find most copies, and link them before others are looked for; at the similarity asked for some 10 of 64 bits differ, where a trie selects
 next to nothing. All shingles have one order, the common ones last; what is common is counted over all texts. Two sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each,
 whatever the order, so pairs are looked for there only (Chaudhuri et al. 2006); what they share there bounds what they can share at all.
+Before a pair is written, two bounds that lose none are held against it (`_Cell.partners`): what comes before the first shingle that a text of another cluster begins with
+is its own (Xiao et al. 2008), and the bits in which two parity sketches differ are shingles that only one of the sets has (Sandes et al. 2020).
 Every pair that is left is verified on its texts. Where more than HOT texts of like sizes begin with a shingle, each is first held
-against the most usual one of them, and then only texts that are still apart are paired, in cells of bounded size. Of these pairs each cluster's likeliest are verified
+against the most usual one of them, and then only texts that are still apart are paired, in cells of bounded size. Texts that are still apart are first linked to the closest by sketch. Of the pairs that remain each cluster's likeliest are verified
 first, then the likeliest between two clusters, and the others only if these fail, so a large cluster of near copies isn't squared.
 Equal word sequences are one text."""
 
@@ -44,6 +46,8 @@ CELL, STEP = 10_000, 1.1
 BITS = 56
 #: Pairs made at once, texts taken at once, distinct words whose hashes are remembered, and shingles counted at once.
 CHUNK, SLICE, WORDS, LOT = 1 << 15, 512, 1 << 17, 1 << 22
+#: Bits of a set's sketch: some 40 shingles that only one of two sets has show as 38 bits or more, almost always.
+SKETCH_BITS = 1024
 FACTORS = mix64(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -84,6 +88,12 @@ def ordered(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.n
     return np.sort(shingles)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each value of the shingles' last bits: whether an odd number of the set has it. Two sketches differ in no more bits than their sets in shingles."""
+    odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in parts, so that only one part's texts and sets are Python's own at a time."""
     return (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE))
@@ -134,7 +144,8 @@ def _cut(counted: DataFrame) -> int:
 
 
 def postings(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(h, key, n, rare) of the shingles in each text's prefix; n is the size of its set, rare how many of it HOT texts at most have."""
+    """(h, key, n, rare, at, sketch) of the shingles in each text's prefix; n is the size of its set, rare how many of it HOT texts at most have, at the
+    shingle's place in the set's order. The sketch comes with the first shingle only."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
     hashes = _Hashes()
 
@@ -146,14 +157,40 @@ def postings(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
         sets = [ordered(s, shared.value) for s in sets]
         rare = np.array([np.searchsorted(s, np.uint64((HOT + 1) << BITS)) for s in sets], np.int32)
         h = np.concatenate([s[:k] for s, k in zip(sets, takes, strict=True)])
-        columns = [h.view(np.int64), np.repeat(keys, takes), np.repeat(n, takes).astype(np.int32), np.repeat(rare, takes)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "key", "n", "rare"])
+        at = np.arange(len(h)) - np.repeat(np.cumsum(takes) - takes, takes)
+        columns = [h.view(np.int64), np.repeat(keys, takes), np.repeat(n, takes).astype(np.int32), np.repeat(rare, takes), at.astype(np.int32)]
+        sketches = np.full(len(h), None, object)
+        sketches[at == 0] = [sketch(s) for s in sets if len(s)]
+        arrays = [*map(pa.array, columns), pa.array(sketches, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["h", "key", "n", "rare", "at", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (each(part) for batch in batches for part in _slices(batch))
         give_back()
 
-    return texts.mapInArrow(run, "h long, key long, n int, rare int")
+    return texts.mapInArrow(run, "h long, key long, n int, rare int, at int, sketch binary")
+
+
+def met(posted: DataFrame) -> DataFrame:
+    """The rows of posted, stored, whose shingle other texts begin with too, without sketches; stored."""
+    shared = store(posted.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1"), "shared")
+    out = store(join_evenly(posted.drop("sketch"), shared, ["h"], "texts").drop("texts"), "met")
+    forget(shared)
+    return out
+
+
+def between_roots(posted: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """posted, stored -> (h, key, n, root, reach, sketch), stored, of the shingles that texts of several roots begin with.
+
+    The least shingle that two near sets share is one of these, so what comes before a set's first one it shares with no near set of another root; reach is
+    what is left. A set of which too little is left even for the smallest near set is dropped. Only shingles that more than HOT texts begin with have the sketch."""
+    rooted = store(posted.join(small(roots.select(F.col("node").alias("key"), "root")), "key", "left").withColumn("root", F.coalesce("root", "key")).select("h", "key", "n", "at", "root"), "rooted")
+    several = store(rooted.groupBy("h").agg(F.count("*").alias("texts"), F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("h", "texts"), "several")
+    reach = F.col("n") - F.min("at").over(Window.partitionBy("key"))
+    kept = join_evenly(rooted, several, ["h"], "texts").withColumn("reach", reach).where(F.expr(f"{5 + FIFTHS} * reach >= {FIFTHS} * (n + ({FIFTHS} * n + 4) div 5)"))
+    out = store(kept.join(sketches, "key").select("h", "key", "n", "root", "reach", F.when(F.col("texts") > HOT, F.col("sketch")).alias("sketch")), "between")
+    forget(rooted, several)
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -228,7 +265,7 @@ def star_pairs(posted: DataFrame) -> DataFrame:
 
 
 def celled(posted: DataFrame) -> DataFrame:
-    """posted(h, key, n, root) with the columns cell and block, so that no cell of a shingle has more than some one in HEAVY of all rows.
+    """posted(h, key, n, root and more) with the columns cell and block, so that no cell of a shingle has more than some one in HEAVY of all rows.
 
     A shingle with few rows is one cell. One with more is left out if all its texts have one root, as then it has no pairs; else its texts are dealt to blocks, and
     each two blocks meet in a cell: a text goes to each cell of its block."""
@@ -243,33 +280,77 @@ def celled(posted: DataFrame) -> DataFrame:
     return light.unionByName(dealt.withColumn("other", others).withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).drop("other", "blocks"))
 
 
+class _Cell:
+    """Texts that begin with one shingle, by sizes, without those that can't be near even to the smallest."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.ndarray, reach: np.ndarray, sketches: np.ndarray):
+        order = np.argsort(n, kind="stable")
+        while len(order) and not (can := (5 + FIFTHS) * reach[order].astype(np.int64) >= FIFTHS * (n[order].astype(np.int64) + n[order[0]])).all():
+            order = order[can]
+        self.key, self.root, self.block, self.sizes = key[order], root[order], block[order], n[order]
+        self.n, self.reach = self.sizes.astype(np.int64), reach[order].astype(np.int64)
+        self.several = len(order) > 1 and (self.root != self.root[0]).any()
+        if self.several:
+            self.one_block = (self.block == self.block[0]).all()
+            self.words = None if sketches[0] is None else np.frombuffer(b"".join(sketches[order]), np.uint64).reshape(len(order), -1)
+            self.begins, self.ends = np.searchsorted(self.n, -(-FIFTHS * self.n // 5)), np.searchsorted(self.n, 5 * self.n // FIFTHS, "right")
+
+    def partners(self, i: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """The texts of other roots from `first` on that can be near to text i by sizes, reach and sketch, and in how many bits the sketches differ."""
+        at = slice(first, self.ends[i])
+        j = np.flatnonzero((self.root[at] != self.root[i]) & (self.one_block | (self.block[at] != self.block[i]))) + first
+        j = j[(5 + FIFTHS) * np.minimum(self.reach[i], self.reach[j]) >= FIFTHS * (self.n[i] + self.n[j])]
+        if self.words is None:
+            return j, np.zeros(len(j), np.int64)
+        differ = np.bitwise_count(self.words[j] ^ self.words[i]).sum(1, dtype=np.int64)
+        near = (5 + FIFTHS) * differ <= (5 - FIFTHS) * (self.n[i] + self.n[j])
+        return j[near], differ[near]
+
+    def pairs(self, i: int, j: np.ndarray) -> list[np.ndarray]:
+        one, turn = np.full(len(j), i), self.root[j] < self.root[i]
+        x, y = np.where(turn, j, one), np.where(turn, one, j)
+        return [c[z] for c in (self.key, self.sizes, self.root) for z in (x, y)]
+
+
+def _cells(posted: DataFrame) -> DataFrame:
+    place = F.xxhash64("h", "cell")
+    return celled(posted).select(place.alias("place"), "key", "n", "root", "block", "reach", "sketch").repartition("place").sortWithinPartitions("place")
+
+
 def all_pairs(posted: DataFrame) -> DataFrame:
-    """posted(h, key, n, root) -> (a, b, na, nb, ra, rb, shared) of texts of different roots, the smaller root first, that can be similar by
-    their sizes and by what their prefixes share."""
+    """posted(h, key, n, root, reach, sketch) -> (a, b, na, nb, ra, rb, shared) of texts of different roots, the smaller root first, that can be similar by
+    their sizes, by reach and sketch, and by what their prefixes share. Pairs are held against the first of these where they meet, so texts that have a common
+    shingle, but aren't near, are no rows, however many they are."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for key, n, root, block in _groups(batches):
-            if (root == root[0]).all():
-                continue
-            order = np.argsort(n, kind="stable")
-            key, n, root, block = key[order], n[order], root[order], block[order]
-            one_block = (block == block[0]).all()
-            ends = np.searchsorted(n, 5 * n.astype(np.int64) // FIFTHS, "right")
-            for i in range(len(key) - 1):
-                later = slice(i + 1, ends[i])
-                j = np.flatnonzero((root[later] != root[i]) & (one_block | (block[later] != block[i]))) + i + 1
-                if len(j):
-                    one, turn = np.full(len(j), i), root[j] < root[i]
-                    x, y = np.where(turn, j, one), np.where(turn, one, j)
-                    yield key[x], key[y], n[x], n[y], root[x], root[y]
+        for cell in (_Cell(*x) for x in _groups(batches)):
+            for i in range(len(cell.n) - 1) if cell.several else ():
+                if len(j := cell.partners(i, i + 1)[0]):
+                    yield cell.pairs(i, j)
 
     names = [*PAIR, "ra", "rb"]
-    place = F.xxhash64("h", "cell")
-    dealt = celled(posted).select(place.alias("place"), "key", "n", "root", "block").repartition("place").sortWithinPartitions("place")
-    found = dealt.mapInArrow(lambda x: _batches(pairs(x), names), "a long, b long, na int, nb int, ra long, rb long")
+    found = _cells(posted).mapInArrow(lambda x: _batches(pairs(x), names), "a long, b long, na int, nb int, ra long, rb long")
     return _likely(found, names)
 
 
+def closest(posted: DataFrame) -> DataFrame:
+    """posted as for all_pairs, with sketches -> (a, b, na, nb, ra, rb), each once: for each text the LIKELIEST closest ones by sketch of those that are closest
+    in a cell. No more rows than posted has in cells, so a large group of near copies isn't squared before its roots are merged."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for cell in (_Cell(*x) for x in _groups(batches)):
+            for i in range(len(cell.n)) if cell.several else ():
+                j, differ = cell.partners(i, cell.begins[i])
+                if len(j):
+                    best = np.argmin(differ)
+                    yield *cell.pairs(i, j[best : best + 1]), cell.key[i : i + 1], differ[best : best + 1]
+
+    names = [*PAIR, "ra", "rb"]
+    found = _cells(posted).mapInArrow(lambda x: _batches(pairs(x), [*names, "key", "differ"]), "a long, b long, na int, nb int, ra long, rb long, key long, differ long").distinct()
+    place = F.row_number().over(Window.partitionBy("key").orderBy("differ", "a", "b"))
+    return found.withColumn("place", place).where(F.col("place") <= LIKELIEST).select(*names).distinct()
+
+
 def _likely(found: DataFrame, names: list[str], part: int = 1) -> DataFrame:
     """names and shared of pairs with a row for each shingle their prefixes share, where that is enough: beyond one of the two prefixes nothing is known.
 
@@ -308,14 +389,18 @@ def links(texts: DataFrame) -> DataFrame:
     forget(near)
     common = common_shingles(texts)
     with small_batches(spark):
-        posted = store(postings(texts, common), "postings")
+        every = store(postings(texts, common), "postings")
+    sketches, posted = store(every.where("at = 0").select("key", "sketch"), "sketches"), met(every)
+    forget(every)
     stars = star_pairs(posted)
     with small_batches(spark):
         found.append(store(verified(stars, texts), "star-links"))
     roots = connected_components(found[0].union(found[1]))
     forget(stars)
-    rooted = store(posted.join(small(roots.select(F.col("node").alias("key"), "root")), "key", "left").withColumn("root", F.coalesce("root", "key")).select("h", "key", "n", "root"), "rooted")
-    forget(posted, roots)
+    rooted = between_roots(posted, roots, sketches)
+    forget(posted, roots, sketches)
+    rooted, merged = _merge_hot(rooted, texts)
+    found += merged
     pairs = store(all_pairs(rooted), "pairs")
     forget(rooted)
     for take in (*[_nearest] * NEAREST, _likeliest):
@@ -330,6 +415,36 @@ def links(texts: DataFrame) -> DataFrame:
     return out
 
 
+def _merge_hot(rooted: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """rooted, stored, with the roots that are left after each text of a shingle with many was held against the closest of other roots, and the links found so.
+
+    It is repeated while at least half of the closest roots are linked, so their number falls fast; what is missed is left to all_pairs."""
+    hot, found = store(rooted.where(F.col("sketch").isNotNull()), "hot"), []
+    while True:
+        tried = store(closest(hot), "tried")
+        held = tried.select("ra", "rb").distinct().count()
+        if held:
+            found.append(_between(tried, texts))
+        forget(tried)
+        linked = found[-1].count() if held else 0
+        if not linked or 2 * linked < held:
+            break
+        merged = connected_components(found[-1])
+        before, hot = hot, store(_rerooted(hot, merged), "hot")
+        forget(before, merged)
+    forget(hot)
+    if found:
+        merged = connected_components(functools.reduce(DataFrame.union, found))
+        before, rooted = rooted, store(_rerooted(rooted, merged), "between")
+        forget(before, merged)
+    return rooted, found
+
+
+def _rerooted(posted: DataFrame, merged: DataFrame) -> DataFrame:
+    now = small(merged.select(F.col("node").alias("root"), F.col("root").alias("now")))
+    return posted.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     """Of each cluster the pair that shares most."""
     best = F.max(F.struct("shared", *[c for c in pairs.columns if c != "shared"])).alias("best")

@@ -782,6 +782,48 @@ def test_near_copies_equal_brute_force(spark, none, monkeypatch, limits):
     assert near_copies.keep_first(docs).columns == docs.columns and corpus_pipeline.near_dedup(spark, none, "").count() == 0
 
 
+def test_large_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
+    """Copies of one text, some near to each other and more not, that fingerprints and centres leave apart: rows of pairs follow the texts, not their square, and
+    no link is lost."""
+    made = []
+
+    def counted(found, names, *a, likely=near_copies._likely):
+        if "ra" in names:
+            found = common.store(found, "made")
+            made.append(found.count())
+        return likely(found, names, *a)
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    monkeypatch.setattr(near_copies, "_likely", counted)
+    rnd = random.Random(13)
+    base, size = prose(rnd, 150).split(), 240
+    texts = []
+    for k in range(size):
+        copy = list(base)
+        for at in rnd.sample(range(150), (2, 3, 4, 5)[k % 4]):
+            copy[at] = f"edited{rnd.randrange(10**9)}"
+        texts.append(copy)
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in near_copies.keep_first(rows).collect())
+    sets, group = [shingles(x) for x in texts], list(range(size))
+    for i, j in itertools.combinations(range(size), 2):
+        if group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            group = [group[i] if g == group[j] else g for g in group]
+    assert got == sorted({g: i for i, g in reversed([*enumerate(group)])}.values()) and 1 < len(got) < size
+    assert len(made) == 1 and made[0] <= 10 * size
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rnd = np.random.default_rng(14)
+    for size, other in ((1, 1), (150, 40), (3000, 500)):
+        one = np.unique(rnd.integers(0, 1 << 56, size, np.uint64))
+        two = np.unique(np.append(one[: size // 2], rnd.integers(0, 1 << 56, other, np.uint64)))
+        x, y = (np.frombuffer(near_copies.sketch(s), np.uint64) for s in (one, two))
+        assert 0 < np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(one, two))
+
+
 def test_near_copies_are_linked_by_fingerprints_first(spark):
     """The trie self-join of five-word fingerprints gives pairs that connect what brute force over fingerprints connects, equal ones too, and one pair a text at most for these."""
     rnd = random.Random(12)
