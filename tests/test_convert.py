@@ -109,3 +109,17 @@ def test_capped_identities_pass_in_streams(spark):
     made = convert.converted(spark.createDataFrame(rows, SCHEMA), most_paths=1)
     assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
     assert sorted((r.order, r.terminal_tag, r.fate) for r in made.collect() if r.fate != "capped") == [(0, "0.0", "kept"), (1, "0.0", "kept"), (2, "0.0", "kept"), (3, "0.0", "semantic_duplicate"), (3, "0.1", "kept"), (4, "0.0", "semantic_duplicate"), (4, "0.1", "kept")]
+
+
+def test_labels_are_computed_once(spark):
+    """What is rounded is written once into the plan, and no filter on the labels is inferred, as it would compute them again below."""
+    from stepquarry.functions.exact import half_even
+    from stepquarry.plans import tree_queries
+
+    x = spark.range(1).select((F.col("id") / 7).alias("x"))
+    nested = x.select(half_even(half_even(half_even(F.sqrt("x"), 4), 3), 2).alias("y"))
+    assert nested._jdf.queryExecution().analyzed().toString().count("SQRT") == 1 and nested.first().y == 0.0
+    item = labels.blended(convert.converted(spark.createDataFrame([record(step("0.0", "look", -0.2), review("0.0.0", 5), best=["0.0.0"])], SCHEMA)))
+    rows = tree_queries._each(item, "terminal_tag")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("FLOOR") <= item.select("q_value")._jdf.queryExecution().optimizedPlan().toString().count("FLOOR")
+    assert [(r.i, r.label) for r in rows.orderBy("i").collect()] == [*enumerate(item.first().q_value)]
