@@ -123,3 +123,11 @@ def test_labels_are_computed_once(spark):
     rows = tree_queries._each(item, "terminal_tag")
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("FLOOR") <= item.select("q_value")._jdf.queryExecution().optimizedPlan().toString().count("FLOOR")
     assert [(r.i, r.label) for r in rows.orderBy("i").collect()] == [*enumerate(item.first().q_value)]
+
+
+def test_details_are_read_once(spark):
+    """A signature's fields come from one reading of the details and one of their payload; only the error is looked up by itself."""
+    records = spark.createDataFrame([record(review("0.0", 5), best=["0.0"])], SCHEMA)
+    made = convert.converted(records).where("fate = 'kept'").select("order", "terminal_tag", "response")
+    assert made.first().terminal_tag == "0.0"
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1
